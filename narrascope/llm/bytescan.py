@@ -59,6 +59,7 @@ class Hasher:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
+        self.data = data
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(BYTE_CODE[data] * _powers(n, "p", _BASE), out=self.prefix[1:])
         self.inverse = _powers(n + 1, "i", _BASE_INV)

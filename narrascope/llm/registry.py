@@ -24,6 +24,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narrascope.llm.suffixes import removal_report
+
+    return removal_report(table(spark, sf_dir, "documents"), length=100)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from narrascope.llm.packing import pack
 
