@@ -17,6 +17,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narrascope.llm.ngramjoin import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from narrascope.llm.tokenfile import read_token_files, write_token_files
 
