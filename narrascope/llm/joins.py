@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from narrascope import runtime
 
 #: Files of a staged table may be broadcast up to this size; beyond it the join is a shuffle.
-BROADCAST_BYTES = 6 << 20
+BROADCAST_BYTES = 24 << 20
 
 
 def join_sized(wide: DataFrame, staged: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
