@@ -36,6 +36,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narrascope.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages"), least_bytes=0))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from narrascope.llm.suffixes import removal_report
 
