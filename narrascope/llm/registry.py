@@ -54,6 +54,30 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
 
 
+def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narrascope.llm.urlrules import judge_urls
+
+    labels = table(spark, sf_dir, "labels")
+    # outcomes of pages: good is a page of quality that is not toxic
+    outcomes = labels.selectExpr("doc_id AS page_id", "CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END AS good")
+    return judge_urls(table(spark, sf_dir, "pages"), outcomes)
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narrascope.llm.chat import as_replies, format_conversations, read_back
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(as_replies(turns.unionByName(extra))))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narrascope.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
