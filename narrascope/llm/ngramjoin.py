@@ -33,6 +33,10 @@ SKETCH_BITS = 20
 _BLOCK = 4096
 #: An inverted list is dealt to one more task for each so many entries that the sketch foresees.
 LIST_ROWS = 20_000
+#: Comparisons of a set at each turn that makes groups grow; what the turns leave open is settled after.
+NEIGHBOURS = 12
+LAGS = 12
+MOST_TURNS = 6
 _STEPS = _splitmix(64, 4242) | U64(1)
 
 
@@ -146,11 +150,11 @@ def _reaches(sx, px, sy, py, num: int, den: int):
     return (least(sx - px, sy - py) * (num + den) >= need) & (sx * den >= sy * num) & (sy * den >= sx * num)
 
 
-LIST = "token long, doc long, place long, other long"
+LIST = "token long, doc long, place long"
 
 
-def _lists(num: int, den: int, long_from: int):
-    """Rows come sorted by (token, place, doc). Lists of one entry go; ``other`` is the entry before, if the two may be similar.
+def _lists(long_from: int):
+    """Rows come sorted by (token, place, doc). Lists of one entry go.
 
     A list that the sketch foresees at ``long_from`` entries or more may go on in other tasks and stays whole.
     """
@@ -164,23 +168,68 @@ def _lists(num: int, den: int, long_from: int):
             joined = token[1:] == token[:-1]
             with_last = np.append(last is not None and token[0] == last[0], joined)
             with_next = np.append(joined, False)
-            prior = np.append(last[1] if last else 0, doc[:-1])
-            place_before = np.append(last[2] if last else 0, place[:-1])
-            ok = with_last & (prior != doc) & _reaches(place_before >> 32, place_before & 0xFFFFFFFF, place >> 32, place & 0xFFFFFFFF, num, den)
             keep = with_last | with_next
             keep |= np.exp2((token.view(np.uint64) >> U64(56)) / 2.0) >= long_from
-            out = [(token[keep], doc[keep], place[keep], np.where(ok, prior, doc)[keep])]
+            out = [(token[keep], doc[keep], place[keep])]
             if held is not None and with_last[0]:
-                out.insert(0, tuple(np.array([x]) for x in (*held, held[1])))
+                out.insert(0, tuple(np.array([x]) for x in held))
             last = token[-1], doc[-1], place[-1]
             held = None if keep[-1] else last
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["token", "doc", "place", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["token", "doc", "place"])
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*held, held[1])], ["token", "doc", "place", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], ["token", "doc", "place"])
 
     return scan
 
 
+def _before(num: int, den: int, lags: int):
+    """Rows (token, doc, place, own) come sorted by token. Out: each entry with those of other groups among the ``lags`` before it, if the two may be similar."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            rows = [batch.column(k).to_numpy() for k in range(4)]
+            old = 0 if carry is None else len(carry[0])
+            if old:
+                rows = [np.concatenate(x) for x in zip(carry, rows)]
+            token, doc, place, own = rows
+            size, pos = place >> 32, place & 0xFFFFFFFF
+            for lag in range(1, min(lags, len(token) - 1) + 1):
+                ok = (token[lag:] == token[:-lag]) & (own[lag:] != own[:-lag])
+                ok[: max(0, old - lag)] = False
+                at = np.flatnonzero(ok) + lag
+                at = at[_reaches(size[at - lag], pos[at - lag], size[at], pos[at], num, den)]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(doc[at - lag])], ["doc", "other"])
+            carry = [x[-lags:] for x in rows]
+
+    return scan
+
+
+def _nearest(lists: DataFrame, groups: DataFrame | None, turn: int, num: int, den: int) -> DataFrame:
+    """Pairs (x < y) to compare next: for each set the few sets of other groups that most often stand just before it in its lists.
+
+    Lists are in order of size and position at first, and in another random order at each later turn.
+    """
+    rows = lists.withColumn("own", F.col("doc")) if groups is None else lists.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("own", F.coalesce("component", "doc"))
+    if groups is not None:
+        rows = rows.join(rows.groupBy("token").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a != b").select("token"), "token")
+    # long lists are dealt out here, too; each part looks for neighbours of its own
+    parts = F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), F.shiftrightunsigned("token", 56) / 2) / LIST_ROWS)).cast("long")
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("token", "doc", F.lit(turn)), parts)).withColumn("_at", F.col("place") if turn == 0 else F.xxhash64("doc", F.lit(turn)))
+    pairs = rows.repartition("token", "_part").sortWithinPartitions("token", "_part", "_at", "doc").select("token", "doc", "place", "own").mapInArrow(_before(num, den, 2 if turn == 0 else LAGS), "doc long, other long")
+    votes = pairs.groupBy("doc", "other").agg(F.count("*").alias("n"))
+    best = votes.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("n"), "other"))).where(F.col("k") <= NEIGHBOURS)
+    return best.select(F.least("doc", "other").alias("x"), F.greatest("doc", "other").alias("y")).distinct()
+
+
+def _left_open(lists: DataFrame, groups: DataFrame) -> int:
+    """Pairs of entries of different groups, at most, in all lists."""
+    rows = lists.join(groups.withColumnRenamed("node", "doc"), "doc", "left").groupBy("token", F.coalesce("component", "doc").alias("own")).agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("main"))
+    return int(sizes.agg(F.sum(F.col("n") * (F.col("n") - F.col("main")))).first()[0] or 0)
+
+
 MEMBER = "block long, doc long, bytes binary"
 
 
@@ -262,14 +311,23 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     # the top byte is twice the logarithm of the foreseen length; a list has one part below 2 * LIST_ROWS
     parts = F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), F.shiftrightunsigned("token", 56) / 2) / LIST_ROWS)).cast("long")
     dealt = entries.withColumn("_part", F.pmod(F.xxhash64("token", "doc"), parts)).repartition("token", "_part").sortWithinPartitions("token", "place", "doc").drop("_part")
-    lists = runtime.staged(dealt.mapInArrow(_lists(num, den, 2 * LIST_ROWS), LIST), "lists")
-
-    near = lists.where("other != doc").select(F.least("doc", "other").alias("x"), F.greatest("doc", "other").alias("y")).distinct()
-    near = runtime.staged(near, "neighbours")
-    links = _links(heads, near, n, num, den)
-    groups = components(links)
-
-    rest = runtime.staged(_other_groups(lists, groups, num, den).join(near, ["x", "y"], "left_anti"), "other-groups")
+    lists = runtime.staged(dealt.mapInArrow(_lists(2 * LIST_ROWS), LIST), "lists")
+
+    groups, tested = None, None
+    for turn in range(MOST_TURNS):
+        near = _nearest(lists, groups, turn, num, den)
+        near = runtime.staged(near if tested is None else near.join(tested, ["x", "y"], "left_anti"), "neighbours")
+        tested = near if tested is None else runtime.staged(tested.unionByName(near), "tested")
+        links = _links(heads, near, n, num, den)
+        n_links = links.count()
+        if n_links:
+            old = [] if groups is None else [groups.select(F.col("node").alias("u"), F.col("component").alias("v"))]
+            groups = components(links.unionByName(old[0]) if old else links)
+        if groups is None or not n_links or _left_open(lists, groups) <= lists.count():
+            break
+    if groups is None:
+        groups = spark.createDataFrame([], "node long, component long")
+    rest = runtime.staged(_other_groups(lists, groups, num, den).join(tested, ["x", "y"], "left_anti"), "other-groups")
     if rest.limit(1).count():
         more = _links(heads, rest, n, num, den)
         if more.limit(1).count():
