@@ -63,6 +63,12 @@ def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), outcomes)
 
 
+def op8_context_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narrascope.llm.ctw import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), depth=4)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from narrascope.llm.chat import as_replies, format_conversations, read_back
 

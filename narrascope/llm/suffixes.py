@@ -373,3 +373,48 @@ def removal_report(docs: DataFrame, length: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], [x.split(" ")[0] for x in REPORT.split(", ")])
 
     return join_sized(_texts(docs), spans, "doc", "left").select("doc", "text", "spans").mapInArrow(report, REPORT)
+
+
+def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """All columns of ``docs``; repeated bytes are cut from ``text`` and ``n_chars`` is the length of what is left.
+
+    A character of several bytes that only in part lies in a repeat stays whole.
+    """
+    spans = repeated_spans(docs, length)
+    tagged = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    hit = join_sized(tagged, _renamed(spans, "doc", "_doc"), "_doc", "left")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            column = batch.column(names.index("text"))
+            raw, off = text_bytes(column)
+            spans_of = batch.column(names.index("spans"))
+            texts = []
+            for i, j in chunks(off):
+                tags = _text_hash(Hasher(raw[off[i] : off[j]]), off[i : j + 1] - off[i])
+                for k in range(j - i):
+                    data = raw[off[i + k] : off[i + k + 1]]
+                    stretches = _spans_of(spans_of[i + k].as_py(), int(tags[k]))
+                    if not stretches:
+                        texts.append(column[i + k].as_py())
+                        continue
+                    keep = np.ones(len(data), bool)
+                    for a, b in stretches:
+                        while a < b and 0x80 <= data[a] < 0xC0:
+                            a += 1
+                        while b > a and b < len(data) and 0x80 <= data[b] < 0xC0:
+                            b -= 1
+                        keep[a:b] = False
+                    texts.append(data[keep].tobytes().decode("utf-8"))
+            out = [pa.array(texts, pa.string()) if n == "text" else batch.column(names.index(n)) for n in wanted]
+            yield pa.RecordBatch.from_arrays(out, wanted)
+
+    wanted = docs.columns
+    out = hit.select(*wanted, "spans").mapInArrow(cut, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in wanted else out
+
+
+def _renamed(staged: DataFrame, old: str, new: str) -> DataFrame:
+    out = staged.withColumnRenamed(old, new)
+    out._narrascope_path = staged._narrascope_path
+    return out
