@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("market_queries",)
+
+
+def _modules():
+    return [importlib.import_module(f"narrascope.plans.{name}") for name in MODULES]
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    from narrascope.plans.market_queries import basket_vs_universe
+
+    return basket_vs_universe(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for mod in _modules() for name, f in mod.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for mod in _modules() for name, sql in mod.SQL.items()}
