@@ -26,7 +26,7 @@ from narrascope.llm.bytescan import LOWER, U64, Directory, Hasher, chunks, mix,
 #: Keys of one shard of a table in a scoring task's memory.
 WORD_SHARD, GRAM_SHARD = 4_000_000, 8_000_000
 #: Distinct keys that a counting task holds before it passes them on.
-HELD = 3_000_000
+HELD = 1_500_000
 FOLDS, HELD_OUT = 7, 2
 
 COUNT = "kind int, key long, train long"
@@ -89,7 +89,7 @@ def count(depth: int):
         for batch in batches:
             raw, off = text_bytes(batch.column(1))
             train = ~is_held_out(batch.column(0).to_pylist())
-            for i, j in chunks(off, 1 << 21):
+            for i, j in chunks(off, 1 << 20):
                 low = LOWER[raw[off[i] : off[j]]]
                 rel = off[i : j + 1] - off[i]
                 own = train[i:j]
@@ -306,7 +306,7 @@ def _score(depth: int, words: str | None, gram: str | None, first: bool, n_docs:
             n_rows = batch.num_rows
             n_tokens, n_known = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
             base, bits = np.zeros(n_rows), np.zeros(n_rows)
-            for i, j in chunks(off, 1 << 21):
+            for i, j in chunks(off, 1 << 20):
                 low = LOWER[raw[off[i] : off[j]]]
                 rel = off[i : j + 1] - off[i]
                 if word_table is not None or first:
