@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("market_queries", "text_queries")
+MODULES = ("market_queries", "text_queries", "graph_queries")
 
 
 def _modules():
