@@ -29,7 +29,7 @@ def token_lines(text: Column) -> Column:
         return F.lower(F.trim(F.regexp_replace(line, "[^\\p{L}\\p{N}\\x01]+", " ")))
 
     def pair(line: Column) -> Column:
-        named = F.regexp_replace(line, "(?<=[\\p{Ll}\\p{N},;] )\\p{Lu}[\\p{L}\\p{N}]*", NAME)
+        named = F.regexp_replace(line, "(?<=[\\p{Ll}\\p{N},;] )\\p{Lu}\\p{Ll}[\\p{L}\\p{N}]*", NAME)
         numbered = F.regexp_replace(F.concat(F.lit(" "), words(named), F.lit(" ")), "(?<= )\\p{L}*+\\p{N}[\\p{L}\\p{N}]*", NUMBER)
         slotted = F.regexp_replace(numbered, f"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?= )", UNIT)
         return F.struct(words(line).alias("raw"), F.trim(slotted).alias("template"))
