@@ -51,7 +51,9 @@ def analyst_session(spark: SparkSession, views: dict[str, str], frozen: bool) ->
             if name.startswith(VALIDATION_PREFIX):
                 guarded("validation", frozen)
             if _exists(spark, pattern):
-                session.read.parquet(pattern).createOrReplaceTempView(name)
+                df = session.read.parquet(pattern)
+                # a projection, since a bare file relation could be inserted into
+                df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]).where(F.lit(True)).createOrReplaceTempView(name)
                 made.append(name)
         yield session
     finally:
