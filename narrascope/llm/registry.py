@@ -89,4 +89,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from narrascope.llm.sql import ORACLE
+
+    return dict(ORACLE)
