@@ -36,7 +36,7 @@ LIST_ROWS = 20_000
 #: Comparisons of a set at each turn that makes groups grow; what the turns leave open is settled after.
 NEIGHBOURS = 12
 LAGS = 12
-MOST_TURNS = 6
+MOST_TURNS = 4
 _STEPS = _splitmix(64, 4242) | U64(1)
 
 
