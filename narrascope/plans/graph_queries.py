@@ -174,7 +174,7 @@ SELECT 's1' AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT
   SELECT DISTINCT 'c' || c_custkey AS src, 'c' || ((c_custkey * k + k) % 151) AS dst FROM customer, (VALUES (2), (3), (5)) v(k) WHERE c_custkey <= 150)) WHERE src <> dst),
  p AS (SELECT 'c' || c_custkey AS trigger, 'c' || c_custkey AS tip, ['c' || c_custkey] AS path, 1.0::DOUBLE AS force, 0 AS hop FROM customer WHERE c_custkey <= 20
   UNION ALL SELECT trigger, dst, list_append(path, dst), force * polarity * weight * 0.8, hop + 1 FROM p JOIN e ON tip = src WHERE polarity <> 0 AND hop < 3 AND NOT list_contains(path, dst))
-SELECT trigger, tip AS company, round(sum(force), 6) AS impact, sign(round(sum(force), 6))::INT AS direction, count(*) AS n_paths FROM p WHERE hop > 0 AND substr(tip, 2)::BIGINT BETWEEN 1 AND 150 AND substr(tip, 2)::BIGINT % 2 = 0 GROUP BY ALL HAVING round(sum(force), 6) <> 0""",
+SELECT trigger, tip AS company, round(sum(force), 6) AS impact, sign(round(sum(force), 6))::INT AS direction, count(*) AS n_paths FROM p WHERE hop > 0 AND tip IN (SELECT 'c' || c_custkey FROM customer WHERE c_custkey <= 150 AND c_custkey % 2 = 0) GROUP BY ALL HAVING round(sum(force), 6) <> 0""",
     "connected_components": f"""WITH RECURSIVE e AS (SELECT src, dst FROM {m.LINKS_SQL} l WHERE substr(dst, 2)::BIGINT % 5 = 0), u AS (SELECT src AS node, dst AS other FROM e UNION SELECT dst, src FROM e),
  r AS (SELECT DISTINCT node, node AS reach FROM u UNION SELECT r.node, other FROM r JOIN u ON r.reach = u.node)
 SELECT node, min(reach) AS component FROM r GROUP BY node""",
