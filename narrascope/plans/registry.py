@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("market_queries", "text_queries", "graph_queries", "source_queries")
+MODULES = ("market_queries", "text_queries", "graph_queries", "source_queries", "serving_queries")
 
 
 def _modules():
