@@ -16,7 +16,7 @@ import numpy as np
 
 from narrascope.llm.bytescan import Directory, Hasher, _splitmix
 
-CACHE = 4_000_000
+CACHE = 2_000_000
 
 _GRAPHIC = np.zeros(256, dtype=bool)
 _GRAPHIC[0x21:0x7F] = True
@@ -103,10 +103,10 @@ class PieceEncoder:
         self.pool = np.concatenate((self.pool, np.concatenate(pieces).astype(self.pool.dtype)))
         keys = np.concatenate((self.keys, keys))
         order = np.argsort(keys)
-        self.keys = keys[order]
+        self.directory = Directory(keys[order])
+        self.keys = self.directory.keys[:-1]
         self.at = np.concatenate((self.at, at))[order]
         self.count = np.concatenate((self.count, counts))[order]
-        self.directory = Directory(self.keys)
 
     def _encode(self, texts: list[bytes], glue: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, end to end, and the number of ids of each.
