@@ -34,8 +34,12 @@ def _members(spark, d):
     return ends.withColumn("community", F.substring("node", 2, 9).cast("long") % 7)
 
 
+def _weigh(links):
+    return links.withColumn("weight", (F.substring("src", 2, 9).cast("long") * 31 + F.substring("dst", 2, 9).cast("long") * 17) % 101 / 100.0)
+
+
 def _weighted(spark, d):
-    return m.links(spark, d).withColumn("weight", (F.substring("src", 2, 9).cast("long") * 31 + F.substring("dst", 2, 9).cast("long") * 17) % 101 / 100.0)
+    return _weigh(m.links(spark, d))
 
 
 def density_strength(spark, d):
@@ -74,7 +78,8 @@ def connected_components(spark, d):
 
 
 def louvain_communities(spark, d):
-    e = _weighted(spark, d).withColumn("as_of", F.lit(AS_OF))
+    """All links of the table, whatever their day and quantity; one point, so one task clusters them."""
+    e = _weigh(m.all_links(spark, d)).withColumn("as_of", F.lit(AS_OF))
     return graph.communities(e, ["as_of"])
 
 

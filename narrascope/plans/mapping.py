@@ -46,5 +46,12 @@ LINKS_SQL = "(SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst F
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '2001-06-01 00:00:00' AND l_quantity >= 45")
+    return _links_of(table(spark, sf_dir, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '2001-06-01 00:00:00' AND l_quantity >= 45"))
+
+
+def all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links_of(table(spark, sf_dir, "lineitem"))
+
+
+def _links_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
