@@ -24,7 +24,9 @@ from narrascope import runtime
 from narrascope.llm.bytescan import LOWER, U64, Directory, Hasher, chunks, mix, split_words, text_bytes
 
 #: Keys of one shard of a table in a scoring task's memory.
-WORD_SHARD, GRAM_SHARD = 4_000_000, 8_000_000
+WORD_SHARD, GRAM_SHARD = 4_000_000, 4_000_000
+#: Grams whose subtrees are worked out at once, about 1.5 kB each at depth 7; one two-byte context is never divided.
+BLOCK = 1 << 15
 #: Distinct keys that a counting task holds before it passes them on.
 HELD = 1_500_000
 FOLDS, HELD_OUT = 7, 2
@@ -207,10 +209,23 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts in runs of whole two-byte contexts."""
+    key, n = _whole(batches)
+    last = ((key >> U64(8)) & U64(0xFFFF)).astype(np.int64)
+    order = np.argsort(last, kind="stable")
+    key, n, last = key[order], n[order], last[order]
+    ends = np.append(np.flatnonzero(last[1:] != last[:-1]) + 1, len(key))
+    i = 0
+    while i < len(key):
+        j = int(ends[max(np.searchsorted(ends, i + BLOCK, "right") - 1, np.searchsorted(ends, i, "right"))])
+        yield key[i:j], n[i:j]
+        i = j
+
+
 def _top_nodes(depth: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = _whole(batches)
-        if len(key):
+        for key, n in _blocks(batches):
             t = Subtrees(key, n, depth, 2)
             c1 = (t.nodes >> 8) & 0xFF
             up, own = np.unique((c1 << 8) | (t.nodes & 0xFF), return_inverse=True)
@@ -239,8 +254,7 @@ def upper_levels(rows: list) -> tuple[np.ndarray, np.ndarray]:
 
 def _gram_bits(depth: int, base: np.ndarray, left: np.ndarray):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = _whole(batches)
-        if len(key):
+        for key, n in _blocks(batches):
             t = Subtrees(key, n, depth, 2)
             _, place, bit = _decisions(key)
             c1, node = (place >> 8) & 0xFF, place & 0xFF
@@ -285,7 +299,7 @@ _TABLES: dict[str, Table] = {}
 
 def _table(path: str, hashed: bool) -> Table:
     if path not in _TABLES:
-        for old in [p for p in _TABLES if p.rpartition("/shard=")[0] != path.rpartition("/shard=")[0]][2:]:
+        for old in [p for p, t in _TABLES.items() if t.hashed == hashed]:  # one shard of words and one of grams
             del _TABLES[old]
         _TABLES[path] = Table(path, hashed)
     return _TABLES[path]

@@ -66,7 +66,7 @@ def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_context_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from narrascope.llm.ctw import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"), depth=4)
+    return score_documents(table(spark, sf_dir, "documents"), depth=7)
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
