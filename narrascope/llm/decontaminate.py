@@ -41,67 +41,71 @@ def split(line: Column) -> Column:
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " "))
 
 
-def window_hashes(tokens: Column, n: int) -> Column:
-    return bound(tokens, lambda t: F.when(F.size(t) < n, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.xxhash64(F.slice(t, i, n)))))
+def windows(tokens: Column, kind: int, n: int) -> Column:
+    """Every run of ``n`` tokens: where it begins and a hash that the kind and ``n`` take part in."""
+    each = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(kind), F.lit(n), F.slice(t, i + 1, n)).alias("hash")))
+    return bound(tokens, lambda t: F.when(F.size(t) < n, F.array().cast("array<struct<at:int,hash:bigint>>")).otherwise(each(t)))
 
 
 def is_slot(token: Column) -> Column:
     return token.isin(NAME, NUMBER, UNIT)
 
 
+TEMPLATE, WORDS = 0, 1
+FIELDS = {TEMPLATE: "template", WORDS: "raw"}
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least_literals: int = 5, least_tokens: int = 13, least_share: float = 0.6) -> DataFrame:
     """Staged pairs (doc_id, item_id) of documents that hold a benchmark item: n_tokens covered, item_tokens, n_slots, consistent.
 
     A pair counts when windows along one shift cover ``least_tokens`` tokens of the item, or ``least_share`` of one
-    that is shorter, and either the slots agree or the words alone are as many. Windows of ``n`` tokens with fewer
-    than ``least_literals`` words besides slots are no evidence. Items under ``n`` tokens are found by one window
-    of their whole length only if they have ``least_literals`` words. Null and empty texts hold nothing; rows that
-    repeat a doc_id are one document; null ids are left out of the result.
+    that is shorter. Windows of ``n`` words as they are (any case) always count. Windows of templates count with
+    ``least_literals`` words besides slots, and if the slots agree or the words alone are ``least_tokens``. Items under
+    ``n`` tokens are found by one window of their whole length, however short. Null and empty texts hold nothing; rows
+    that repeat a doc_id are one document; null ids are left out of the result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), text.alias("text"))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item"), token_lines(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("l"))
-    items = runtime.staged(items.select("item", split(F.col("l.raw")).alias("raw"), split(F.col("l.template")).alias("template")).distinct(), "items")
+    items = runtime.staged(items.select("item", *[split(F.col(f"l.{c}")).alias(c) for c in sorted(set(FIELDS.values()))]).distinct(), "items")
     literal = lambda tokens: F.size(F.filter(tokens, lambda t: ~is_slot(t)))
-    sizes = [n] + [k for k in range(least_literals, n)]
-    parts = []
-    for k in sizes:
-        chosen = items.where(F.size("template") >= n) if k == n else items.where(F.size("template") == k)
-        rows = chosen.select("item", "template", F.posexplode(window_hashes(F.col("template"), k)).alias("at", "hash")).where(literal(F.slice("template", F.col("at") + 1, k)) >= least_literals)
-        parts.append(rows.select(F.lit(k).alias("k"), "hash", "item", F.col("at").cast("int").alias("at")))
-    index = parts[0]
-    for p in parts[1:]:
-        index = index.unionByName(p)
-    index = runtime.staged(index.groupBy("k", "hash").agg(F.collect_list(F.struct("item", "at")).alias("places")), "item-windows")
-    widths = [r["k"] for r in index.select("k").distinct().collect()]  # window sizes, n at most
-
-    lines = base.select("doc", token_lines(F.col("text"))["template"].alias("line"))
-    met = None
-    for k in sorted(widths, reverse=True):
-        rows = lines.select("doc", F.posexplode(window_hashes(split(F.col("line")), k)).alias("pos", "hash"))
-        rows = join_sized(rows, _of(index, k), "hash").select("doc", "pos", F.explode("places").alias("p"))
-        rows = rows.select("doc", F.col("p.item").alias("item"), F.col("p.at").alias("at"), (F.col("pos") - F.col("p.at")).alias("shift"), F.lit(k).alias("k"))
-        met = rows if met is None else met.unionByName(rows)
-    if met is None:
-        met = base.where("false").select("doc", F.lit(0).cast("long").alias("item"), F.lit(0).alias("at"), F.lit(0).alias("shift"), F.lit(0).alias("k"))
-    runs = met.groupBy("doc", "item", "shift").agg(F.array_sort(F.collect_set(F.struct("at", "k"))).alias("windows"))
+    index = None
+    for kind, field in FIELDS.items():
+        for k in range(1, n + 1):
+            chosen = items.where(F.size(field) >= n) if k == n else items.where(F.size(field) == k)
+            rows = chosen.select("item", F.col(field).alias("tokens"), F.explode(windows(F.col(field), kind, k)).alias("w"))
+            if kind == TEMPLATE:
+                rows = rows.where(literal(F.slice("tokens", F.col("w.at") + 1, k)) >= least_literals)
+            rows = rows.select(F.lit(kind).alias("kind"), F.lit(k).alias("k"), "w.hash", "item", "w.at", F.size("tokens").alias("item_tokens"))
+            index = rows if index is None else index.unionByName(rows)
+    index = runtime.staged(index.groupBy("kind", "k", "hash").agg(F.collect_set(F.struct("item", "at", "item_tokens")).alias("places")), "item-windows")
+    widths = sorted((r["kind"], r["k"]) for r in index.select("kind", "k").distinct().collect())  # 2 n at most
+
+    none = F.array().cast("array<struct<at:int,hash:bigint>>")
+    of_text = bound(token_lines(F.col("text")), lambda l: F.concat(none, *[windows(split(l[FIELDS[kind]]), kind, k) for kind, k in widths]))
+    rows = base.select("doc", F.explode(of_text).alias("w")).select("doc", F.col("w.at").alias("pos"), F.col("w.hash").alias("hash"))
+    met = join_sized(rows, index, "hash").select("doc", "pos", "kind", "k", F.explode("places").alias("p"))
+    met = met.select("doc", "kind", "k", "p.*", (F.col("pos") - F.col("p.at")).alias("shift"))
+    runs = met.groupBy("doc", "item", "kind", "item_tokens", "shift").agg(F.array_sort(F.collect_set(F.struct("at", "k"))).alias("windows"))
     covered = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["at"], w["at"] + w["k"] - 1))))
-    runs = runs.select("doc", "item", "shift", covered.alias("covered")).join(items.select("item", F.size("template").alias("item_tokens")), "item")
-    enough = F.least(F.lit(least_tokens), F.ceil(F.col("item_tokens") * least_share)) <= F.size("covered")
-    runs = runtime.staged(runs.where(enough).select("doc", "item", "shift", "covered", "item_tokens"), "template-runs")
-
-    wanted = runtime.staged(runs.select("doc").distinct(), "matched-documents")
+    runs = runs.select("doc", "item", "kind", "item_tokens", "shift", covered.alias("covered")).withColumn("part", F.col("shift"))
+    need = F.least(F.lit(least_tokens), F.ceil(F.col("item_tokens") * least_share))
+    part = ["doc", "item", "kind", "item_tokens", "part"]
+    whole = runs.groupBy(*part).agg(F.collect_list(F.struct("shift", "covered")).alias("runs")).withColumn("n", F.size(F.array_distinct(F.flatten("runs.covered"))))
+    whole = runtime.staged(whole.where(F.col("n") >= need), "runs")
+
+    same = whole.where(F.col("kind") == WORDS).select("doc", "item", F.col("n").alias("n"), F.lit(True).alias("consistent"), F.lit(0).alias("slots"), "item_tokens")
+    other = whole.where(F.col("kind") == TEMPLATE).select(*part, F.explode("runs").alias("r")).select(*part, "r.*")
+    wanted = runtime.staged(other.select("doc").distinct(), "matched-documents")
     raw = join_sized(base, wanted, "doc").select("doc", split(token_lines(F.col("text"))["raw"]).alias("said"))
-    full = raw.join(runs, "doc").join(items, "item")
+    full = raw.join(other, "doc").join(items, "item")
     pairs = F.array_distinct(F.transform(F.filter("covered", lambda i: is_slot(F.get("template", i))), lambda i: F.struct(F.get("template", i).alias("type"), F.get("raw", i).alias("item"), F.get("said", i + F.col("shift")).alias("doc"))))
-    full = full.withColumn("pairs", pairs).withColumn("literals", F.size(F.filter("covered", lambda i: ~is_slot(F.get("template", i)))))
-    agree = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["type"], p["item"]))))
-    found = full.withColumn("consistent", agree).where(F.col("consistent") | (F.col("literals") >= least_tokens))
-    best = found.groupBy("doc", "item").agg(F.max(F.struct(F.size("covered").alias("n"), "consistent", F.size("pairs").alias("slots"), "item_tokens")).alias("b"))
+    full = full.withColumn("pairs", pairs).withColumn("literals", F.filter("covered", lambda i: ~is_slot(F.get("template", i))))
+    full = full.withColumn("agree", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["type"], p["item"])))))
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    # of rows that repeat an id, those whose slots agree are tried alone
+    sums = full.groupBy(*part).agg(union(F.when(F.col("agree"), F.col("covered"))).alias("agreed"), union("literals").alias("literals"), union("covered").alias("covered"), F.size(union("pairs")).alias("slots"))
+    sums = sums.withColumn("consistent", F.size("agreed") >= need).where(F.col("consistent") | (F.size("literals") >= least_tokens))
+    other = sums.select("doc", "item", F.size(F.when(F.col("consistent"), F.col("agreed")).otherwise(F.col("covered"))).alias("n"), "consistent", "slots", "item_tokens")
+    best = same.unionByName(other).groupBy("doc", "item").agg(F.max(F.struct("n", "consistent", "slots", "item_tokens")).alias("b"))
     return runtime.staged(best.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("b.n").cast("long").alias("n_tokens"), F.col("b.item_tokens").cast("long").alias("item_tokens"), F.col("b.slots").cast("long").alias("n_slots"), F.col("b.consistent").alias("consistent")), "contaminated")
-
-
-def _of(index: DataFrame, k: int) -> DataFrame:
-    part = index.where(F.col("k") == k).select("hash", "places")
-    part._narrascope_path = index._narrascope_path  # its size is at most the whole's
-    return part
