@@ -2,12 +2,12 @@
 
 Words become a template: numbers, names (capitals inside a sentence) and units after numbers are typed slots.
 Windows of templates are hash-joined with those of the benchmark. Where windows meet along one shift, what the slots
-hold must agree: each value of the item stands for one value of the document.
+hold must agree, and neighbouring shifts are added up: each value of the item stands for one value of the document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope import runtime
@@ -58,9 +58,9 @@ FIELDS = {TEMPLATE: "template", WORDS: "raw"}
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least_literals: int = 5, least_tokens: int = 13, least_share: float = 0.6) -> DataFrame:
     """Staged pairs (doc_id, item_id) of documents that hold a benchmark item: n_tokens covered, item_tokens, n_slots, consistent.
 
-    A pair counts when windows along one shift cover ``least_tokens`` tokens of the item, or ``least_share`` of one
-    that is shorter. Windows of ``n`` words as they are (any case) always count. Windows of templates count with
-    ``least_literals`` words besides slots, and if the slots agree or the words alone are ``least_tokens``. Items under
+    A pair counts when windows along neighbouring shifts (each at most ``n`` from the next, as words put in or left out
+    make them) together cover ``least_tokens`` tokens of the item, or ``least_share`` of one that is shorter. Windows of ``n`` words as they are (any case) always count. Windows of templates count with
+    ``least_literals`` words besides slots, of shifts whose slots agree, or if the words alone are ``least_tokens``. Items under
     ``n`` tokens are found by one window of their whole length, however short. Null and empty texts hold nothing; rows
     that repeat a doc_id are one document; null ids are left out of the result.
     """
@@ -88,7 +88,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least_lit
     met = met.select("doc", "kind", "k", "p.*", (F.col("pos") - F.col("p.at")).alias("shift"))
     runs = met.groupBy("doc", "item", "kind", "item_tokens", "shift").agg(F.array_sort(F.collect_set(F.struct("at", "k"))).alias("windows"))
     covered = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["at"], w["at"] + w["k"] - 1))))
-    runs = runs.select("doc", "item", "kind", "item_tokens", "shift", covered.alias("covered")).withColumn("part", F.col("shift"))
+    runs = runs.select("doc", "item", "kind", "item_tokens", "shift", covered.alias("covered"))
+    along = Window.partitionBy("doc", "item", "kind", "item_tokens").orderBy("shift")
+    breaks = F.coalesce((F.col("shift") - F.lag("shift").over(along) > n).cast("int"), F.lit(0))
+    runs = runs.withColumn("break", breaks).withColumn("part", F.sum("break").over(along))
     need = F.least(F.lit(least_tokens), F.ceil(F.col("item_tokens") * least_share))
     part = ["doc", "item", "kind", "item_tokens", "part"]
     whole = runs.groupBy(*part).agg(F.collect_list(F.struct("shift", "covered")).alias("runs")).withColumn("n", F.size(F.array_distinct(F.flatten("runs.covered"))))

@@ -10,3 +10,20 @@ NAMES = "Alice, Bob, Carol, Dave and Erin met Frank, Grace, Heidi, Ivan and Judy
 def test_word_for_word_copies_are_found_whatever_their_slots(spark, item):
     docs = [(1, f"{prose(1, 40)}. {item} {prose(2, 40)}"), (2, f"{prose(3, 40)} {item.lower()} {prose(4, 9)}"), (3, prose(5, 300))]
     assert found(spark, docs, [(7, item)]) == [(1, 7), (2, 7)]
+
+
+def test_one_word_put_in_or_left_out(spark):
+    w = prose(21, 20).split()
+    docs = [
+        (1, " ".join([prose(1, 30), *w[:10], "zzz", *w[10:], prose(2, 30)])),
+        (2, " ".join([prose(3, 30), *w[:9], *w[10:], prose(4, 30)])),
+        (3, " ".join([*w[:9], prose(5, 60), *w[11:]])),  # two pieces far apart
+    ]
+    assert found(spark, docs, [(7, " ".join(w))]) == [(1, 7), (2, 7)]
+
+
+def test_slots_are_held_against_each_other_within_a_shift(spark):
+    w = prose(22, 20).split()
+    item = [*w[:6], "10", *w[6:9], *w[9:15], "10", *w[15:18]]
+    docs = [(1, " ".join([*w[:6], "35", *w[6:9], "zzz", *w[9:15], "35", *w[15:18]]))]
+    assert found(spark, docs, [(7, " ".join(item))]) == [(1, 7)]
