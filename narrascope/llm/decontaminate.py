@@ -1,8 +1,9 @@
 """Benchmark passages in documents, also with other numbers, names and units; DataFrame functions alone.
 
-Words become a template: numbers, names (capitals inside a sentence) and units after numbers are typed slots.
-Windows of templates are hash-joined with those of the benchmark. Where windows meet along one shift, what the slots
-hold must agree, and neighbouring shifts are added up: each value of the item stands for one value of the document.
+Words become a template: numbers, names (capitals inside a sentence, and the same words at its beginning) and units
+after numbers are typed slots. Windows of templates, and of plain words beside them, are hash-joined with those of the
+benchmark. Where templates meet along one shift, what the slots hold must agree: each value of the item stands for one
+value of the document. Neighbouring shifts are added up.
 """
 
 from __future__ import annotations
@@ -14,27 +15,58 @@ from narrascope import runtime
 from narrascope.llm.joins import join_sized
 from narrascope.llm.quality import bound, spaced
 
-NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
+NAME, NUMBER, UNIT, JOINT = "\x01", "\x02", "\x03", "\x05"
 #: Units that count as a slot after a number.
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd mi mile miles mg g kg t lb lbs oz ml cl l s sec second seconds min minute minutes h hour hours day days "
     "week weeks month months year years eur euro euros usd dollar dollars cent cents pct percent hz khz mhz w kw v a mb gb tb"
 ).split()
 
+#: A capitalised word inside a sentence, one elsewhere, and what separates tokens: all but letters, digits, and points and commas between digits.
+INSIDE = "\\p{Lu}(?<=[\\p{Ll}\\p{N},;] .)\\p{Ll}[\\p{L}\\p{N}]*"
+FIRST = "\\p{Lu}(?<![\\p{Ll}\\p{N},;] .)(?<![\\p{L}\\p{N}].)\\p{Ll}[\\p{L}\\p{N}]*"
+GAP = f"(?:(?<!\\p{{N}})[.,]|[.,](?!\\p{{N}})|[^\\p{{L}}\\p{{N}}{NAME}{JOINT}.,])+"
+
+
+def _named(line: Column) -> Column:
+    """The line with each name marked, and names of several words joined.
+
+    A word that begins a sentence is a name if it also stands capitalised inside one and never in small letters.
+    """
+    mark = F.regexp_replace(line, INSIDE, f"{NAME}$0")
+
+    def begun(line_names: Column) -> Column:
+        also = F.array_intersect(F.regexp_extract_all(line, F.lit(FIRST), F.lit(0)), F.array_distinct(line_names))
+        alone = lambda c: bound(F.split(line, "[^\\p{L}\\p{N}]+"), lambda said: F.filter(c, lambda x: ~F.array_contains(said, F.lower(x))))
+        return bound(also, lambda c: F.when(F.size(c) > 0, alone(c)).otherwise(c))
+
+    def marked(first: Column) -> Column:
+        pattern = F.concat(F.lit(f"(?<![\\p{{L}}\\p{{N}}{NAME}])(?:"), F.array_join(first, "|"), F.lit(")(?![\\p{L}\\p{N}])"))
+        all_marked = F.when(F.size(first) > 0, F.regexp_replace(mark, pattern, F.lit(f"{NAME}$0"))).otherwise(mark)
+        return F.regexp_replace(all_marked, f"({NAME}[\\p{{L}}\\p{{N}}{JOINT}]+) (?={NAME})", f"$1{JOINT}")
+
+    names = F.regexp_extract_all(line, F.lit(INSIDE), F.lit(0))
+    return bound(names, lambda found: F.when(F.size(found) > 0, bound(begun(found), marked)).otherwise(line))
+
 
 def token_lines(text: Column) -> Column:
-    """struct(raw, template): words of letters and digits in small letters, one space apart; both have equally many."""
+    """struct(words, raw, template), tokens in small letters, one space apart.
+
+    ``words`` are the words of letters and digits alone. ``raw`` has numbers with their separators and names of several
+    words as one token each, and ``template`` slots in their place: both have equally many.
+    """
 
-    def words(line: Column) -> Column:
-        return F.lower(F.trim(F.regexp_replace(line, "[^\\p{L}\\p{N}\\x01]+", " ")))
+    def templates(values: Column) -> Column:
+        named = F.regexp_replace(F.concat(F.lit(" "), values, F.lit(" ")), f"{NAME}[^ ]+", NAME)
+        numbered = F.regexp_replace(named, "(?<= )\\p{L}*+\\p{N}[^ ]*", NUMBER)
+        return F.trim(F.regexp_replace(numbered, f"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?= )", UNIT))
 
-    def pair(line: Column) -> Column:
-        named = F.regexp_replace(line, "(?<=[\\p{Ll}\\p{N},;] )\\p{Lu}\\p{Ll}[\\p{L}\\p{N}]*", NAME)
-        numbered = F.regexp_replace(F.concat(F.lit(" "), words(named), F.lit(" ")), "(?<= )\\p{L}*+\\p{N}[\\p{L}\\p{N}]*", NUMBER)
-        slotted = F.regexp_replace(numbered, f"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?= )", UNIT)
-        return F.struct(words(line).alias("raw"), F.trim(slotted).alias("template"))
+    def fields(line: Column) -> Column:
+        words = F.lower(F.trim(F.regexp_replace(line, "[^\\p{L}\\p{N}]+", " ")))
+        values = F.lower(F.trim(F.regexp_replace(_named(line), GAP, " ")))
+        return bound(values, lambda v: F.struct(words.alias("words"), v.alias("raw"), templates(v).alias("template")))
 
-    return bound(spaced(F.regexp_replace(text, "\\x01+", " ")), pair)
+    return bound(spaced(F.regexp_replace(text, "[\x01-\x05]+", " ")), fields)
 
 
 def split(line: Column) -> Column:
@@ -52,7 +84,7 @@ def is_slot(token: Column) -> Column:
 
 
 TEMPLATE, WORDS = 0, 1
-FIELDS = {TEMPLATE: "template", WORDS: "raw"}
+FIELDS = {TEMPLATE: "template", WORDS: "words"}
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least_literals: int = 5, least_tokens: int = 13, least_share: float = 0.6) -> DataFrame:
@@ -67,7 +99,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least_lit
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), text.alias("text"))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item"), token_lines(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("l"))
-    items = runtime.staged(items.select("item", *[split(F.col(f"l.{c}")).alias(c) for c in sorted(set(FIELDS.values()))]).distinct(), "items")
+    items = runtime.staged(items.select("item", *[split(F.col(f"l.{c}")).alias(c) for c in ("words", "raw", "template")]).distinct(), "items")
     literal = lambda tokens: F.size(F.filter(tokens, lambda t: ~is_slot(t)))
     index = None
     for kind, field in FIELDS.items():

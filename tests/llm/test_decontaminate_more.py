@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from narrascope.llm import decontaminate
 from test_decontaminate import found, prose
 
 SUM = "Compute 12 + 7 - 3 * 4 + 18 / 6 - 2 and then 45 - 9 + 31 * 2 - 8 + 5 - 1."
@@ -27,3 +29,29 @@ def test_slots_are_held_against_each_other_within_a_shift(spark):
     item = [*w[:6], "10", *w[6:9], *w[9:15], "10", *w[15:18]]
     docs = [(1, " ".join([*w[:6], "35", *w[6:9], "zzz", *w[9:15], "35", *w[15:18]]))]
     assert found(spark, docs, [(7, " ".join(item))]) == [(1, 7)]
+
+
+TOM = "Tom has 5 apples and 3 pears. Tom gives 2 apples to Ann. How many does Tom have left?"
+PRICE = "A shop sells a jacket for 40 dollars and a hat for 15 dollars, what is the price of both?"
+
+
+@pytest.mark.parametrize(
+    "item,other",
+    [
+        (TOM, TOM.replace("Tom", "Mary")),
+        (TOM, TOM.replace("Tom", "Mary Lou").replace("Ann", "Bob")),
+        (PRICE, PRICE.replace("40", "1,250").replace("15", "12.50")),
+        (PRICE.replace("40", "1,250"), PRICE),
+    ],
+)
+def test_other_names_and_numbers_of_other_shapes(spark, item, other):
+    assert found(spark, [(1, f"{prose(1, 40)}. {other} {prose(2, 40)}"), (2, prose(3, 200))], [(7, item)]) == [(1, 7)]
+
+
+def test_raw_and_template_tokens_go_together(spark):
+    text = "Will Smith met Mary Lou, Ann and Will on 1,250.5 km. will.\x01 It costs $3,000. Tom ran. So Tom, 7,8."
+    row = spark.createDataFrame([(text,)], "t string").select(decontaminate.token_lines(F.col("t")).alias("l")).first().l
+    raw, template = row.raw.split(" "), row.template.split(" ")
+    assert len(raw) == len(template) and raw[0] == "will"
+    assert [r.replace("\x01", "").replace("\x05", " ") for r, t in zip(raw, template) if t == "\x01"] == ["smith", "mary lou", "ann", "will", "tom", "tom"]
+    assert [r for r, t in zip(raw, template) if t == "\x02"] == ["1,250.5", "3,000", "7,8"]
