@@ -2,11 +2,11 @@
 
 Exact, by prefix filtering with set relations used to skip work twice:
 
-* index level: an inverted list is ordered and blocked by set size and carries positions, so that whole blocks and
-  single entries that cannot reach the needed overlap are passed over;
+* index level: an inverted list is ordered and blocked by set size, so that whole blocks are passed over, and carries
+  positions, by which single pairs that cannot reach the needed overlap are passed over; no block is by position;
 * answer level: equal sets are one class; neighbours in a list are compared first, and what they link is one group
-  from then on. A set that is highly similar to another inherits its answers: only entries of other groups are
-  compared with it, never all pairs of a group.
+  from then on. Only entries of other groups are compared with it: the outcome is components, since links inside a
+  group are never computed.
 
 Shingles are ordered by a count sketch of fixed size over the whole corpus (rare first), then by hash, so a passage
 that a large part of the corpus shares stays out of the prefixes of the rest.
@@ -296,9 +296,33 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     have the empty set and link with nothing. Rows that repeat an id are one document, so that its texts lie in one
     component; a null id counts as the smallest. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    runtime.ship(spark)
     texts = _texts(docs)
+    said = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = texts.groupBy("doc").agg(F.min(said).alias("a"), F.max(said).alias("b")).where("a != b").select("doc")
+    several = runtime.staged(several.withColumn("split", F.lit(True)), "ids-of-several-texts")
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    if not several.limit(1).count():
+        out = _components_of(texts, n, num, den)
+        return out.select(known("doc").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
+    # each text of such an id is joined as a document of its own
+    own = F.when(F.col("split"), F.xxhash64("doc", F.coalesce("text", F.lit("")))).otherwise(F.col("doc"))
+    keyed = join_sized(texts, several, "doc", "left").select(own.alias("own"), "doc", "text")
+    names = runtime.staged(keyed.select("own", "doc").distinct(), "own-ids")
+    found = _components_of(keyed.select(F.col("own").alias("doc"), "text"), n, num, den)
+    found = runtime.staged(found.withColumnRenamed("doc", "own").join(names, "own").select("doc", "n", "component"), "texts-in-components")
+    edges = join_sized(found, several, "doc").groupBy("doc", "component").agg(F.lit(1)).select("doc", F.col("component").alias("u"))
+    edges = edges.join(edges.groupBy("doc").agg(F.min("u").alias("v")), "doc").select("u", "v")
+    joined = components(edges)
+    found = join_sized(found.withColumnRenamed("component", "node"), joined, "node", "left").select("doc", "n", F.coalesce("component", "node").alias("whole"))
+    found = runtime.staged(found, "whole-components")
+    out = found.join(found.groupBy("whole").agg(F.min("doc").alias("component")), "whole")
+    return out.select(known("doc").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
+
+
+def _components_of(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc, n, component) of texts (doc, text) where rows that repeat a doc have the same text."""
+    spark = texts.sparkSession
+    runtime.ship(spark)
     facts = runtime.staged(texts.mapInArrow(_facts(n), FACT), "facts")
     rank = sketch_classes(facts)
     rows = facts.where("block is null").select("doc", "n", "digest")
@@ -332,9 +356,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         more = _links(heads, rest, n, num, den)
         if more.limit(1).count():
             groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    out = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(known("doc").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
+    return members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
 
 
 def _other_groups(lists: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
