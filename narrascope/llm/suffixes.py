@@ -11,8 +11,10 @@ would move every byte many times over, so it is done in three rounds, each on wh
    at later offsets, 32 to 64 to ``length`` bytes deep; each round uses the identifiers that the last one wrote.
 3. Covered stretches are merged by document and cut out.
 
-Order is by (doc_id, start), a null id first; rows with one id and one text count as one document. Buckets of over
-``HOT_BUCKET`` different runs go to no single task: their windows are settled one by one, by a hash aggregation.
+Order is by (doc_id, start), a null id first; rows with one id and one text count as one document, and texts of one
+id as documents of their own, in order of their digests. Equal runs of a batch of rows leave it as one, so a passage
+that a large part of the corpus holds sends few rows to the task of its anchor. Buckets of over ``HOT_BUCKET``
+different runs go to no single task: their windows are settled one by one, by a hash aggregation.
 """
 
 from __future__ import annotations
@@ -33,28 +35,20 @@ from narrascope.llm.joins import join_sized
 Q = 32
 NO_ID = -(1 << 63)
 HOT_BUCKET = 100_000
-_N_BITS, _HASH_BITS = 24, 8  # of a packed place: bytes covered, and part of the text's hash
+_N_BITS = 24  # of a packed place: bytes covered
 
 RUN = "a long, s long, doc long, v long"
 MARK = "a long, doc long, v long"
 CONTEXT = "bucket long, doc long, v long, bytes binary"
 
 
-def pack(start: np.ndarray, size: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
-    """start (31 bits), covered bytes (24 bits), 8 bits of the text's hash, ordered by start."""
-    return (start.astype(np.int64) << (_N_BITS + _HASH_BITS)) | (size.astype(np.int64) << _HASH_BITS) | text_hash.astype(np.int64)
+def pack(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start (39 bits), covered bytes (24 bits), ordered by start."""
+    return (start.astype(np.int64) << _N_BITS) | size.astype(np.int64)
 
 
-def unpack(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return v >> (_N_BITS + _HASH_BITS), (v >> _HASH_BITS) & ((1 << _N_BITS) - 1), v & ((1 << _HASH_BITS) - 1)
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-
-
-def _text_hash(hasher: Hasher, off: np.ndarray) -> np.ndarray:
-    return (hasher.ranges(off[:-1], off[1:]) & U64((1 << _HASH_BITS) - 1)).astype(np.int64)
+def unpack(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return v >> _N_BITS, v & ((1 << _N_BITS) - 1)
 
 
 def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
@@ -68,7 +62,7 @@ def scan_runs(length: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_bytes(batch.column(1))
-            docs = _ids(batch.column(0))
+            docs = batch.column(0).to_numpy()
             found = []
             for i, j in chunks(off):
                 rel = off[i : j + 1] - off[i]
@@ -78,7 +72,7 @@ def scan_runs(length: int):
                 runs, anchor = find_runs(hasher, rel, Q, length)
                 size = runs.n + length - 1
                 body = hasher.ranges(runs.start, runs.start + size) | U64(1)
-                place = pack(runs.start - rel[runs.text], size, _text_hash(hasher, rel)[runs.text])
+                place = pack(runs.start - rel[runs.text], size)
                 found.append((anchor, body, docs[i:j][runs.text], place))
             if not found:
                 continue
@@ -154,7 +148,6 @@ def cut_contexts(length: int):
                 for k in range(0, len(lo), 4096):  # the leftmost least q-gram of the first window
                     some = lo[k : k + 4096]
                     anchor[k : k + 4096] = some + np.argmin(grams[some[:, None] + np.arange(span)] & ~U64((1 << 24) - 1), axis=1)
-                tags = _text_hash(hasher, rel)[text]
                 ids = docs[text]
                 first, last = lo, lo + n - 1
                 turn = anchor - side
@@ -172,7 +165,7 @@ def cut_contexts(length: int):
                     joined = np.concatenate(([0], np.cumsum(cover)))
                     flat = data[np.repeat(beg - joined[:-1], cover) + np.arange(joined[-1])]
                     binary = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(joined.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-                    place = pack(beg - rel[text[some]], cover, tags[some])
+                    place = pack(beg - rel[text[some]], cover)
                     out.append(_batch(CONTEXT, bucket.view(np.int64), ids[some], place, binary))
                 yield from out
 
@@ -233,7 +226,7 @@ def refine_contexts(length: int):
             grams = refine_buckets(q_ids, live, Q, length)
             # rows of a bucket are in order of (doc, v), and equal windows share their bucket
             _, first, number = np.unique(grams, return_index=True, return_inverse=True)
-            start, _, tag = unpack(place)
+            start, _ = unpack(place)
             where = start[row] + live - rel[:-1][row]
             head = first[number]
             later = (d[row] != d[row[head]]) | (where != where[head])
@@ -250,7 +243,7 @@ def refine_contexts(length: int):
             if len(gone):
                 cut = np.flatnonzero((np.diff(gone) != 1) | (np.diff(row[gone]) != 0))
                 lo, hi = gone[np.concatenate(([0], cut + 1))], gone[np.concatenate((cut, [len(gone) - 1]))]
-                yield _batch("doc long, v long", d[row[lo]], pack(where[lo], where[hi] - where[lo] + length, tag[row[lo]]))
+                yield _batch("doc long, v long", d[row[lo]], pack(where[lo], where[hi] - where[lo] + length))
 
     return refine
 
@@ -265,8 +258,7 @@ def explode_windows(length: int):
                 row = np.repeat(np.arange(len(n)), n)
                 where = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 lo = where + rel[text[row]]
-                tags = _text_hash(hasher, rel)[text[row]]
-                yield _batch("g long, doc long, v long", hasher.ranges(lo, lo + length).view(np.int64), ids[text[row]], pack(where, np.full(len(row), length), tags))
+                yield _batch("g long, doc long, v long", hasher.ranges(lo, lo + length).view(np.int64), ids[text[row]], pack(where, np.full(len(row), length)))
 
     return explode
 
@@ -274,7 +266,7 @@ def explode_windows(length: int):
 def _asked(batch: pa.RecordBatch):
     """By chunk: document ids, offsets, hasher, and text, start and size of each run asked for in column 2."""
     raw, off = text_bytes(batch.column(1))
-    docs, wanted = _ids(batch.column(0)), batch.column(2)
+    docs, wanted = batch.column(0).to_numpy(), batch.column(2)
     values = wanted.flatten().to_numpy(zero_copy_only=False)
     counts = wanted.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     reach = np.concatenate(([0], np.cumsum(counts)))
@@ -282,10 +274,9 @@ def _asked(batch: pa.RecordBatch):
         rel = off[i : j + 1] - off[i]
         hasher = Hasher(raw[off[i] : off[j]])
         text = np.repeat(np.arange(j - i), counts[i:j])
-        start, size, tag = unpack(values[reach[i] : reach[j]])
-        keep = tag == _text_hash(hasher, rel)[text]
-        if keep.any():
-            yield docs[i:j], rel, hasher, text[keep], start[keep], size[keep]
+        start, size = unpack(values[reach[i] : reach[j]])
+        if len(start):
+            yield docs[i:j], rel, hasher, text, start, size
 
 
 def merge_spans(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,21 +291,39 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for places in batch.column(1):
-            v = places.values.to_numpy()
-            start, size, tag = unpack(v)
-            row = []
-            for t in np.unique(tag):
-                lo, hi = merge_spans(start[tag == t], size[tag == t])
-                row += [x for a, b in zip(lo.tolist(), hi.tolist()) for x in (int(t), a, b)]
-            out.append(row)
+            lo, hi = merge_spans(*unpack(places.values.to_numpy()))
+            out.append(np.stack((lo, hi), axis=1).ravel())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc", "spans"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """Staged (doc, spans): for each document with repeats, triples (text hash bits, start, end) of covered bytes."""
-    spark = docs.sparkSession
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a number that rows of one id and one text share and no others, in order of the ids (null first).
+
+    It is the id itself, unless some id has several texts: then the place among all (id, digest of the text).
+    """
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashes = docs.select(doc.alias("doc"), F.xxhash64(text).alias("h")).groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    if not hashes.where("a != b").limit(1).count():
+        return docs.withColumn(key, doc)
+    said, own = _free(docs, "_said"), _free(docs, "_own")
+    names = docs.select(doc.alias(own), F.sha2(text, 256).alias(said)).distinct().repartitionByRange(own, said).sortWithinPartitions(own, said)
+    names = runtime.staged(names.withColumn(key, F.monotonically_increasing_id()), "row-keys")  # ranges of ids lie in order of their partitions
+    return join_sized(docs.withColumn(own, doc).withColumn(said, F.sha2(text, 256)), names, [own, said]).drop(own, said)
+
+
+def repeated_spans(texts: DataFrame, length: int = 100) -> DataFrame:
+    """Staged (doc, spans) of texts (doc, text), a number and a text: starts and ends of the covered bytes, in turn."""
+    spark = texts.sparkSession
     runtime.ship(spark)
-    texts = _texts(docs)
     runs = texts.mapInArrow(scan_runs(length), RUN).repartition("a").sortWithinPartitions("a", "s", "doc", "v")
     marks = runtime.staged(runs.mapInArrow(mark_runs, MARK), "marks")
     opened = marks.where("a != 0")
@@ -334,12 +343,9 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     return runtime.staged(covered.groupBy("doc").agg(F.collect_list("v").alias("places")).mapInArrow(_merged, "doc long, spans array<long>"), "spans")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
-
-
-def _spans_of(spans: list[int] | None, tag: int) -> list[tuple[int, int]]:
-    return [(spans[k + 1], spans[k + 2]) for k in range(0, len(spans or ()), 3) if spans[k] == tag]
+def _spans_of(spans: pa.Scalar) -> list[tuple[int, int]]:
+    flat = spans.as_py() or []
+    return list(zip(flat[::2], flat[1::2]))
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -348,69 +354,70 @@ REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def removal_report(docs: DataFrame, length: int = 100) -> DataFrame:
     """One row a document: bytes, bytes removed, maximal removed stretches, sha256 of the rest.
 
-    A null text is empty; texts under ``length`` bytes lose nothing to others; an empty table gives no rows.
+    A null text is empty; texts under ``length`` bytes lose nothing; an empty table gives no rows. Rows that repeat an
+    id and its text are one document and lose the same; texts of one id are told apart by their digests. A null id
+    comes first. Of equal stretches the first stays, however many there are. A text of any length is held whole by
+    one task. Other columns are ignored, whatever their names.
     """
-    spans = repeated_spans(docs, length)
+    texts = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc")
+    spans = repeated_spans(texts.select("doc", "text"), length)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_bytes(batch.column(1))
             size, removed, count, digest = [], [], [], []
-            for i, j in chunks(off):
-                rel = off[i : j + 1] - off[i]
-                tags = _text_hash(Hasher(raw[off[i] : off[j]]), rel)
-                for k in range(j - i):
-                    data = memoryview(raw)[off[i + k] : off[i + k + 1]]
-                    gone = _spans_of(batch.column(2)[i + k].as_py(), int(tags[k]))
-                    sha, at = hashlib.sha256(), 0
-                    for a, b in gone:
-                        sha.update(data[at:a])
-                        at = b
-                    sha.update(data[at:])
-                    size.append(len(data)), removed.append(sum(b - a for a, b in gone)), count.append(len(gone)), digest.append(sha.hexdigest())
-            ids = batch.column(0)
-            ids = pa.array(ids.to_numpy(), pa.int64(), mask=ids.to_numpy() == NO_ID)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], [x.split(" ")[0] for x in REPORT.split(", ")])
-
-    return join_sized(_texts(docs), spans, "doc", "left").select("doc", "text", "spans").mapInArrow(report, REPORT)
+            for k in range(batch.num_rows):
+                data = memoryview(raw)[off[k] : off[k + 1]]
+                gone = _spans_of(batch.column(2)[k])
+                sha, at = hashlib.sha256(), 0
+                for a, b in gone:
+                    sha.update(data[at:a])
+                    at = b
+                sha.update(data[at:])
+                size.append(len(data)), removed.append(sum(b - a for a, b in gone)), count.append(len(gone)), digest.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], [x.split(" ")[0] for x in REPORT.split(", ")])
+
+    joined = join_sized(texts, spans, "doc", "left")
+    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(report, REPORT)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """All columns of ``docs``; repeated bytes are cut from ``text`` and ``n_chars`` is the length of what is left.
 
-    A character of several bytes that only in part lies in a repeat stays whole.
+    A character of several bytes that only in part lies in a repeat stays whole. Null texts stay null. Ids and texts
+    count as in ``removal_report``; columns of any other name pass through.
     """
-    spans = repeated_spans(docs, length)
-    tagged = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    hit = join_sized(tagged, _renamed(spans, "doc", "_doc"), "_doc", "left")
+    key, cuts = _free(docs, "_key"), _free(docs, "_spans")
+    rows = keyed(docs, key)
+    spans = repeated_spans(rows.select(F.col(key).alias("doc"), F.col("text").cast("string").alias("text")), length)
+    hit = join_sized(rows, _renamed(_renamed(spans, "doc", key), "spans", cuts), key, "left")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             column = batch.column(names.index("text"))
             raw, off = text_bytes(column)
-            spans_of = batch.column(names.index("spans"))
+            spans_of = batch.column(names.index(cuts))
             texts = []
-            for i, j in chunks(off):
-                tags = _text_hash(Hasher(raw[off[i] : off[j]]), off[i : j + 1] - off[i])
-                for k in range(j - i):
-                    data = raw[off[i + k] : off[i + k + 1]]
-                    stretches = _spans_of(spans_of[i + k].as_py(), int(tags[k]))
-                    if not stretches:
-                        texts.append(column[i + k].as_py())
-                        continue
-                    keep = np.ones(len(data), bool)
-                    for a, b in stretches:
-                        while a < b and 0x80 <= data[a] < 0xC0:
-                            a += 1
-                        while b > a and b < len(data) and 0x80 <= data[b] < 0xC0:
-                            b -= 1
-                        keep[a:b] = False
-                    texts.append(data[keep].tobytes().decode("utf-8"))
+            for k in range(batch.num_rows):
+                stretches = _spans_of(spans_of[k])
+                if not stretches:
+                    texts.append(column[k].as_py())
+                    continue
+                data = raw[off[k] : off[k + 1]]
+                keep = np.ones(len(data), bool)
+                for a, b in stretches:
+                    while a < b and 0x80 <= data[a] < 0xC0:
+                        a += 1
+                    while b > a and b < len(data) and 0x80 <= data[b] < 0xC0:
+                        b -= 1
+                    keep[a:b] = False
+                texts.append(data[keep].tobytes().decode("utf-8"))
             out = [pa.array(texts, pa.string()) if n == "text" else batch.column(names.index(n)) for n in wanted]
             yield pa.RecordBatch.from_arrays(out, wanted)
 
     wanted = docs.columns
-    out = hit.select(*wanted, "spans").mapInArrow(cut, docs.schema)
+    out = hit.select(*wanted, cuts).mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in wanted else out
 
 

@@ -73,3 +73,47 @@ def test_rows_that_repeat_an_id(spark):
 
 def test_no_documents(spark):
     assert run(spark, [], 1) == []
+
+
+def same_eight_bits(text, r):
+    """Another text whose hash ends in the same 8 bits."""
+    import numpy as np
+
+    from narrascope.llm.bytescan import Hasher
+
+    def last(t):
+        data = np.frombuffer(t.encode(), np.uint8)
+        return int(Hasher(data).ranges(np.array([0]), np.array([len(data)]))[0]) & 0xFF
+
+    while True:
+        other = "".join(r.choice("ijklmnop ") for _ in range(300))
+        if last(other) == last(text):
+            return other
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(150))
+    second = "xxx" + passage + "tail"
+    rows = [(1, passage), (2, second), (2, same_eight_bits(second, r)), (None, "z" * 30), (None, passage[:120]), (3, None), (3, "short")]
+    got = run(spark, rows, 3)
+    assert sorted((r[1], r[2]) for r in got) == sorted([(30, 0), (120, 0), (150, 120), (len(second), 150), (300, 0), (0, 0), (5, 0)])
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeated_and_null_ids_match_brute_force(spark, parts):
+    rows = [(None if d is None or d % 11 == 0 else d // 3, t) for d, t in corpus(4)]
+    rows += rows[:10]
+    each = sorted({(d, t or "") for d, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.sha256(x[1].encode()).hexdigest()))
+    report = {x: y[1:] for x, y in zip(each, brute([(k, t) for k, (_, t) in enumerate(each)], 100))}
+    want = [(d, *report[d, t or ""]) for d, t in rows]
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(run(spark, rows, parts), key=key) == sorted(want, key=key)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    r = random.Random(6)
+    text = "".join(r.choice("abcdefgh ") for _ in range(300))
+    df = spark.createDataFrame([(1, text, 1, "k", "s"), (2, text + "end", 2, "l", "t"), (2, "other", 3, "m", "u")], "doc_id long, text string, _key int, spans string, _spans string")
+    got = {(x.doc_id, x._key): (x.text, x.spans, x._spans) for x in suffixes.remove_repeats(df).collect()}
+    assert got == {(1, 1): (text, "k", "s"), (2, 2): ("end", "l", "t"), (2, 3): ("other", "m", "u")}
