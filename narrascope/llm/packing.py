@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from narrascope import runtime
 from narrascope.llm.bytescan import chunks, text_bytes
+from narrascope.llm.joins import join_sized
 from narrascope.llm.tokenfile import with_end
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SALT = 64
+#: Rows of one length that a ranking task takes, about; longer lists are dealt to more tasks.
+RANK_ROWS = 50_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -99,29 +101,35 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE)
 
 
-def rank_within(df: DataFrame, key: str, order: list[str], salt: int = SALT) -> DataFrame:
-    """``rank`` from 0 within each key without one task for a key: ranks within salted parts, plus what lies in the parts before."""
-    df = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(salt)).cast("int"))
+def rank_within(df: DataFrame, key: str, counts: dict[int, int], order: list[str]) -> DataFrame:
+    """``rank`` from 0 within each key (a small number, counted in ``counts``): ranks within parts, plus what lies in the parts before.
+
+    A key has a part for each RANK_ROWS of its rows, so none of them grows with the input.
+    """
+    parts = F.get(F.lit([max(1, -(-counts.get(k, 0) // RANK_ROWS)) for k in range(max(counts, default=0) + 1)]), F.col(key).cast("int"))
+    df = df.withColumn("_part", F.pmod(F.xxhash64(*order), parts).cast("int"))
     sizes = df.groupBy(key, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = runtime.staged(sizes.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "part-sizes")
     local = df.withColumn("_row", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
-    # at most capacity * salt rows
-    return local.join(F.broadcast(sizes), [key, "_part"]).withColumn("rank", F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")
+    # a row for each key and each RANK_ROWS rows
+    return join_sized(local, sizes, [key, "_part"]).withColumn("rank", F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")
 
 
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pack whole documents into as few sequences of ``capacity`` tokens as best fit finds.
 
     One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null text is empty and holds
-    the end id alone; rows that repeat an id are packed each; an empty table gives no rows; other columns are ignored.
+    the end id alone; rows that repeat an id are packed each, and equal rows are interchangeable; a null id is packed
+    like any other; a text of any length is encoded whole in one task and cut; an empty table gives no rows; other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     pieces = runtime.staged(cut_pieces(docs, tokenizer, capacity=capacity, end_id=end_id), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     plan = plan_best_fit(counts, capacity)
     slots = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, first long, offset long")
-    ranked = rank_within(pieces, "length", ["doc_id", "piece", "ids_crc32"])
+    ranked = rank_within(pieces, "length", counts, ["doc_id", "piece", "ids_crc32"])
     # the plan has a few rows for each length, whatever the number of documents
     joined = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return joined.select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")

@@ -115,6 +115,62 @@ class TokenFile:
         return self.tokens(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+class StoredTokens:
+    """Any token of a stored file by a few short reads: a byte, part of a bitmap block and one rank a level."""
+
+    def __init__(self, uri: str):
+        from pyarrow import fs
+
+        files, path = fs.FileSystem.from_uri(uri)
+        self.file, self.bytes_read = files.open_input_file(path), 0
+        if self._read(0, 8) != MAGIC:
+            raise ValueError("not a token file")
+        self.n_docs, n_levels = np.frombuffer(self._read(8, 16), "<u8").tolist()
+        at = 24 + 8 * n_levels + self.n_docs
+        self.ids_at, self.starts_at = at, at + 8 * self.n_docs
+        at = self.starts_at + 8 * (self.n_docs + 1)
+        self.levels = []  # where chunks, bitmap and ranks lie
+        for n in np.frombuffer(self._read(24, 8 * n_levels), "<u8").tolist():
+            blocks = -(-n // BLOCK)
+            self.levels.append((at, at + n, at + n + blocks * BLOCK // 8))
+            at += n + blocks * BLOCK // 8 + 8 * (blocks + 1)
+        self.n_tokens = int(np.frombuffer(self._read(self.starts_at + 8 * self.n_docs, 8), "<i8")[0])
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+    def __len__(self) -> int:
+        return self.n_tokens
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        self.bytes_read += n
+        return self.file.read(n)
+
+    def token(self, i: int) -> int:
+        if not 0 <= i < self.n_tokens:
+            raise IndexError(i)
+        out = 0
+        for k, (chunk, bits, rank) in enumerate(self.levels):
+            out |= self._read(chunk + i, 1)[0] << (8 * k)
+            block = i // BLOCK
+            span = self._read(bits + block * BLOCK // 8, i % BLOCK // 8 + 1)
+            flags = np.unpackbits(np.frombuffer(span, np.uint8), bitorder="little")[: i % BLOCK + 1]
+            if not flags[-1]:
+                break
+            i = int(np.frombuffer(self._read(rank + 8 * block, 8), "<u8")[0]) + int(flags[:-1].sum())
+        return out
+
+    def document_span(self, k: int) -> tuple[int | None, int, int]:
+        """Id, start and end of document ``k`` in the file."""
+        lo, hi = np.frombuffer(self._read(self.starts_at + 8 * k, 16), "<i8").tolist()
+        known = self._read(self.ids_at - self.n_docs + k, 1)[0]
+        return (int(np.frombuffer(self._read(self.ids_at + 8 * k, 8), "<i8")[0]) if known else None), lo, hi
+
+
 def encode_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> list[bytes]:
     """The parts of a file, in order."""
     levels = encode_levels(ids)
@@ -153,7 +209,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2
     """Encode ``docs`` in ascending id order into token files; one row a file: part, seq, path, n_docs, n_tokens, start.
 
     Null texts count as empty; rows that repeat an id are all written, in order of their text; a null id comes
-    first. Each task writes the files of its own range of ids; a repeated task writes new files, and only those
+    first; a long text is encoded whole, in one file; an empty table has no files; other columns are ignored, whatever
+    their names. Each task writes the files of its own range of ids; a repeated task writes new files, and only those
     of the attempt that ended are listed. ``start`` is the number of ids in all files before.
     """
     spark = docs.sparkSession

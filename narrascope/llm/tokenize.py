@@ -4,7 +4,8 @@ A text may be cut before a single space, or around a single line feed, that stan
 digits or marks, and between a letter and a stop: the pre-tokenizer of these vocabularies ends a token there
 in any case. Pieces recur far
 more often than texts, so a process keeps the ids of the pieces it has met (keyed by 64-bit hash, at most
-``CACHE`` pieces, then it starts anew).
+``CACHE`` pieces, then it starts anew). Strings of special tokens in a text become their ids, as in a plain call of the
+library; a vocabulary whose special strings could be cut, or take white space with them, is refused.
 """
 
 from __future__ import annotations
@@ -51,12 +52,12 @@ def _unit_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _byte_lengths(tokenizer, path: str) -> np.ndarray:
     vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-    size = np.ones(max(vocab.values()) + 1, dtype=np.int64)
+    added = tokenizer.get_added_tokens_decoder()
+    size = np.ones(max([*vocab.values(), *added]) + 1, dtype=np.int64)
     for token, i in vocab.items():
         size[i] = len(token)  # one character stands for one byte
-    for i, token in tokenizer.get_added_tokens_decoder().items():
-        if i < len(size):
-            size[i] = len(token.content.encode())
+    for i, token in added.items():
+        size[i] = len(token.content.encode())
     return size
 
 
@@ -68,7 +69,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        for t in self.tokenizer.get_added_tokens_decoder().values():
+            held = np.frombuffer(t.content.encode(), np.uint8)
+            if t.lstrip or t.rstrip or t.single_word or len(_unit_starts(held, np.zeros(1, np.int64))) > 1:
+                raise ValueError(f"pieces do not keep the special token {t.content!r} whole")
         self.size = _byte_lengths(self.tokenizer, path)
         self._reset()
 

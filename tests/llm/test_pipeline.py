@@ -51,7 +51,6 @@ def test_stages_take_effect(spark, tables):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     got = corpus_pipeline.run(spark, where).collect()
     assert {r.doc_id for r in got} == set(texts)
     for r in got:

@@ -7,11 +7,11 @@ from tokenizers import Tokenizer
 
 from narrascope.llm.packing import pack, plan_best_fit
 from narrascope.llm.registry import vocabulary
-from narrascope.llm.tokenfile import TokenFile, encode_file, read_token_files, write_token_files
+from narrascope.llm.tokenfile import StoredTokens, TokenFile, encode_file, read_token_files, store, write_token_files
 
 ODD = [
     "", None, " ", "\n\n", "a", "Hello world", " don't  stop.\nNow\tgo.\n\n  end ", "naïve café  x　y é,è!", "word,word.Word;x", "x" * 5000,
-    "<|endoftext|> it's <|endoftext|>", "日本語 text 123,456.78   z", "a \n b\n\nc \r\n d", "é à\nÉ\n.\n!", "1. 2, 3:4 ?!",
+    "<|endoftext|> it's <|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>.y <|endoftext|>\n<|endoftext|>  z<|endoftext", "<|endoftext|><|endoftext|>", "日本語 text 123,456.78   z", "a \n b\n\nc \r\n d", "é à\nÉ\n.\n!", "1. 2, 3:4 ?!",
 ]
 
 
@@ -27,7 +27,6 @@ def rows():
 
 def ids_of(text, end):
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -44,6 +43,19 @@ def test_codes_give_any_token():
     assert f.document(1).tolist() == ids[1000:].tolist()
 
 
+def test_stored_files_give_any_token_by_few_bytes(tmp_path):
+    ids = np.random.default_rng(4).integers(0, 70_000, 5000).astype(np.uint32)
+    uri = f"file://{tmp_path}/x/one.dac"
+    store(uri, encode_file([5, None, 9], np.array([1000, 0, 4000]), ids))
+    with StoredTokens(uri) as f:
+        opened = f.bytes_read
+        assert [f.token(i) for i in range(0, len(ids), 41)] == ids[::41].tolist()
+        assert f.bytes_read - opened < len(range(0, len(ids), 41)) * 3 * (1 + 8 + 64)
+        assert f.document_span(2) == (9, 1000, 5000) and f.document_span(1) == (None, 1000, 1000) and len(f) == 5000
+        with pytest.raises(IndexError):
+            f.token(5000)
+
+
 def test_token_files_match_the_library(spark, rows):
     got = read_token_files(write_token_files(frame(spark, rows), vocabulary(), file_tokens=4000)).collect()
     want, start = [], 0
