@@ -26,11 +26,11 @@ from narrascope import runtime
 from narrascope.llm.bytescan import LOWER, U64, Directory, Hasher, chunks, mix, release, split_words, text_bytes
 
 #: Keys of one shard of a table in a scoring task's memory.
-WORD_SHARD, GRAM_SHARD = 4_000_000, 6_000_000
+WORD_SHARD, GRAM_SHARD = 3_000_000, 5_000_000
 #: Grams whose subtrees are worked out at once, about 200 bytes each at depth 7; one two-byte context is never divided.
 BLOCK = 1 << 17
 #: Distinct keys that a counting task holds before it passes them on, and those it gathers before it sorts them in.
-HELD, GATHERED = 4_000_000, 1_000_000
+HELD, GATHERED = 2_500_000, 1_000_000
 FOLDS, HELD_OUT = 7, 2
 WORD, GRAM, TOTAL = 0, 1, 2
 
@@ -425,13 +425,15 @@ class Table:
                 if f.path.endswith(".parquet"):
                     for batch in pq.ParquetFile(f.path, filesystem=files).iter_batches(16, columns=["run"]):
                         found += [unpack_run(x.as_buffer(), np.float64) for x in batch.column(0)]
-        names = np.concatenate([x for x, _ in found])
-        values = np.concatenate([x for _, x in found])
+        names, values = [x for x, _ in found], [x for _, x in found]
         del found
+        names = np.concatenate(names)
         order = np.argsort(names)
-        self.directory = Directory(names[order])
-        del names
-        self.value = np.append(values[order], 0.0)
+        names = names[order]
+        values = np.concatenate([*values, np.zeros(1)])
+        values[:-1] = values[:-1][order]
+        del order
+        self.directory, self.value = Directory(names), values
 
     def get(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values (0 where absent), and which are there."""
