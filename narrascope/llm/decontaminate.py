@@ -1,9 +1,9 @@
 """Benchmark passages in documents, also with other numbers, names and units; DataFrame functions alone.
 
-Words become a template: numbers, names (capitals inside a sentence, and the same words at its beginning) and units
-after numbers are typed slots. Windows of templates, and of plain words beside them, are hash-joined with those of the
-benchmark. Where templates meet along one shift, what the slots hold must agree: each value of the item stands for one
-value of the document. Neighbouring shifts are added up.
+Words become a template: numbers, names (words that begin with a capital, wherever they stand, as the first word of a
+sentence may be a name) and units after numbers are typed slots. Windows of templates, and of plain words beside them,
+are hash-joined with those of the benchmark. Where templates meet along one shift, what the slots hold must agree: each
+value of the item stands for one value of the document. Neighbouring shifts are added up.
 """
 
 from __future__ import annotations
@@ -13,40 +13,19 @@ from pyspark.sql import functions as F
 
 from narrascope import runtime
 from narrascope.llm.joins import join_sized
-from narrascope.llm.quality import bound, spaced
+from narrascope.llm.quality import bound
 
-NAME, NUMBER, UNIT, JOINT = "\x01", "\x02", "\x03", "\x05"
+#: Marks in token lines: before a name, slots, a point or comma between digits, a space inside a name.
+NAME, NUMBER, UNIT, POINT, JOINT = "\x01", "\x02", "\x03", "\x04", "\x05"
 #: Units that count as a slot after a number.
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd mi mile miles mg g kg t lb lbs oz ml cl l s sec second seconds min minute minutes h hour hours day days "
     "week weeks month months year years eur euro euros usd dollar dollars cent cents pct percent hz khz mhz w kw v a mb gb tb"
 ).split()
 
-#: A capitalised word inside a sentence, one elsewhere, and what separates tokens: all but letters, digits, and points and commas between digits.
-INSIDE = "\\p{Lu}(?<=[\\p{Ll}\\p{N},;] .)\\p{Ll}[\\p{L}\\p{N}]*"
-FIRST = "\\p{Lu}(?<![\\p{Ll}\\p{N},;] .)(?<![\\p{L}\\p{N}].)\\p{Ll}[\\p{L}\\p{N}]*"
-GAP = f"(?:(?<!\\p{{N}})[.,]|[.,](?!\\p{{N}})|[^\\p{{L}}\\p{{N}}{NAME}{JOINT}.,])+"
-
-
-def _named(line: Column) -> Column:
-    """The line with each name marked, and names of several words joined.
-
-    A word that begins a sentence is a name if it also stands capitalised inside one and never in small letters.
-    """
-    mark = F.regexp_replace(line, INSIDE, f"{NAME}$0")
-
-    def begun(line_names: Column) -> Column:
-        also = F.array_intersect(F.regexp_extract_all(line, F.lit(FIRST), F.lit(0)), F.array_distinct(line_names))
-        alone = lambda c: bound(F.split(line, "[^\\p{L}\\p{N}]+"), lambda said: F.filter(c, lambda x: ~F.array_contains(said, F.lower(x))))
-        return bound(also, lambda c: F.when(F.size(c) > 0, alone(c)).otherwise(c))
-
-    def marked(first: Column) -> Column:
-        pattern = F.concat(F.lit(f"(?<![\\p{{L}}\\p{{N}}{NAME}])(?:"), F.array_join(first, "|"), F.lit(")(?![\\p{L}\\p{N}])"))
-        all_marked = F.when(F.size(first) > 0, F.regexp_replace(mark, pattern, F.lit(f"{NAME}$0"))).otherwise(mark)
-        return F.regexp_replace(all_marked, f"({NAME}[\\p{{L}}\\p{{N}}{JOINT}]+) (?={NAME})", f"$1{JOINT}")
-
-    names = F.regexp_extract_all(line, F.lit(INSIDE), F.lit(0))
-    return bound(names, lambda found: F.when(F.size(found) > 0, bound(begun(found), marked)).otherwise(line))
+#: The capital that begins a word; and what separates tokens.
+CAPITAL = "\\p{Lu}(?<![\\p{L}\\p{N}].)(?=\\p{Ll})"
+GAP = f"[^\\p{{L}}\\p{{N}}{NAME}{JOINT}{POINT}]+"
 
 
 def token_lines(text: Column) -> Column:
@@ -57,16 +36,19 @@ def token_lines(text: Column) -> Column:
     """
 
     def templates(values: Column) -> Column:
-        named = F.regexp_replace(F.concat(F.lit(" "), values, F.lit(" ")), f"{NAME}[^ ]+", NAME)
-        numbered = F.regexp_replace(named, "(?<= )\\p{L}*+\\p{N}[^ ]*", NUMBER)
-        return F.trim(F.regexp_replace(numbered, f"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?= )", UNIT))
+        named = F.regexp_replace(values, f"{NAME}[^ ]+", NAME)
+        numbered = F.regexp_replace(F.concat(F.lit(" "), named, F.lit(" ")), " \\p{L}*+\\p{N}[^ ]*", f" {NUMBER}")
+        return F.trim(F.regexp_replace(numbered, f"{NUMBER} (?:{'|'.join(UNITS)})(?= )", f"{NUMBER} {UNIT}"))
 
-    def fields(line: Column) -> Column:
-        words = F.lower(F.trim(F.regexp_replace(line, "[^\\p{L}\\p{N}]+", " ")))
-        values = F.lower(F.trim(F.regexp_replace(_named(line), GAP, " ")))
-        return bound(values, lambda v: F.struct(words.alias("words"), v.alias("raw"), templates(v).alias("template")))
+    def fields(values: Column) -> Column:
+        words = F.replace(F.replace(F.replace(values, F.lit(NAME), F.lit("")), F.lit(JOINT), F.lit(" ")), F.lit(POINT), F.lit(" "))
+        return F.struct(words.alias("words"), values.alias("raw"), templates(values).alias("template"))
 
-    return bound(spaced(F.regexp_replace(text, "[\x01-\x05]+", " ")), fields)
+    for mark in (NAME, POINT, JOINT):
+        text = F.replace(text, F.lit(mark), F.lit(" "))
+    named = F.regexp_replace(F.regexp_replace(text, CAPITAL, f"{NAME}$0"), f"{NAME}([\\p{{L}}\\p{{N}}]+)[\x09-\x0D ]+(?={NAME})", f"{NAME}$1{JOINT}")
+    named = F.regexp_replace(named, "[.,](?<=\\p{N}.)(?=\\p{N})", POINT)
+    return bound(F.lower(F.trim(F.regexp_replace(named, GAP, " "))), fields)
 
 
 def split(line: Column) -> Column:
@@ -75,8 +57,12 @@ def split(line: Column) -> Column:
 
 def windows(tokens: Column, kind: int, n: int) -> Column:
     """Every run of ``n`` tokens: where it begins and a hash that the kind and ``n`` take part in."""
-    each = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(kind), F.lit(n), F.slice(t, i + 1, n)).alias("hash")))
-    return bound(tokens, lambda t: F.when(F.size(t) < n, F.array().cast("array<struct<at:int,hash:bigint>>")).otherwise(each(t)))
+
+    def each(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(kind), F.lit(n), *[F.get(h, i + k) for k in range(n)]).alias("hash")))
+
+    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
+    return bound(hashes, lambda h: F.when(F.size(h) < n, F.array().cast("array<struct<at:int,hash:bigint>>")).otherwise(each(h)))
 
 
 def is_slot(token: Column) -> Column:
@@ -87,14 +73,16 @@ TEMPLATE, WORDS = 0, 1
 FIELDS = {TEMPLATE: "template", WORDS: "words"}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least_literals: int = 5, least_tokens: int = 13, least_share: float = 0.6) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least_literals: int = 4, least_tokens: int = 13, least_share: float = 0.6) -> DataFrame:
     """Staged pairs (doc_id, item_id) of documents that hold a benchmark item: n_tokens covered, item_tokens, n_slots, consistent.
 
     A pair counts when windows along neighbouring shifts (each at most ``n`` from the next, as words put in or left out
-    make them) together cover ``least_tokens`` tokens of the item, or ``least_share`` of one that is shorter. Windows of ``n`` words as they are (any case) always count. Windows of templates count with
-    ``least_literals`` words besides slots, of shifts whose slots agree, or if the words alone are ``least_tokens``. Items under
-    ``n`` tokens are found by one window of their whole length, however short. Null and empty texts hold nothing; rows
-    that repeat a doc_id are one document; null ids are left out of the result.
+    make them) together cover ``least_tokens`` tokens of the item, or ``least_share`` of one that is shorter. Windows of
+    ``n`` words as they are (any case) always count. Windows of templates count with ``least_literals`` words besides
+    slots, and only of shifts whose slots agree, however much they cover. Items under ``n`` tokens are found by one
+    window of their whole length, however short. Null and empty texts hold nothing; rows that repeat a doc_id are one
+    document, and so are rows that repeat an item_id; null ids are left out of the result; either table may be empty.
+    A long text is one row of the scan, all its windows with it. Of other columns none is read, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), text.alias("text"))
@@ -135,12 +123,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least_lit
     raw = join_sized(base, wanted, "doc").select("doc", split(token_lines(F.col("text"))["raw"]).alias("said"))
     full = raw.join(other, "doc").join(items, "item")
     pairs = F.array_distinct(F.transform(F.filter("covered", lambda i: is_slot(F.get("template", i))), lambda i: F.struct(F.get("template", i).alias("type"), F.get("raw", i).alias("item"), F.get("said", i + F.col("shift")).alias("doc"))))
-    full = full.withColumn("pairs", pairs).withColumn("literals", F.filter("covered", lambda i: ~is_slot(F.get("template", i))))
+    full = full.withColumn("pairs", pairs)
     full = full.withColumn("agree", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["type"], p["item"])))))
     union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     # of rows that repeat an id, those whose slots agree are tried alone
-    sums = full.groupBy(*part).agg(union(F.when(F.col("agree"), F.col("covered"))).alias("agreed"), union("literals").alias("literals"), union("covered").alias("covered"), F.size(union("pairs")).alias("slots"))
-    sums = sums.withColumn("consistent", F.size("agreed") >= need).where(F.col("consistent") | (F.size("literals") >= least_tokens))
-    other = sums.select("doc", "item", F.size(F.when(F.col("consistent"), F.col("agreed")).otherwise(F.col("covered"))).alias("n"), "consistent", "slots", "item_tokens")
+    sums = full.groupBy(*part).agg(union(F.when(F.col("agree"), F.col("covered"))).alias("agreed"), F.size(union(F.when(F.col("agree"), F.col("pairs")))).alias("slots"))
+    sums = sums.where(F.size("agreed") >= need)
+    other = sums.select("doc", "item", F.size("agreed").alias("n"), F.lit(True).alias("consistent"), "slots", "item_tokens")
     best = same.unionByName(other).groupBy("doc", "item").agg(F.max(F.struct("n", "consistent", "slots", "item_tokens")).alias("b"))
     return runtime.staged(best.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("b.n").cast("long").alias("n_tokens"), F.col("b.item_tokens").cast("long").alias("item_tokens"), F.col("b.slots").cast("long").alias("n_slots"), F.col("b.consistent").alias("consistent")), "contaminated")
