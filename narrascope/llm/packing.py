@@ -21,8 +21,8 @@ from narrascope.llm.joins import join_sized
 from narrascope.llm.tokenfile import with_end
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Rows of one length that a ranking task takes, about; longer lists are dealt to more tasks.
-RANK_ROWS = 50_000
+#: Rows of one part of a length, about: parts, not lengths, are dealt to tasks.
+RANK_ROWS = 1_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -30,6 +30,7 @@ CLASSES = (r"\p{Lu}", r"[0-9]", r"[.,;:!?'\"()\-]", r"[^\x00-\x7F]")
 N_CLASSES = len(CLASSES) + 3
 
 SCALE = 1_000_000
+RESULTS = set("n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept class_distance word_distance n_chars_seen n_common".split())
 
 
 def bound(value: Column, use) -> Column:
@@ -149,10 +150,14 @@ def judge(
     """Columns ``keep`` of every document with its counts, base_failed, distances and ``kept``.
 
     Null and empty texts have no words and fail the base rules. A document of a language without a reference, or too
-    short for a histogram, is not held against it. Rows that repeat an id are judged each. ``word_far`` was read off
+    short for a histogram, is not held against it. Rows that repeat an id are judged each; equal texts get equal
+    verdicts; an empty table gives no rows. A text of any length is judged whole, in one row of the scan. Columns of
+    any name may be there; those to ``keep`` must not be named like a result, which is refused. ``word_far`` was read off
     labelled documents of sf0.1: of 3,076 of quality 1 that can be compared one lies beyond it (0.320; the rest up to 0.270).
     """
     keep = ["doc_id"] if keep is None else keep
+    if clash := {c.lower() for c in keep} & RESULTS:
+        raise ValueError(f"columns to keep are named like results: {sorted(clash)}")
     measured = runtime.staged(measure(docs, keep), "measured")
     refs = runtime.staged(references(measured), "references")
     joined = join_sized(measured.withColumn("_key", F.coalesce("_lang", F.lit(""))), refs, "_key", "left")

@@ -36,7 +36,7 @@ OP2 = rf"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text,
    list_transform(list_append(m, greatest(0, n_words - list_sum(m))), lambda v: floor(v * 1000000 / greatest(n_words, list_sum(m), 1))::DOUBLE) AS ms FROM k),
  r AS (SELECT lang, [{", ".join(f"sum(cs[{i}])" for i in range(1, 8))}] AS rc, [{", ".join(f"sum(ms[{i}])" for i in range(1, _N + 2))}] AS rm FROM f WHERE NOT base_failed GROUP BY lang),
  j AS (SELECT f.*, CASE WHEN n_chars >= 400 THEN {_JS.format(p="cs", q="rc")} END AS cd, CASE WHEN n_words >= 80 THEN {_JS.format(p="ms", q="rm")} END AS md FROM f LEFT JOIN r USING (lang))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(cd > 0.3, false) AND NOT coalesce(md > 0.37, false) AS kept, round(cd, 6) AS class_distance, round(md, 6) AS word_distance FROM j"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(cd > 0.3, false) AND NOT coalesce(md > 0.28, false) AS kept, round(cd, 6) AS class_distance, round(md, 6) AS word_distance FROM j"""
 
 _R = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
 _CASES = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'rule': '{h}{p}', 'verdict': '{v}'}}" for v, h, p in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r)))

@@ -53,3 +53,11 @@ def test_verdicts(spark):
 
 def test_no_documents(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_long_texts_and_clashing_names(spark):
+    long = " ".join(f"w{i % 977} x{i}" for i in range(40_000))
+    df = spark.createDataFrame([(1, long, "en", 7, "k"), (1, long, "en", 8, "l")], "doc_id long, text string, lang string, n_words int, _words string")
+    assert [tuple(r)[1:7] for r in quality.judge(df).collect()] == [base(long)] * 2
+    with pytest.raises(ValueError):
+        quality.judge(df, ["doc_id", "N_words"])
