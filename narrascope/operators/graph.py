@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope import runtime
+from narrascope.operators.components import components
 from narrascope.operators.pit import known_at
 
 #: Fixed values of the ontology.
@@ -105,24 +106,16 @@ def propagate(triggers: DataFrame, edges: DataFrame, companies: DataFrame, most_
     return total.select("trigger", "company", "impact", F.signum("impact").cast("int").alias("direction"), "n_paths")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reachable. Labels and their labels' labels are taken each round."""
-    both = runtime.staged(undirected(edges).distinct(), "links")
-    labels = runtime.staged(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        fresh = runtime.staged(lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component")), "labels")
-        moved = fresh.join(labels.withColumnRenamed("component", "old"), "node").where("component != old").limit(1).count()
-        labels = fresh
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
-
-
-def louvain(edges: list[tuple[str, str, float]], rounds: int = 20) -> dict[str, int]:
-    """Weighted modularity communities by local moves and aggregation, nodes in sorted order; numbered by smallest member."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable."""
+    return components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+
+
+def louvain(edges: list[tuple[str, str, float]], rounds: int = 20, whole: float | None = None) -> dict[str, int]:
+    """Weighted modularity communities by local moves and aggregation, nodes in sorted order; numbered by smallest member.
+
+    ``whole`` is the weight of all edges of the graph, where these are those of a part that nothing ties to the rest.
+    """
     weights: dict[tuple[str, str], float] = {}
     for a, b, w in edges:
         if a != b:
@@ -131,8 +124,8 @@ def louvain(edges: list[tuple[str, str, float]], rounds: int = 20) -> dict[str,
     names = sorted({x for pair in weights for x in pair})
     group = {n: k for k, n in enumerate(names)}
     level = {(group[a], group[b]): w for (a, b), w in weights.items()}
-    total = sum(level.values())
-    if not total:
+    total = whole or sum(level.values())
+    if not level:
         return group
     for _ in range(rounds):
         near: dict[int, dict[int, float]] = {}
@@ -171,20 +164,43 @@ def louvain(edges: list[tuple[str, str, float]], rounds: int = 20) -> dict[str,
     return {n: order[group[n]] for n in names}
 
 
-def communities(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node, community): one clustering for each point; a point's bipartite graph is small by its filter."""
-    runtime.ship(edges.sparkSession)
+def communities(edges: DataFrame, keys: list[str], most_edges: int = 5_000_000) -> DataFrame:
+    """(keys, node, community): one clustering for each point, communities numbered by their smallest member.
+
+    Communities never reach over connected components, so a task takes a component of a point, with the weight of the
+    whole point. A component of more than ``most_edges`` edges is refused rather than left to one task. Edges that are
+    there several times count as one, with the sum of their weights; one without weight counts as 1.
+    """
+    spark = edges.sparkSession
+    runtime.ship(spark)
+    heavy = F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight"))
+    once = edges.where("src != dst").groupBy(*keys, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    once = runtime.staged(once.withColumn("weight", heavy), "cluster-edges")
+    at = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys])
+    parts = components(once.select(F.concat_ws("\x1f", at, "src").alias("u"), F.concat_ws("\x1f", at, "dst").alias("v")))
+    placed = once.withColumn("node", F.concat_ws("\x1f", at, "src")).join(parts, "node").drop("node")
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most_edges)
+    if sizes.limit(1).count():
+        raise ValueError(f"a component has more than {most_edges} edges")
+    whole = once.groupBy(*keys).agg(F.sum("weight").alias("whole"))
+    placed = placed.join(F.broadcast(whole), keys)  # a row for each point
 
     def cluster(batch: pd.DataFrame) -> pd.DataFrame:
-        found = louvain(list(zip(batch["src"], batch["dst"], batch["weight"])))
-        out = pd.DataFrame(sorted(found.items()), columns=["node", "community"])
+        found = louvain(list(zip(batch["src"], batch["dst"], batch["weight"])), whole=float(batch["whole"].iloc[0]))
+        smallest: dict[int, str] = {}
+        for node, c in sorted(found.items()):
+            smallest.setdefault(c, node)
+        out = pd.DataFrame(sorted((n, smallest[c]) for n, c in found.items()), columns=["node", "first"])
         for k in keys:
             out[k] = batch[k].iloc[0]
-        return out[[*keys, "node", "community"]]
+        return out[[*keys, "node", "first"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "node string", "community long"])
-    return edges.select(*keys, "src", "dst", "weight").groupBy(*keys).applyInPandas(cluster, schema)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "node string", "first string"])
+    found = runtime.staged(placed.groupBy(*keys, "component").applyInPandas(cluster, schema), "clusters")
+    # communities are few beside nodes; their numbers are places among the smallest members of a point
+    numbers = found.select(*keys, "first").distinct().withColumn("community", (F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1).cast("long"))
+    return found.join(numbers, [*keys, "first"]).select(*keys, "node", "community")
 
 
 def exposure_score(parts: DataFrame, keys: list[str]) -> DataFrame:

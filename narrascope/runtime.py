@@ -8,14 +8,20 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application, and keep their batches of texts small."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
+def prepare(spark: SparkSession) -> None:
+    """``ship``, and batches of 2,500 rows for Python workers of this session where it has the default of 10,000: texts are long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
+    ship(spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -34,12 +40,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) a local folder is made and used.
+    Only where the session names none and runs on one machine (tests, a laptop) a local folder is made and used; on a
+    cluster without the setting executors would write to their own disks, so that is refused.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         held = getattr(spark.sparkContext, "_narrascope_dir", None)
         if held is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             held = "file://" + tempfile.mkdtemp(prefix="narrascope-shared-")
             spark.sparkContext._narrascope_dir = held
         where = held
@@ -55,10 +64,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends in files that outlive executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends in files that outlive executors.
+
+    The files go when the application ends.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._narrascope_path = path
     return out
@@ -69,3 +83,19 @@ def stored_bytes(df: DataFrame) -> int:
     jvm = df.sparkSession.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(df._narrascope_path)
     return path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` staged with each row's place (from 0) in a total order: ranges are sorted apart, and counts of ranges are added up."""
+    spark = df.sparkSession
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = staged(sorted_rows.withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part, local = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).collect()  # a row for each partition
+    before, total = {}, 0
+    for r in sorted(sizes, key=lambda r: r["_part"]):
+        before[r["_part"]], total = total, total + r["_n"]
+    if not before:
+        return rows.withColumn(name, F.lit(0).cast("long")).drop("_id")
+    offsets = spark.createDataFrame(list(before.items()), "_part long, _before long")
+    return rows.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + local).drop("_id", "_part", "_before")
