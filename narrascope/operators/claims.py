@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Patterns of claims and of forward-looking words.
-AMOUNT = r"\$\s?(\d[\d,]*(?:\.\d+)?)\s*(billion|million|thousand)?"
-PERCENT = r"(\d+(?:\.\d+)?)\s?(?:%|percent)"
-EPS = r"(?i)(?:eps|earnings per share)[^.$]{0,40}\$\s?(\d+(?:\.\d+)?)"
+from narrascope.operators.evidence import reconcile_claims
+from narrascope.operators.pit import known_at
+
+#: Patterns of claims by named metric, units, directions, and forward-looking words.
+MONEY = r"(?i)(revenue|net income|eps|operating margin|ebitda margin|gross margin|operating cash flow|total debt)[^.]*?(?:(rose|grew|increased|fell|declined|decreased|was|came in at|reached|stood at|of)[^$\d]*?)?\$\s*(\d+(?:\.\d+)?)\s*(billion|million|bn|m\b)"
+SHARE = r"(?i)(gross margin|operating margin|ebitda margin)[^.]*?(?:(was|of|is expected to be approximately)\s*)?(\d+(?:\.\d+)?)%[^.]*?(?:for|in)\s+([A-Z][A-Z0-9 ]+\d{4})"
+PER_SHARE = r"(?i)eps[^.]*?(?:(came in at|of|to|was)\s*)?\$\s*(\d+(?:\.\d+)?)[^.]*?(?:for|in)\s+([A-Z][A-Z0-9 ]+\d{4})"
+PERIOD_IN_TEXT = r"(?i)\b(Q[1-4]\s+\d{4}|FY\s+\d{4}|H[12]\s+\d{4})\b"
 PERIOD = r"(?i)\b(Q[1-4]|H[12]|FY)\s*(?:of\s+)?(\d{4})\b"
-GUIDANCE = r"(?i)\b(expect|expects|guidance|outlook|forecast|anticipate|anticipates)\b"
+GUIDANCE_SIGNALS = "guidance guide guides expect expects expected raise raises raised raising outlook forecast projected".split()
+RISING, FALLING = ("rose", "grew", "increased"), ("fell", "declined", "decreased")
 
 
 def period_end(period: Column) -> Column:
@@ -21,51 +26,69 @@ def period_end(period: Column) -> Column:
     return F.when(month.isNotNull(), F.last_day(F.make_date(year.cast("int"), month, F.lit(1))))
 
 
+def sentences_of(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u001f"), "\u001f")
+
+
 def find_claims(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """chunk_id, metric, value, is_guidance, period_end of every distinct claim of a sentence."""
-    sentence = F.explode(F.split(F.regexp_replace(F.col(text), r"([.!?])\s+", "$1\u001f"), "\u001f"))
-    rows = chunks.select("chunk_id", "company", sentence.alias("s"))
-    number = lambda x: F.expr(f"try_cast(replace({x}, ',', '') AS DOUBLE)")
-    scale = lambda u: F.when(u == "billion", 1e9).when(u == "million", 1e6).when(u == "thousand", 1e3).otherwise(1.0)
-    eps = rows.where(F.col("s").rlike(EPS)).select("chunk_id", "company", "s", F.lit("eps").alias("metric"), F.regexp_extract("s", EPS, 1).cast("double").alias("value"))
-    amounts = rows.where(~F.col("s").rlike(EPS)).select("chunk_id", "company", "s", F.explode(F.arrays_zip(F.regexp_extract_all("s", F.lit(AMOUNT), F.lit(1)).alias("n"), F.regexp_extract_all("s", F.lit(AMOUNT), F.lit(2)).alias("u"))).alias("m"))
-    amounts = amounts.withColumn("n", F.col("m.n")).select("chunk_id", "company", "s", F.lit("amount").alias("metric"), (number("n") * scale(F.col("m.u"))).alias("value"))
-    percents = rows.select("chunk_id", "company", "s", F.explode(F.regexp_extract_all("s", F.lit(PERCENT), F.lit(1))).alias("n")).select("chunk_id", "company", "s", F.lit("percent").alias("metric"), F.col("n").cast("double").alias("value"))
-    out = eps.unionByName(amounts).unionByName(percents).where("value IS NOT NULL")
-    guided = F.col("s").rlike(GUIDANCE)
-    return out.select("chunk_id", "company", "metric", "value", guided.alias("is_guidance"), period_end(F.col("s")).alias("period_end"), F.when(guided, 0.7).otherwise(0.85).alias("confidence")).distinct()
+    """Claims of a chunk by named metric: chunk_id, company, metric, value, unit, period, direction, is_guidance, confidence, at.
+
+    A sentence gives amounts in dollars, margins in percent and earnings per share; equal claims of a chunk are one, the
+    first of them. ``at`` is the place of a claim among those of its chunk.
+    """
+    low = F.lower("s")
+    guided = F.lit(False)
+    for word in GUIDANCE_SIGNALS:
+        guided = guided | low.contains(word)
+    said = F.replace(F.upper(F.regexp_extract("s", PERIOD_IN_TEXT, 1)), F.lit("  "), F.lit(" "))
+    rows = chunks.select("chunk_id", "company", F.posexplode(sentences_of(F.col(text))).alias("n", "s")).withColumn("is_guidance", guided).withColumn("said", said)
+    groups = lambda pattern, *ks: F.arrays_zip(*[F.regexp_extract_all("s", F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in ks])
+    number = lambda c: F.expr(f"try_cast({c} AS DOUBLE)")
+    metric = F.replace(F.lower(F.trim("m.g1")), F.lit(" "), F.lit("_"))
+    unit = F.when(F.lower("m.g4").isin("billion", "bn"), "USD_billions").otherwise("USD_millions")
+    way = F.when(F.lower("m.g2").isin(*RISING), "rose").when(F.lower("m.g2").isin(*FALLING), "fell").otherwise("")
+    keep = ["chunk_id", "company", "n", "is_guidance", "said"]
+    money = rows.select(*keep, F.posexplode(groups(MONEY, 1, 2, 3, 4)).alias("k", "m")).select(*keep, F.lit(0).alias("kind"), "k", metric.alias("metric"), number("m.g3").alias("value"), unit.alias("unit"), F.col("said").alias("period"), way.alias("direction"), F.lit(0.75).alias("confidence"))
+    share = rows.select(*keep, F.posexplode(groups(SHARE, 1, 3, 4)).alias("k", "m")).select(*keep, F.lit(1).alias("kind"), "k", metric.alias("metric"), number("m.g3").alias("value"), F.lit("percent").alias("unit"), F.upper(F.trim("m.g4")).alias("period"), F.lit("").alias("direction"), F.lit(0.70).alias("confidence"))
+    each = rows.select(*keep, F.posexplode(groups(PER_SHARE, 2, 3)).alias("k", "m")).select(*keep, F.lit(2).alias("kind"), "k", F.lit("eps").alias("metric"), number("m.g2").alias("value"), F.lit("USD_per_share").alias("unit"), F.upper(F.trim("m.g3")).alias("period"), F.lit("").alias("direction"), F.lit(0.75).alias("confidence"))
+    out = money.unionByName(share).unionByName(each).where("value IS NOT NULL")
+    same = ["chunk_id", "company", "metric", "value", "unit", "period", "is_guidance"]
+    first = out.groupBy(*same).agg(F.min(F.struct("n", "kind", "k", "direction", "confidence")).alias("f"))
+    return first.select("chunk_id", "company", "metric", "value", "unit", "period", "f.direction", "is_guidance", "f.confidence", F.struct("f.n", "f.kind", "f.k").alias("at"))
 
 
 def roll_up(claims: DataFrame) -> DataFrame:
-    """One claim for each (company, metric, period, guidance): the most confident, with all its chunks."""
-    keys = ["company", "metric", "period_end", "is_guidance"]
-    best = F.max(F.struct("confidence", "value"))
-    return claims.groupBy(*keys).agg(best.alias("b"), F.array_sort(F.collect_set("chunk_id")).alias("chunks")).select(*keys, F.col("b.value").alias("value"), F.col("b.confidence").alias("confidence"), "chunks")
+    """One claim for each (company, metric, period, guidance): the most confident, the first of equals, with all its chunks."""
+    keys = ["company", "metric", "period", "is_guidance"]
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), "chunk_id", "at", "value", "unit", "direction")).alias("b")
+    by = claims.groupBy(*keys).agg(best, F.array_sort(F.collect_set("chunk_id")).alias("chunks"))
+    return by.select(*keys, F.col("b.value").alias("value"), F.col("b.unit").alias("unit"), F.col("b.direction").alias("direction"), (-F.col("b.c")).alias("confidence"), "chunks")
 
 
-def fact_label(metric: Column, value: Column, period: Column) -> Column:
-    shown = F.when(F.abs(value) >= 1e9, F.format_string("%.2f billion", value / 1e9)).when(F.abs(value) >= 1e6, F.format_string("%.2f million", value / 1e6)).otherwise(F.format_string("%.2f", value))
-    return F.concat_ws(" ", metric, shown, F.when(period.isNotNull(), F.concat(F.lit("("), period.cast("string"), F.lit(")"))))
+class RuleFactExtractor:
+    """Fact extractor by rules; another one offers ``extract_facts`` with the same columns."""
 
+    def extract_facts(self, chunks: DataFrame) -> DataFrame:
+        return find_claims(chunks)
 
-#: Direction words.
-BENEFICIAL, ADVERSE = r"(?i)\b(benefit|benefits|boost|boosts|tailwind|gain|gains|support|supports)\b", r"(?i)\b(hurt|hurts|pressure|pressured|headwind|loss|losses|risk|risks)\b"
 
+def run_facts(chunks: DataFrame, facts: DataFrame, as_of: str, extractor: RuleFactExtractor | None = None) -> DataFrame:
+    """Claims of the chunks known at ``as_of``, rolled up; those that a reported fact (company, period_end, metric) answers go.
 
-def direction(text: Column) -> Column:
-    """1 or -1 where the text speaks for one side alone, else 0."""
-    up, down = text.rlike(BENEFICIAL), text.rlike(ADVERSE)
-    return F.when(up & ~down, 1).when(down & ~up, -1).otherwise(0)
+    Guidance always stays. ``chunks``: chunk_id, company, available_at, text; undated chunks are left out.
+    """
+    live = chunks.where(known_at(F.col("available_at"), as_of))
+    rolled = roll_up((extractor or RuleFactExtractor()).extract_facts(live)).withColumn("period_end", period_end(F.col("period")))
+    return reconcile_claims(rolled, facts, ["company", "period_end", "metric"])
 
 
-def canonical_name(name: Column) -> Column:
-    """White space collapsed and company suffixes dropped."""
-    flat = F.trim(F.regexp_replace(name, r"\s+", " "))
-    return F.regexp_replace(flat, r"(?i)[,\s]+(inc|corp|corporation|ltd|limited|plc|co|company|llc)\.?$", "")
+def fact_label(metric: Column, value: Column, period: Column) -> Column:
+    shown = F.when(F.abs(value) >= 1e9, F.format_string("%.2f billion", value / 1e9)).when(F.abs(value) >= 1e6, F.format_string("%.2f million", value / 1e6)).otherwise(F.format_string("%.2f", value))
+    return F.concat_ws(" ", metric, shown, F.when(period.isNotNull(), F.concat(F.lit("("), period.cast("string"), F.lit(")"))))
 
 
 def carry_sections(lines: DataFrame) -> DataFrame:
     """(doc_id, n, line) with ``section``: the last heading at or before a line."""
-    heading = F.when(F.col("line").rlike(r"^(?i:item\s+\d+[a-z]?\.)|^[A-Z][A-Z&\s]{4,}$|^\[\[SECTION "), F.col("line"))
+    heading = F.when(F.col("line").rlike(r"^(?i:item\s+\d+[a-z]?\.)|^[A-Z][A-Z&\s]{4,}$|^\[\[\[SECTION_TITLE:"), F.col("line"))
     order = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("section", F.last(heading, ignorenulls=True).over(order))

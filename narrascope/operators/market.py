@@ -7,12 +7,34 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrascope import runtime
+
 
 def window_prices(prices: DataFrame, points: DataFrame) -> DataFrame:
-    """Prices usable for each (as_of, months): strictly after as_of, by the window's end, known on their own day."""
+    """Prices usable for each (as_of, months): strictly after as_of, by the window's end, known on their own day.
+
+    The earliest and the latest day of all windows are read off the short list of points first, so that they reach the
+    scan of prices as plain comparisons.
+    """
     ends = points.withColumn("window_end", F.add_months("as_of", F.col("months")))
-    fits = (F.col("price_date") > F.col("as_of")) & (F.col("price_date") <= F.col("window_end")) & F.col("available_at").isNotNull() & (F.col("available_at") <= F.col("price_date"))
-    return prices.where("close is not null").join(F.broadcast(ends), fits)
+    lo, hi = ends.agg(F.min("as_of"), F.max("window_end")).first()
+    fits = (F.col("price_date") > F.col("as_of")) & (F.col("price_date") <= F.col("window_end"))
+    usable = F.col("close").isNotNull() & F.col("available_at").isNotNull() & (F.col("available_at") <= F.col("price_date"))
+    live = prices.where(usable & (F.col("price_date") > F.lit(lo)) & (F.col("price_date") <= F.lit(hi)))
+    return live.join(F.broadcast(ends), fits)
+
+
+def sums_at_points(rows: DataFrame, points: DataFrame, day: str, keys: list[str], value: str, total: str) -> DataFrame:
+    """Sum of ``value`` by key over the rows known at each point (as_of).
+
+    Rows are summed once, under the first point that knows them, and only these sums are repeated for later points.
+    """
+    days = [r[0] for r in points.select("as_of").distinct().orderBy("as_of").collect()]  # a short list
+    since = F.lit(None).cast("date")
+    for p in reversed(days):
+        since = F.when(F.col(day) <= F.lit(p), F.lit(p)).otherwise(since)
+    once = rows.withColumn("_since", since).where("_since IS NOT NULL").groupBy("_since", *keys).agg(F.sum(value).alias("_sum"))
+    return once.join(F.broadcast(points.select("as_of").distinct()), F.col("_since") <= F.col("as_of")).groupBy("as_of", *keys).agg(F.sum("_sum").alias(total))
 
 
 def forward_returns(prices: DataFrame, points: DataFrame, tie: list[str]) -> DataFrame:
@@ -79,8 +101,16 @@ def score_projections(impacts: DataFrame, returns: DataFrame) -> DataFrame:
     return both.withColumn("hit", hit).withColumn("hit_rate", F.avg("hit").over(Window.partitionBy("trigger")))
 
 
-def random_baseline(company_ids: list[str], n: int, seed: int = 42) -> list[str]:
-    """The first n of a seeded shuffle of the sorted ids."""
-    ids = sorted(company_ids)
-    random.Random(seed).shuffle(ids)
-    return ids[:n]
+def random_places(n_companies: int, n: int, seed: int = 42) -> list[int]:
+    """Places, among the sorted ids of a universe, of the first n of its seeded shuffle."""
+    places = list(range(n_companies))
+    random.Random(seed).shuffle(places)
+    return places[:n]
+
+
+def random_baseline(companies: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(rank, company_id): the first n of a seeded shuffle of the sorted ids, of which the driver sees only the number."""
+    placed = runtime.global_rank(companies.select("company_id").distinct(), ["company_id"], "place")
+    chosen = random_places(placed.count(), n, seed)
+    picks = companies.sparkSession.createDataFrame([(k, p) for k, p in enumerate(chosen)], "rank int, place long")
+    return placed.join(F.broadcast(picks), "place").select("rank", "company_id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import json
 import re
 from collections.abc import Iterator
@@ -15,7 +14,9 @@ from pyspark.sql import functions as F
 from narrascope import runtime
 
 #: Fixed values of the cleaning rules.
-PAGE_PATTERNS = (r"^\s*\d{1,4}\s*$", r"(?i)^\s*page\s+\d+\s*$", r"(?i)^\s*page\s+\d+\s+of\s+\d+\s*$")
+PAGE_PATTERNS = (r"^\s*[-—]?\s*\d+\s*[-—]?\s*$", r"(?i)^\s*page\s+\d+(\s+of\s+\d+)?\s*$", r"^\s*\d+\s*/\s*\d+\s*$")
+TABLE_MARK, SECTION_MARK, MARK_END = "[[[TABLE_DATA:", "[[[SECTION_TITLE:", "]]]"
+SGML_LINE = re.compile(r"^<(DOCUMENT|TYPE|SEQUENCE|FILENAME|DESCRIPTION|TEXT|/DOCUMENT|/TEXT)\b.*$\n?", re.I | re.M)
 CHUNK_CHARS, OVERLAP_CHARS = 800, 100
 HEADER_CHARS, HEADER_TIMES = 80, 3
 
@@ -31,14 +32,15 @@ def normal_whitespace(text: Column) -> Column:
     return F.regexp_replace(text, "^[ \n]+|[ \n]+$", "")
 
 
-def without_page_numbers(text: Column) -> Column:
-    def bare(line: Column) -> Column:
-        keep = F.lit(True)
-        for p in PAGE_PATTERNS:
-            keep = keep & ~line.rlike(p)
-        return keep
+def is_page_line(line: Column) -> Column:
+    out = F.lit(False)
+    for p in PAGE_PATTERNS:
+        out = out | line.rlike(p)
+    return out
 
-    return F.array_join(F.filter(F.split(text, "\n"), bare), "\n")
+
+def without_page_numbers(text: Column) -> Column:
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~is_page_line(line)), "\n")
 
 
 def repeated_line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -58,9 +60,12 @@ def tokens(text: Column) -> Column:
 
 
 def tone(docs: DataFrame, lexicon: DataFrame, categories: list[str]) -> DataFrame:
-    """Hits of each lexicon category by token; the lexicon is a word list of fixed size."""
-    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    scored = words.join(F.broadcast(lexicon), "word", "left").groupBy("doc_id").agg(F.sum("n").alias("token_count"), *[F.sum(F.coalesce(F.col(c), F.lit(0)) * F.col("n")).alias(c) for c in categories])
+    """Hits of each lexicon category by token; the lexicon is a word list of fixed size.
+
+    Tokens meet the lexicon where they are read, and one row a document is shuffled. Texts without a token have no row.
+    """
+    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("word")).join(F.broadcast(lexicon), "word", "left")
+    scored = words.groupBy("doc_id").agg(F.count("*").alias("token_count"), *[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in categories])
     return scored.select("doc_id", "token_count", *[F.round(F.col(c) / F.greatest("token_count", F.lit(1)), 6).alias(c) for c in categories])
 
 
@@ -134,14 +139,16 @@ class _Page(HTMLParser):
         elif tag == "table" and self.tables:
             self.tables -= 1
             if not self.tables and any(self.rows):
-                self.out.append(f"\n[[TABLE {json.dumps([r for r in self.rows if r], ensure_ascii=False)}]]\n")
+                self.out.append(f"\n{TABLE_MARK}{json.dumps({'rows': [r for r in self.rows if r]}, ensure_ascii=False)}{MARK_END}\n")
         elif self.tables == 1 and tag in ("td", "th") and self.cell is not None:
             if not self.rows:
                 self.rows.append([])
             self.rows[-1].append(" ".join("".join(self.cell).split()))
             self.cell = None
         elif re.fullmatch("h[1-6]", tag) and self.heading is not None:
-            self.out.append(f"\n[[SECTION {' '.join(''.join(self.heading).split())}]]\n")
+            title = " ".join("".join(self.heading).split())
+            if title:
+                self.out.append(f"\n{SECTION_MARK}{title}{MARK_END}\n")
             self.heading = None
 
     def handle_data(self, data):
@@ -157,10 +164,11 @@ class _Page(HTMLParser):
 
 
 def page_text(source: str) -> str:
+    """Visible text of markup; lines of an SGML wrapper go, white space is collapsed outside markers."""
     page = _Page()
-    page.feed(source or "")
+    page.feed(SGML_LINE.sub("", source or ""))
     page.close()
-    lines = [" ".join(x.split()) for x in html.unescape("".join(page.out)).split("\n")]
+    lines = [x.strip() if x.strip().startswith((TABLE_MARK, SECTION_MARK)) else " ".join(x.split()) for x in "".join(page.out).split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
@@ -174,47 +182,24 @@ def html_to_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", read("html").alias("text"))
 
 
-#: Fixed values of the rule sentiment: stems, negations and hedges.
-POSITIVE = ("strong", "growth", "improv", "record", "exceed", "robust")
-NEGATIVE = ("weak", "declin", "loss", "pressur", "soft", "impair")
-NEGATIONS = frozenset("not no never neither without cannot don't didn't doesn't isn't wasn't".split())
-HEDGES = ("may", "might", "could", "possibly", "uncertain")
-NEGATION_WINDOW = 5
-
-
-def sentiment(text: str) -> tuple[str, str, bool, float]:
-    """Direction, tone, hedge and confidence; a negation within five tokens before a stem flips it."""
-    words = re.findall(r"[a-z']+", (text or "").lower())
-    pos = neg = 0
-    for i, w in enumerate(words):
-        good, bad = w.startswith(POSITIVE), w.startswith(NEGATIVE)
-        if good or bad:
-            if NEGATIONS & set(words[max(0, i - NEGATION_WINDOW) : i]):
-                good, bad = bad, good
-            pos, neg = pos + good, neg + bad
-    n = pos + neg
-    direction = "neutral" if not n else "mixed" if pos and neg and pos == neg else "positive" if pos > neg else "negative"
-    level = "high" if n >= 4 else "moderate" if n >= 2 else "low"
-    return direction, level, any(w in HEDGES for w in words), min(0.6 + 0.05 * n, 0.9) if n else 0.5
-
-
-def score_sentiment(docs: DataFrame) -> DataFrame:
-    runtime.ship(docs.sparkSession)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(d, *sentiment(t)) for d, t in zip(batch["doc_id"], batch["text"])], columns=["doc_id", "direction", "tone", "hedging", "confidence"])
-
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, direction string, tone string, hedging boolean, confidence double")
+#: Fixed values of the fusion: least share of a category that counts, and what is left of the confidence.
+LEAST_SHARE, HEDGED_FACTOR, CONFLICT_FACTOR = 0.005, 0.75, 0.50
 
 
 def fuse(rows: DataFrame) -> DataFrame:
-    """Lexicon direction (share over 0.005; ties uncertainty, negative, positive), agreement with the extracted one, and confidence."""
+    """Direction by the lexicon (largest share over the least; ties uncertainty, negative, positive) beside the extracted one.
+
+    Adds lm_direction, agreement (agree, hedged, conflict), fused_tone and fused_confidence. Opposite directions are a
+    conflict and count as negative; a mixed reading is hedged, so is one that the lexicon does not bear out.
+    """
     top = F.greatest("uncertainty", "negative", "positive")
-    lexicon = F.when(top <= 0.005, "neutral").when(F.col("uncertainty") == top, "uncertain").when(F.col("negative") == top, "negative").otherwise("positive")
+    lexicon = F.when(top <= LEAST_SHARE, "neutral").when(F.col("uncertainty") == top, "uncertainty").when(F.col("negative") == top, "negative").otherwise("positive")
     rows = rows.withColumn("lm_direction", lexicon)
-    opposed = ((F.col("direction") == "positive") & (F.col("lm_direction") == "negative")) | ((F.col("direction") == "negative") & (F.col("lm_direction") == "positive"))
-    agreement = F.when(opposed, "conflict").when(F.col("hedging") | (F.col("lm_direction") == "uncertain"), "hedged").when(F.col("direction") == F.col("lm_direction"), "agree").otherwise("partial")
-    rows = rows.withColumn("agreement", agreement)
-    factor = F.when(F.col("agreement") == "conflict", 0.5).when(F.col("agreement") == "hedged", 0.75).otherwise(1.0)
-    return rows.withColumn("fused_confidence", F.round(F.col("confidence") * factor, 6))
+    said, lm = F.col("direction"), F.col("lm_direction")
+    up = F.when(lm == "negative", "conflict").when(lm == "positive", "agree").otherwise("hedged")
+    down = F.when(lm == "positive", "conflict").when(lm == "neutral", "hedged").otherwise("agree")
+    rows = rows.withColumn("agreement", F.when(said == "positive", up).when(said == "negative", down).when((said != "mixed") & (lm == "neutral"), "agree").otherwise("hedged"))
+    agreement = F.col("agreement")
+    tone_of = F.when(agreement == "conflict", "negative").when(agreement == "hedged", "hedged").when(said.isin("positive", "negative", "neutral"), said).otherwise("neutral")
+    factor = F.when(agreement == "conflict", CONFLICT_FACTOR).when(agreement == "hedged", HEDGED_FACTOR).otherwise(1.0)
+    return rows.withColumn("fused_tone", tone_of).withColumn("fused_confidence", F.round(F.col("confidence") * factor, 6))

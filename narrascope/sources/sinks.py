@@ -44,3 +44,8 @@ def write_validation_csv(df: DataFrame, path: str, returns: list[str]) -> None:
     """Returns with six decimals, nothing for null."""
     shown = [F.coalesce(F.format_string("%.6f", F.col(c)), F.lit("")).alias(c) if c in returns else F.col(c) for c in df.columns]
     df.select(*[F.when(F.col(c).isNull(), "").otherwise(x).alias(c) if c in returns else x for c, x in zip(df.columns, shown)]).write.mode("overwrite").csv(path, header=True, emptyValue="")
+
+
+def write_manifest(rows: DataFrame, columns: tuple[str, ...], path: str) -> None:
+    """A manifest as CSV with the contract's columns in order; absent ones are empty."""
+    rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in columns]).write.mode("overwrite").csv(path, header=True, emptyValue="")
