@@ -41,17 +41,10 @@ def points(spark: SparkSession, rows: list[tuple[str, int]]) -> DataFrame:
     return spark.createDataFrame(rows, "as_of string, months int").withColumn("as_of", F.to_date("as_of"))
 
 
-# suppliers linked to the parts they shipped on the last days of the table
-LINKS_SQL = "(SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01' AND l_quantity >= 45)"
+# suppliers linked to the parts they shipped
+LINKS_SQL = "(SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _links_of(table(spark, sf_dir, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '2001-06-01 00:00:00' AND l_quantity >= 45"))
-
-
-def all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _links_of(table(spark, sf_dir, "lineitem"))
-
-
-def _links_of(rows: DataFrame) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from narrascope import runtime
 from narrascope.operators import market, pit
 from narrascope.plans import mapping as m
 
@@ -47,7 +48,7 @@ def basket_topn(spark, d):
 
 
 def basket_vs_universe(spark, d):
-    r = _returns(spark, d, [(AS_OF, 3)]).cache()
+    r = runtime.staged(_returns(spark, d, [(AS_OF, 3)]), "returns")
     b = market.basket_returns(market.top_baskets(_exposure(spark, d), 5), r)
     out = b.join(F.broadcast(market.universe_return(r)), ["as_of", "months"])
     return out.select("theme", "n", F.round("ret", 6).alias("basket_ret"), F.round("universe_ret", 6).alias("universe_ret"), F.round(F.col("ret") - F.col("universe_ret"), 6).alias("excess"))
@@ -69,9 +70,9 @@ def walk_forward_panel(spark, d):
     """Every point uses what was known then; points that prices do not reach are left out."""
     points = m.points(spark, POINTS)
     prices = m.prices(spark, d)
-    live = market.coverage(prices, points).where("covered").select("as_of", "months")
-    t = m.trades(spark, d).join(F.broadcast(live), F.col("day") <= F.col("as_of"))
-    e = t.groupBy("as_of", F.col("p_brand").alias("brand"), F.col("l_suppkey").alias("company_id")).agg(F.round(F.sum("l_discount"), 4).alias("exposure"))
+    live = runtime.staged(market.coverage(prices, points).where("covered").select("as_of", "months"), "points")
+    t = m.trades(spark, d).select("day", "l_discount", F.col("p_brand").alias("brand"), F.col("l_suppkey").alias("company_id"))
+    e = market.sums_at_points(t, live, "day", ["brand", "company_id"], "l_discount", "exposure").withColumn("exposure", F.round("exposure", 4))
     e = e.withColumn("theme", F.concat_ws("|", F.col("as_of").cast("string"), "brand"))
     baskets = market.top_baskets(e, 5).withColumn("as_of", F.to_date(F.split("theme", r"\|")[0])).withColumn("brand", F.split("theme", r"\|")[1])
     r = market.forward_returns(prices, live, m.PRICE_TIE)
@@ -110,9 +111,7 @@ def hit_rate(spark, d):
 
 
 def random_baseline(spark, d):
-    """Driver work on the ids of one universe."""
-    ids = [f"{r[0]:06d}" for r in m.table(spark, d, "supplier").select("s_suppkey").collect()]
-    return spark.createDataFrame([(k, x) for k, x in enumerate(market.random_baseline(ids, 10))], "rank int, company_id string")
+    return market.random_baseline(m.table(spark, d, "supplier").select(F.col("s_suppkey").alias("company_id")), 10)
 
 
 RET = f"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("market_queries", "text_queries", "graph_queries", "source_queries", "serving_queries")
+MODULES = ("market_queries", "text_queries", "graph_queries", "source_queries", "serving_queries", "story_queries")
 
 
 def _modules():
@@ -25,4 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for mod in _modules() for name, sql in mod.SQL.items()}
+    from narrascope.plans.story_sql import SQL
+
+    return {name: sql for mod in _modules() for name, sql in getattr(mod, "SQL", {}).items()} | SQL

@@ -43,14 +43,14 @@ def best_fact_per_chunk(spark, d):
 
 
 def community_match(spark, d):
-    t = m.trades(spark, d).where("day >= DATE '2001-01-01' AND l_quantity >= 40")
+    t = m.trades(spark, d)
     monthly = t.select(F.trunc("day", "month").alias("month"), F.col("p_brand").alias("community"), F.col("l_suppkey").alias("member")).distinct()
     final = m.table(spark, d, "supplier").select((F.col("s_nationkey") % 6).alias("theme"), F.col("s_suppkey").alias("member"))
     return serving.match_by_overlap(final, monthly)
 
 
 def gap_revival(spark, d):
-    o = m.table(spark, d, "orders").where("o_custkey % 3 != 0")
+    o = m.table(spark, d, "orders")
     families = o.groupBy((F.col("o_custkey") % 60).alias("family")).agg(F.min(F.year("o_orderdate") - 1990).alias("first"), (F.min(F.year("o_orderdate") - 1990) + F.max("o_custkey") % 2).alias("last")).withColumn("first", (F.col("first") + F.col("family") % 4).cast("int")).withColumn("last", (F.col("last") + F.col("family") % 4).cast("int"))
     members = o.select((F.col("o_custkey") % 60).alias("family"), F.col("o_orderpriority").alias("member")).distinct()
     return serving.revivals(families, members).select("family", "revived", "jaccard")
@@ -82,11 +82,11 @@ SQL = {
     "signal_integration": f"SELECT a AS src, b AS dst, 'edge_' || substr(sha256('edge:' || a || ':' || b || ':sensitive_to'), 1, 16) AS edge_id, trend, DATE '2024-01-28' AS first_seen FROM (SELECT 'ent_' || substr(sha256('entity:MacroIndicator:' || lower(event_type)), 1, 16) AS a, 'ent_' || substr(sha256('entity:Company:' || lower(s_name)), 1, 16) AS b, trend FROM {_SIG} g JOIN supplier ON s_nationkey % 5 = length(event_type) % 5)",
     "leftover_themes": "SELECT theme, coalesce(mt, 'Other narratives') AS main_theme FROM (SELECT DISTINCT p_brand AS theme FROM part) LEFT JOIN (SELECT p_brand AS theme, min(p_type) AS mt FROM part WHERE p_size > 45 AND p_brand LIKE '%1' GROUP BY 1) USING (theme)",
     "best_fact_per_chunk": "SELECT l_orderkey AS chunk, l_discount AS confidence, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) WHERE n = 1",
-    "community_match": f"""WITH mo AS (SELECT DISTINCT date_trunc('month', day)::DATE AS month, p_brand AS community, l_suppkey AS member FROM {m.TRADES_SQL} t WHERE day >= DATE '2001-01-01' AND l_quantity >= 40),
+    "community_match": f"""WITH mo AS (SELECT DISTINCT date_trunc('month', day)::DATE AS month, p_brand AS community, l_suppkey AS member FROM {m.TRADES_SQL} t),
  s AS (SELECT month, community, count(*) AS size FROM mo GROUP BY ALL), o AS (SELECT s_nationkey % 6 AS theme, month, community, count(*) AS overlap FROM mo JOIN supplier ON s_suppkey = member GROUP BY ALL)
 SELECT theme, month, community, overlap, size FROM (SELECT *, row_number() OVER (PARTITION BY theme, month ORDER BY overlap DESC, size DESC, community) AS n FROM o JOIN s USING (month, community)) WHERE n = 1""",
-    "gap_revival": """WITH f AS (SELECT o_custkey % 60 AS family, (min(year(o_orderdate)) - 1990 + o_custkey % 60 % 4)::INT AS first, (min(year(o_orderdate)) - 1990 + max(o_custkey) % 2 + o_custkey % 60 % 4)::INT AS last FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey % 60),
- m AS (SELECT DISTINCT o_custkey % 60 AS family, o_orderpriority AS member FROM orders WHERE o_custkey % 3 <> 0), s AS (SELECT family, count(*) AS n FROM m GROUP BY 1),
+    "gap_revival": """WITH f AS (SELECT o_custkey % 60 AS family, (min(year(o_orderdate)) - 1990 + o_custkey % 60 % 4)::INT AS first, (min(year(o_orderdate)) - 1990 + max(o_custkey) % 2 + o_custkey % 60 % 4)::INT AS last FROM orders GROUP BY o_custkey % 60),
+ m AS (SELECT DISTINCT o_custkey % 60 AS family, o_orderpriority AS member FROM orders), s AS (SELECT family, count(*) AS n FROM m GROUP BY 1),
  c AS (SELECT a.family, b.family AS revived, count(*) AS both_n FROM m a JOIN m b USING (member) WHERE a.family <> b.family GROUP BY ALL)
 SELECT c.family, revived, round(both_n / (s.n + t.n - both_n), 6) AS jaccard FROM c JOIN f ON f.family = c.family JOIN f g ON g.family = revived JOIN s ON s.family = c.family JOIN s t ON t.family = revived WHERE g.first > f.last + 1 AND both_n / (s.n + t.n - both_n) >= 0.5""",
     "anchor_lookup": """WITH w AS (SELECT DISTINCT CASE n_nationkey % 4 WHEN 0 THEN 'n' || n_nationkey WHEN 1 THEN lower(n_name) WHEN 2 THEN substr(n_name, 2, 4) ELSE 'zzz' END AS wanted FROM nation),

@@ -12,11 +12,15 @@ from narrascope.streaming import intake
 
 
 def manifest_gates(spark, d):
+    """One fault a row by its id, among documents of several days."""
     docs = m.documents(spark, d)
     n = F.col("doc_id")
-    day = F.when(n % 13 == 0, "not a day").when(n % 17 == 0, F.lit(None).cast("string")).otherwise(F.col("available_at").cast("string"))
-    rows = docs.select(F.when(n % 19 != 0, F.col("source")).alias("source"), n.cast("string").alias("source_id"), day.alias("available_at"), F.lit(None).cast("string").alias("published_at"), F.concat(F.lit("d/"), n).alias("raw_path"))
-    return readers.classify_manifest(rows, "2024-09-30").groupBy(F.coalesce("reason", F.lit("import")).alias("outcome")).agg(F.count("*").alias("n"))
+    day = F.when(n % 13 == 0, "not a day").when(n % 17 == 0, F.lit("")).otherwise(F.col("available_at").cast("string"))
+    published = F.when(n % 11 != 0, F.coalesce(F.col("available_at").cast("string"), F.lit("")))
+    filled = {c: F.lit("x") for c in readers.MANIFEST} | {"source": F.when(n % 19 != 0, F.col("source")), "source_id": n.cast("string"), "available_at": day, "published_at": published, "raw_path": F.concat(F.lit("d/"), n)}
+    rows = docs.select(*[x.alias(c) for c, x in filled.items()])
+    files = docs.where("doc_id % 23 != 0").select(F.concat(F.lit("d/"), n).alias("raw_path"))
+    return readers.classify_manifest(rows, "2024-09-30", files).groupBy(F.coalesce("reason", F.lit("import")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 def period_normalise(spark, d):
@@ -24,13 +28,6 @@ def period_normalise(spark, d):
     return o.select("o_orderkey", claims.period_end(F.col("period")).alias("period_end"))
 
 
-def claim_rollup(spark, d):
-    o = m.table(spark, d, "orders").where("o_orderkey % 5 = 0")
-    text = F.concat(F.lit("Revenue was $"), F.round(F.col("o_totalprice"), 2).cast("string"), F.lit(" million in Q"), F.quarter("o_orderdate"), F.lit(" "), F.year("o_orderdate"), F.lit(". We expect growth of "), F.col("o_orderkey") % 10, F.lit("% next year."))
-    rows = o.select(F.col("o_orderkey").alias("chunk_id"), (F.col("o_custkey") % 50).alias("company"), text.alias("text"))
-    return claims.roll_up(claims.find_claims(rows)).select("company", "metric", "period_end", "is_guidance", F.round("value", 2).alias("value"), F.size("chunks").alias("n_chunks"))
-
-
 def facts_flatten(spark, d):
     """Company facts JSON made of orders: one concept, its observations by filing day."""
     o = m.table(spark, d, "orders")
@@ -64,11 +61,9 @@ def stream_first_documents(spark, d):
     return out.groupBy("lang").agg(F.count("*").alias("n_texts"))
 
 
-_CLAIM = "(SELECT o_orderkey AS chunk_id, o_custkey % 50 AS company, round(o_totalprice, 2) AS p, o_orderkey % 10 AS g, last_day(make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1)) AS pe FROM orders WHERE o_orderkey % 5 = 0)"
 SQL = {
-    "manifest_gates": f"SELECT CASE WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN 'no_determinable_publish_time' WHEN source IS NULL OR doc_id % 19 = 0 THEN 'missing_metadata' WHEN available_at > DATE '2024-09-30' THEN 'future_document' ELSE 'import' END AS outcome, count(*) AS n FROM {m.DOCS_SQL} d GROUP BY 1",
+    "manifest_gates": f"SELECT CASE WHEN doc_id % 11 = 0 OR (doc_id % 13 <> 0 AND doc_id % 17 = 0) THEN 'no_determinable_publish_time' WHEN source IS NULL OR source = '' OR doc_id % 19 = 0 THEN 'missing required field: source' WHEN doc_id % 23 = 0 THEN 'raw_path missing' WHEN doc_id % 13 = 0 THEN 'invalid date format in available_at' WHEN available_at > DATE '2024-09-30' THEN 'available_at is after run as_of_date' ELSE 'import' END AS outcome, count(*) AS n FROM {m.DOCS_SQL} d GROUP BY 1",
     "period_normalise": "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN make_date(y, 3, 31) WHEN 1 THEN make_date(y, 6, 30) WHEN 2 THEN make_date(y, 9, 30) WHEN 3 THEN make_date(y, 12, 31) WHEN 4 THEN make_date(y, 6, 30) WHEN 5 THEN make_date(y, 12, 31) WHEN 6 THEN make_date(y, 12, 31) END AS period_end FROM (SELECT o_orderkey, year(o_orderdate) AS y FROM orders)",
-    "claim_rollup": f"SELECT company, 'amount' AS metric, pe AS period_end, false AS is_guidance, round(max(p * 1e6), 2) AS value, count(DISTINCT chunk_id)::INT AS n_chunks FROM {_CLAIM} c GROUP BY company, pe UNION ALL SELECT company, 'percent', NULL, true, max(g)::DOUBLE, count(DISTINCT chunk_id)::INT FROM {_CLAIM} c GROUP BY company",
     "facts_flatten": "SELECT o_custkey AS company_id, last_day(o_orderdate) AS period_end, o_orderdate::DATE AS filing_date, round(o_totalprice, 2) AS value, 'USD' AS currency FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, last_day(o_orderdate) ORDER BY o_orderdate::DATE, o_orderkey) AS n FROM orders WHERE o_orderdate::DATE <= DATE '1998-01-01') WHERE n = 1",
     "merge_runs": "SELECT CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS run, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment, count(*) AS n FROM customer GROUP BY ALL",
     "stream_event_windows": "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from narrascope.functions.ids import edge_id, entity_id
-from narrascope.operators import evidence, textops
+from narrascope.operators import evidence, sentiment, textops
 from narrascope.plans import mapping as m
 
 #: An invented lexicon of the contract's shape.
@@ -24,7 +24,7 @@ def whitespace_normalise(spark, d):
 
 
 def page_number_strip(spark, d):
-    docs = m.documents(spark, d).withColumn("text", F.concat("text", F.lit("\n"), F.col("doc_id").cast("string"), F.lit("\nPage 2 of 3\npage 7\nend")))
+    docs = m.documents(spark, d).withColumn("text", F.concat("text", F.lit("\n"), F.col("doc_id").cast("string"), F.lit("\n- "), F.col("doc_id") % 7, F.lit(" -\n3 / 10\n123456\nPage 2 of 3\npage 7\nend")))
     return docs.select("doc_id", F.sha2(textops.without_page_numbers(F.col("text")), 256).alias("text_sha256"))
 
 
@@ -61,12 +61,15 @@ def speaker_role(spark, d):
 
 
 def negation_sentiment(spark, d):
-    return textops.score_sentiment(m.documents(spark, d))
+    rows = m.documents(spark, d).select("doc_id", "text")
+    return sentiment.score_sentiment(rows).drop("text")
 
 
 def fusion_matrix(spark, d):
-    rows = tone_vector(spark, d).withColumn("direction", F.element_at(F.array(F.lit("positive"), F.lit("negative"), F.lit("neutral")), (F.col("doc_id") % 3 + 1).cast("int"))).withColumn("hedging", F.col("doc_id") % 5 == 0).withColumn("confidence", F.lit(0.6) + (F.col("doc_id") % 7) * 0.05)
-    return textops.fuse(rows).select("doc_id", "lm_direction", "agreement", "fused_confidence")
+    """Directions by id beside the tone of each text, so that every pair of the matrix occurs."""
+    directions = F.array(*[F.lit(x) for x in ("positive", "negative", "neutral", "mixed")])
+    rows = tone_vector(spark, d).withColumn("direction", F.element_at(directions, (F.col("doc_id") % 4 + 1).cast("int"))).withColumn("confidence", F.lit(0.6) + (F.col("doc_id") % 7) * 0.05)
+    return textops.fuse(rows).select("doc_id", "lm_direction", "agreement", "fused_tone", "fused_confidence")
 
 
 def _chunks(spark, d):
@@ -98,7 +101,7 @@ def alias_groups(spark, d):
 
 
 def _edges(spark, d):
-    lines = m.table(spark, d, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '2001-01-01 00:00:00'")
+    lines = m.table(spark, d, "lineitem")
     return lines.groupBy((F.col("l_suppkey")).alias("edge_id")).agg(F.collect_set((F.col("l_partkey") % 1000).alias("c")).alias("evidence"))
 
 
@@ -144,8 +147,8 @@ def integrity_reconcile(spark, d):
 
 def sentiment_summary(spark, d):
     rows = fusion_matrix(spark, d).join(m.documents(spark, d).select("doc_id", "source"), "doc_id")
-    s = rows.groupBy("source").agg(F.count("*").alias("n"), *[F.sum((F.col("lm_direction") == x).cast("long")).alias(x) for x in ("positive", "negative", "neutral", "uncertain")], F.bool_or(F.col("agreement") == "conflict").alias("any_conflict"))
-    order = F.array(*[F.struct(F.col(x).alias("n"), F.lit(-k).alias("k"), F.lit(x).alias("tone")) for k, x in enumerate(("positive", "negative", "neutral", "uncertain"))])
+    s = rows.groupBy("source").agg(F.count("*").alias("n"), *[F.sum((F.col("lm_direction") == x).cast("long")).alias(x) for x in ("positive", "negative", "neutral", "uncertainty")], F.bool_or(F.col("agreement") == "conflict").alias("any_conflict"))
+    order = F.array(*[F.struct(F.col(x).alias("n"), F.lit(-k).alias("k"), F.lit(x).alias("tone")) for k, x in enumerate(("positive", "negative", "neutral", "uncertainty"))])
     return s.withColumn("dominant", F.array_max(order)["tone"])
 
 
@@ -164,20 +167,21 @@ _ENT = "(" + " UNION ALL ".join(f"SELECT doc_id AS chunk_id, available_at, '{t}'
 _TOK = "list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}_\\-]', ' ', 'g')), ' '), lambda t: t <> '')"
 _LEX = "(VALUES " + ", ".join(f"('{w}', {a}, {b}, {c})" for w, a, b, c in LEXICON) + ") l(word, positive, negative, uncertainty)"
 _TONE = f"""(SELECT doc_id, count(*) AS token_count, {", ".join(f"round(sum(coalesce({c}, 0)) / count(*), 6) AS {c}" for c in CATEGORIES)} FROM (SELECT doc_id, unnest({_TOK}) AS word FROM documents) LEFT JOIN {_LEX} USING (word) GROUP BY doc_id)"""
-_FUSE = f"""(SELECT doc_id, lm_direction, agreement, round(confidence * CASE agreement WHEN 'conflict' THEN 0.5 WHEN 'hedged' THEN 0.75 ELSE 1.0 END, 6) AS fused_confidence FROM (
- SELECT *, CASE WHEN (direction = 'positive' AND lm_direction = 'negative') OR (direction = 'negative' AND lm_direction = 'positive') THEN 'conflict' WHEN doc_id % 5 = 0 OR lm_direction = 'uncertain' THEN 'hedged' WHEN direction = lm_direction THEN 'agree' ELSE 'partial' END AS agreement FROM (
-  SELECT doc_id, CASE WHEN greatest(uncertainty, negative, positive) <= 0.005 THEN 'neutral' WHEN uncertainty = greatest(uncertainty, negative, positive) THEN 'uncertain' WHEN negative = greatest(uncertainty, negative, positive) THEN 'negative' ELSE 'positive' END AS lm_direction,
-   ['positive', 'negative', 'neutral'][doc_id % 3 + 1] AS direction, 0.6::DOUBLE + (doc_id % 7) * 0.05::DOUBLE AS confidence FROM {_TONE} t)))"""
+_FUSE = f"""(SELECT doc_id, lm_direction, agreement, CASE agreement WHEN 'conflict' THEN 'negative' WHEN 'hedged' THEN 'hedged' ELSE direction END AS fused_tone, round(confidence * CASE agreement WHEN 'conflict' THEN 0.5 WHEN 'hedged' THEN 0.75 ELSE 1.0 END, 6) AS fused_confidence FROM (
+ SELECT *, CASE direction WHEN 'positive' THEN CASE lm_direction WHEN 'negative' THEN 'conflict' WHEN 'positive' THEN 'agree' ELSE 'hedged' END WHEN 'negative' THEN CASE lm_direction WHEN 'positive' THEN 'conflict' WHEN 'neutral' THEN 'hedged' ELSE 'agree' END
+   WHEN 'mixed' THEN 'hedged' ELSE CASE lm_direction WHEN 'neutral' THEN 'agree' ELSE 'hedged' END END AS agreement FROM (
+  SELECT doc_id, CASE WHEN greatest(uncertainty, negative, positive) <= 0.005 THEN 'neutral' WHEN uncertainty = greatest(uncertainty, negative, positive) THEN 'uncertainty' WHEN negative = greatest(uncertainty, negative, positive) THEN 'negative' ELSE 'positive' END AS lm_direction,
+   ['positive', 'negative', 'neutral', 'mixed'][doc_id % 4 + 1] AS direction, 0.6::DOUBLE + (doc_id % 7) * 0.05::DOUBLE AS confidence FROM {_TONE} t)))"""
 _Q = """(SELECT doc_id, coalesce(gate, CASE WHEN n > 1 THEN 'duplicate' END, 'included') AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY gate IS NULL, text ORDER BY doc_id) AS n FROM (
  SELECT doc_id, text, CASE WHEN source IS NULL OR doc_id % 97 = 0 THEN 'missing_metadata' WHEN available_at > DATE '2024-10-31' THEN 'future_document' END AS gate FROM """ + m.DOCS_SQL + " d)))"
 _WS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
 _SENT = "list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(31), 'g'), '\\n{2,}', chr(31), 'g'), chr(31)), lambda s: length(trim(s)) > 0)"
-_EV = "(SELECT DISTINCT l_suppkey AS edge_id, l_partkey % 1000 AS chunk_id FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01')"
+_EV = "(SELECT DISTINCT l_suppkey AS edge_id, l_partkey % 1000 AS chunk_id FROM lineitem)"
 
 SQL = {
     "content_dedup_quarantine": f"SELECT doc_id, outcome FROM {_Q} q",
     "whitespace_normalise": f"SELECT doc_id, sha256({_WS}) AS text_sha256 FROM documents",
-    "page_number_strip": r"SELECT doc_id, sha256(array_to_string(list_filter(string_split(text || chr(10) || doc_id || chr(10) || 'Page 2 of 3' || chr(10) || 'page 7' || chr(10) || 'end', chr(10)), lambda x: NOT (regexp_matches(x, '^\s*\d{1,4}\s*$') OR regexp_matches(x, '^\s*page\s+\d+\s*$', 'i') OR regexp_matches(x, '^\s*page\s+\d+\s+of\s+\d+\s*$', 'i'))), chr(10))) AS text_sha256 FROM documents",
+    "page_number_strip": r"SELECT doc_id, sha256(array_to_string(list_filter(string_split(text || chr(10) || doc_id || chr(10) || '- ' || (doc_id % 7) || ' -' || chr(10) || '3 / 10' || chr(10) || '123456' || chr(10) || 'Page 2 of 3' || chr(10) || 'page 7' || chr(10) || 'end', chr(10)), lambda x: NOT (regexp_matches(x, '^\s*[-—]?\s*\d+\s*[-—]?\s*$') OR regexp_matches(x, '^\s*page\s+\d+(\s+of\s+\d+)?\s*$', 'i') OR regexp_matches(x, '^\s*\d+\s*/\s*\d+\s*$'))), chr(10))) AS text_sha256 FROM documents",
     "repeated_lines": "SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE length(line) > 0 AND length(line) <= 80 GROUP BY ALL HAVING count(*) >= 3",
     "sentence_split": f"SELECT doc_id, len({_SENT})::INT AS n_sentences, sha256(array_to_string({_SENT}, '|')) AS sentences_sha256 FROM documents",
     "token_counts": f"SELECT doc_id, len({_TOK})::INT AS n_tokens FROM documents",
@@ -195,7 +199,7 @@ SQL = {
     "synonym_remap": f"SELECT src, dst, round(max(w), 6) AS weight FROM (SELECT CASE WHEN k % 3 = 0 THEN 's' || (k - 1) ELSE src END AS src, dst, (length(src) + length(dst)) / 10.0 AS w FROM (SELECT *, substr(src, 2)::BIGINT AS k FROM {m.LINKS_SQL} x)) GROUP BY ALL",
     "integrity_orphans": "SELECT DISTINCT 'line_without_order' AS check_name, k::VARCHAR AS key FROM (SELECT l_orderkey + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END AS k FROM lineitem) WHERE k NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT DISTINCT 'line_without_supplier', l_suppkey::VARCHAR FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 0)",
     "integrity_reconcile": f"SELECT lang, n_raw, n_included, n_quarantined, n_raw - n_included - n_quarantined AS dropped FROM (SELECT lang, count(*) AS n_raw, count(*) FILTER (outcome = 'included') AS n_included, count(*) FILTER (outcome <> 'included') AS n_quarantined FROM documents LEFT JOIN {_Q} q USING (doc_id) GROUP BY lang)",
-    "sentiment_summary": f"SELECT source, n, positive, negative, neutral, uncertain, any_conflict, CASE greatest(positive, negative, neutral, uncertain) WHEN positive THEN 'positive' WHEN negative THEN 'negative' WHEN neutral THEN 'neutral' ELSE 'uncertain' END AS dominant FROM (SELECT source, count(*) AS n, count(*) FILTER (lm_direction = 'positive') AS positive, count(*) FILTER (lm_direction = 'negative') AS negative, count(*) FILTER (lm_direction = 'neutral') AS neutral, count(*) FILTER (lm_direction = 'uncertain') AS uncertain, bool_or(agreement = 'conflict') AS any_conflict FROM {_FUSE} f JOIN documents USING (doc_id) GROUP BY source)",
+    "sentiment_summary": f"SELECT source, n, positive, negative, neutral, uncertainty, any_conflict, CASE greatest(positive, negative, neutral, uncertainty) WHEN positive THEN 'positive' WHEN negative THEN 'negative' WHEN neutral THEN 'neutral' ELSE 'uncertainty' END AS dominant FROM (SELECT source, count(*) AS n, count(*) FILTER (lm_direction = 'positive') AS positive, count(*) FILTER (lm_direction = 'negative') AS negative, count(*) FILTER (lm_direction = 'neutral') AS neutral, count(*) FILTER (lm_direction = 'uncertainty') AS uncertainty, bool_or(agreement = 'conflict') AS any_conflict FROM {_FUSE} f JOIN documents USING (doc_id) GROUP BY source)",
     "json_props": "SELECT event_type, key, count(*) AS n, sum((props ->> key)::BIGINT)::BIGINT AS total FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events) GROUP BY ALL",
     "union_by_name": "SELECT kind, segment, count(*) AS n, count(DISTINCT nation) AS n_nations FROM (SELECT 'customer' AS kind, c_nationkey AS nation, c_mktsegment AS segment FROM customer UNION ALL BY NAME SELECT s_nationkey AS nation, 'supplier' AS kind FROM supplier) GROUP BY ALL",
 }

@@ -99,32 +99,42 @@ def test_chunks_keep_sentences_whole():
 
 
 def test_pages():
-    text = textops.page_text("<style>no</style><h2>Item &amp; 1</h2><p>One&nbsp;two<script>no</script></p><table><tr><td>a</td><td> b  c</td></tr></table>after")
-    assert text.split("\n") == ["[[SECTION Item & 1]]", "", "One two", '[[TABLE [["a", "b c"]]]]', "after"]
-
-
-@pytest.mark.parametrize("text,want", [("strong growth", "positive"), ("we do not see strong demand", "negative"), ("weak", "negative"), ("strong but weak", "mixed"), ("", "neutral")])
-def test_sentiment(text, want):
-    assert textops.sentiment(text)[0] == want
+    text = textops.page_text("<DOCUMENT>\n<TYPE>10-K\n<style>no</style><h2>Item &amp; 1</h2><p>One&nbsp;two<script>no</script></p><table><tr><td>a</td><td> b  c</td></tr></table>after")
+    assert text.split("\n") == ["[[[SECTION_TITLE:Item & 1]]]", "", "One two", '[[[TABLE_DATA:{"rows": [["a", "b c"]]}]]]', "after"]
 
 
 def test_claims(spark):
-    df = spark.createDataFrame([(1, "c", "Revenue was $1,200.5 million in Q2 2024. We expect growth of 5%. EPS of $1.25 for FY2023.")], "chunk_id long, company string, text string")
-    got = {(r.metric, r.value, r.is_guidance, str(r.period_end)) for r in claims.find_claims(df).collect()}
-    assert got == {("amount", 1200.5e6, False, "2024-06-30"), ("percent", 5.0, True, "None"), ("eps", 1.25, False, "2023-12-31")}
+    text = "Revenue rose to $1.2 billion in Q2  2024. We now expect gross margin of 41.5% for FY 2025. EPS came in at $1.25 for Q3 2024. Net income fell to $30 million."
+    df = spark.createDataFrame([(1, "c", text), (2, "c", text)], "chunk_id long, company string, text string")
+    rows = claims.find_claims(df)
+    got = {(r.metric, r.value, r.unit, r.period, r.direction, r.is_guidance, r.confidence) for r in rows.collect()}
+    assert got == {("revenue", 1.2, "USD_billions", "Q2 2024", "rose", False, 0.75), ("gross_margin", 41.5, "percent", "FY 2025", "", True, 0.70), ("eps", 1.25, "USD_per_share", "Q3 2024", "", False, 0.75), ("net_income", 30.0, "USD_millions", "", "fell", False, 0.75)}
+    assert {tuple(r.chunks) for r in claims.roll_up(rows).collect()} == {(1, 2)}
 
 
 def test_readers(spark, tmp_path):
     (tmp_path / "fred.csv").write_text("DATE,GDP\n2024-01-01,1.5\n2024-02-01,.\n2024-03-01,\n")
-    assert [tuple(r) for r in readers.read_series(spark, "fred", str(tmp_path / "fred.csv"), "gdp").collect()] == [("gdp", day("2024-01-01"), 1.5)]
+    assert [tuple(r) for r in readers.read_series(spark, {"csv": str(tmp_path / "fred.csv"), "series_id": "gdp", "date_col": "DATE", "value_col": "GDP"}).collect()] == [("gdp", day("2024-01-01"), 1.5)]
     (tmp_path / "boc.csv").write_text('"TERMS"\n"x","y"\n\n"date","V1"\n"2024-01-05","2.5"\n"2024-01-06","n/a"\n')
-    assert [tuple(r)[1:] for r in readers.read_series(spark, "preamble", str(tmp_path / "boc.csv"), "v").collect()] == [(day("2024-01-05"), 2.5)]
-    (tmp_path / "m.csv").write_text("source,source_id,available_at,raw_path,vintage\ns,1,2024-01-01,p,v1\ns,2,2026-01-01,p,v1\n,3,2024-01-01,p,v1\ns,4,,p,v1\n")
-    m = readers.classify_manifest(readers.read_manifest(spark, str(tmp_path / "m.csv")), "2024-12-31")
-    assert [(r.source_vintage, r.reason) for r in m.orderBy("source_id").collect()] == [("v1", None), ("v1", "future_document"), ("v1", "missing_metadata"), ("v1", "no_determinable_publish_time")]
+    assert [tuple(r)[1:] for r in readers.read_series(spark, {"csv": str(tmp_path / "boc.csv"), "series_id": "v"}).collect()] == [(day("2024-01-05"), 2.5)]
+    (tmp_path / "w.csv").write_text("d,a,b\n2024-01-01,1,2\n2024-01-02,.,3\n")
+    assert [tuple(r) for r in readers.read_series(spark, {"csv": str(tmp_path / "w.csv"), "reader": "wide_table", "date_col": "d", "series_col": "a"}).collect()] == [("a", day("2024-01-01"), 1.0)]
+    with pytest.raises(ValueError):
+        readers.read_series(spark, {"reader": "other"})
+    rest = ",t,10-k,c,{p},2024-01-01,{a},v1,en,u,l,public,n"
+    lines = [rest.format(p="p", a="2024-01-01"), rest.format(p="p", a="2026-01-01"), rest.format(p="p", a=""), rest.format(p="q", a="2024-01-01"), rest.format(p="p", a="soon")]
+    (tmp_path / "m.csv").write_text("source,source_id,title,document_type,company_id,raw_path,published_at,available_at,vintage,language,source_url,license,confidentiality,notes\n" + "".join(f"s,{k}{x}\n" for k, x in enumerate(lines)) + ",9" + lines[0] + "\n")
+    manifest = readers.read_manifest(spark, str(tmp_path / "m.csv"))
+    files = spark.createDataFrame([("p", "text", "hash")], "raw_path string, text string, content_hash string")
+    got = [(r.source_vintage, r.reason) for r in readers.classify_manifest(manifest, "2024-12-31", files).orderBy("source_id").collect()]
+    assert got == [("v1", x) for x in (None, "available_at is after run as_of_date", "no_determinable_publish_time", "raw_path missing", "invalid date format in available_at", "missing required field: source")]
+    kept, aside = readers.import_manifest(manifest, "2024-12-31", files)
+    assert [r.source_id for r in kept.collect()] == ["0"] and aside.count() == 5
+    sinks.write_manifest(kept.coalesce(1), readers.MANIFEST, str(tmp_path / "out"))
+    assert readers.read_manifest(spark, str(tmp_path / "out")).select("source_id", "notes").collect()[0] == ("0", "n")
     (tmp_path / "s.json").write_text('{"cik": "12", "name": "N", "tickers": ["T"], "filings": {"recent": {"accessionNumber": ["0-1"], "filingDate": ["2024-01-02"], "reportDate": ["2023-12-31"], "form": ["10-K"], "primaryDocument": ["d.htm"], "primaryDocDescription": ["10-K"]}}}')
     r = readers.read_submissions(spark, str(tmp_path / "s.json")).first()
-    assert (r.company_id, r.title, r.available_at, r.source_url) == ("T", "N 10-K for 2023-12-31", "2024-01-02", "https://www.sec.gov/Archives/edgar/data/12/01/d.htm")
+    assert (r.company_id, r.title, r.available_at, r.source_url) == ("T", "N 10-K (2023-12-31)", "2024-01-02", "https://www.sec.gov/Archives/edgar/data/12/01/d.htm")
 
 
 def test_zones_and_freeze(spark, tmp_path):
