@@ -513,7 +513,7 @@ def score_documents(docs: DataFrame, depth: int = 4) -> DataFrame:
     Depth 2 to 7. ``docs`` is read again for each shard and must give its rows in the same order (a stored table does).
     """
     spark = docs.sparkSession
-    runtime.ship(spark)
+    runtime.prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = min(1 << 14, max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     counted = texts.mapInArrow(count(depth, parts), RUN)

@@ -2,14 +2,17 @@
 
 Exact, by prefix filtering with set relations used to skip work twice:
 
-* index level: an inverted list is ordered and blocked by set size, so that whole blocks are passed over, and carries
-  positions, by which single pairs that cannot reach the needed overlap are passed over; no block is by position;
-* answer level: equal sets are one class; neighbours in a list are compared first, and what they link is one group
-  from then on. Only entries of other groups are compared with it: the outcome is components, since links inside a
-  group are never computed.
-
-Shingles are ordered by a count sketch of fixed size over the whole corpus (rare first), then by hash, so a passage
-that a large part of the corpus shares stays out of the prefixes of the rest.
+* index level: the entries of an inverted list lie in blocks by set size and by position, and a pair of blocks is passed
+  over as a whole when its smallest positions and its sizes cannot reach the needed overlap; only blocks that can are
+  opened, and their entries are held against each other one by one;
+* answer level: equal sets are one class; neighbours in a list are compared first, and what they link is one group. A
+  set that is very similar (0.95) to another takes that one as its leader. Of what is left open between groups only
+  leaders are compared: the overlaps of their followers are derived from that one answer and the few shingles by which
+  a follower differs, as bounds, and a pair is compared itself only where the bounds leave it open.
+
+The outcome is components: links inside a group are never computed. Shingles are ordered by a count sketch of fixed size
+over the whole corpus (rare first), then by hash, so a passage that a large part of the corpus shares stays out of the
+prefixes of the rest.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from narrascope import runtime
 from narrascope.llm.bytescan import LOWER, U64, Hasher, _splitmix, chunks, mix, split_words, text_bytes
-from narrascope.llm.components import components
-from narrascope.llm.joins import join_sized
+from narrascope.llm.joins import join_dealt, join_sized
+from narrascope.operators.components import components
 
 NO_ID = -(1 << 63)
 SKETCH_BITS = 20
@@ -37,6 +40,9 @@ LIST_ROWS = 20_000
 NEIGHBOURS = 12
 LAGS = 12
 MOST_TURNS = 4
+#: A set follows another one from this similarity on; positions that a block of an inverted list spans.
+ALIKE = 95, 100
+POSITIONS = 4
 _STEPS = _splitmix(64, 4242) | U64(1)
 
 
@@ -257,13 +263,16 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def _verify(num: int, den: int):
-    """Rows come sorted by block, its head first; out: the members that are similar enough to the head."""
+OVERLAP = "u long, v long, common long, nu long, nv long"
+
+
+def _overlaps(num: int, den: int):
+    """Rows come sorted by block, its head first; out: members (u) similar enough to the head (v), with overlap and sizes. With ``num`` 0 all."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, head = None, None
         for batch in batches:
-            u, v = [], []
+            out = []
             for b, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if doc == b:
                     if block != b:
@@ -274,27 +283,65 @@ def _verify(num: int, den: int):
                 x = _unpacked(raw.as_py())
                 common = len(np.intersect1d(head, x, assume_unique=True))
                 if den * common >= num * (len(head) + len(x) - common):
-                    u.append(doc), v.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                    out.append((doc, b, common, len(x), len(head)))
+            columns = np.array(out, np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "common", "nu", "nv"])
 
     return scan
 
 
-def _links(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (x < y) that are links, verified on whole sets."""
+def _compared(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Staged overlaps of those of the pairs (x < y) that are similar enough, on whole sets."""
     asked = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("doc"), F.col("x").alias("block")), F.struct(F.col("y").alias("doc"), F.col("x").alias("block")))).alias("e")).select("e.*")
     asked = runtime.staged(asked.groupBy("doc").agg(F.collect_set("block").alias("blocks")), "asked")
     members = join_sized(texts, asked, "doc").select("doc", "text", "blocks").mapInArrow(_ship_sets(n), MEMBER)
     members = members.repartition("block").sortWithinPartitions("block", F.col("doc") != F.col("block"))
-    return runtime.staged(members.mapInArrow(_verify(num, den), "u long, v long"), "links")
+    return runtime.staged(members.mapInArrow(_overlaps(num, den), OVERLAP), "overlaps")
+
+
+def leaders_of(links: DataFrame, num: int | None = None, den: int | None = None) -> DataFrame:
+    """(doc, leader, minus, plus): followers, and how many shingles only the leader or only the follower has.
+
+    Of sets that are alike, one without a smaller one like it is a leader; another follows the smallest leader that it
+    is like, if there is one.
+    """
+    num, den = (num, den) if num else ALIKE
+    close = links.where(den * F.col("common") >= num * (F.col("nu") + F.col("nv") - F.col("common")))
+    both = close.select(F.col("u").alias("doc"), F.col("v").alias("leader"), "common", F.col("nu").alias("own"), F.col("nv").alias("theirs"))
+    both = both.unionByName(close.select(F.col("v").alias("doc"), F.col("u").alias("leader"), "common", F.col("nv").alias("own"), F.col("nu").alias("theirs"))).where("leader < doc")
+    led = both.select(F.col("doc").alias("leader")).distinct()
+    first = both.join(led, "leader", "left_anti").groupBy("doc").agg(F.min_by(F.struct("leader", (F.col("theirs") - F.col("common")).alias("minus"), (F.col("own") - F.col("common")).alias("plus")), "leader").alias("l"))
+    return runtime.staged(first.select("doc", "l.*"), "leaders")
+
+
+def _derived(texts: DataFrame, pairs: DataFrame, links: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(u, v) of those pairs (x, y, with sizes nx, ny) that are links, from the overlaps of their leaders where that decides it."""
+    led = leaders_of(links)
+    side = lambda c, l, m, p: led.select(F.col("doc").alias(c), F.col("leader").alias(l), F.col("minus").alias(m), F.col("plus").alias(p))
+    rows = pairs.join(side("x", "lx", "mx", "px"), "x", "left").join(side("y", "ly", "my", "py"), "y", "left")
+    zero = lambda *cs: sum((F.coalesce(c, F.lit(0)) for c in cs), F.lit(0))
+    a, b = F.coalesce("lx", "x"), F.coalesce("ly", "y")
+    rows = runtime.staged(rows.select("x", "y", "nx", "ny", F.least(a, b).alias("r"), F.greatest(a, b).alias("s"), zero("mx", "my").alias("minus"), zero("px", "py").alias("plus")), "open-pairs")
+    known = _compared(texts, rows.select(F.col("r").alias("x"), F.col("s").alias("y")).distinct(), n, 0, 1)
+    rows = rows.join(known.select(F.col("v").alias("r"), F.col("u").alias("s"), "common"), ["r", "s"], "left")
+    common = F.coalesce("common", F.lit(0))
+    enough = lambda c: c * (num + den) >= num * (F.col("nx") + F.col("ny"))
+    rows = runtime.staged(rows.select("x", "y", enough(common - F.col("minus")).alias("sure"), enough(F.least(common + F.col("plus"), "nx", "ny")).alias("open")).where("open"), "bounded-pairs")
+    undecided = rows.where("NOT sure")
+    found = rows.where("sure").select(F.col("y").alias("u"), F.col("x").alias("v"))
+    if undecided.limit(1).count():
+        found = found.unionByName(_compared(texts, undecided.select("x", "y"), n, num, den).select("u", "v"))
+    return found
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
 
     Two documents link when den * intersection >= num * union of their sets of word n-grams. Null and empty texts
-    have the empty set and link with nothing. Rows that repeat an id are one document, so that its texts lie in one
-    component; a null id counts as the smallest. Other columns are ignored.
+    have the empty set and link with nothing; a text with fewer than ``n`` words has its whole sequence as its one
+    n-gram. Rows that repeat an id are one document, so that its texts lie in one component; a null id counts as the
+    smallest. A text of any length has its set made in one task. An empty table gives no rows. Other columns are ignored,
+    whatever their names.
     """
     texts = _texts(docs)
     said = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -322,12 +369,14 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
 def _components_of(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(doc, n, component) of texts (doc, text) where rows that repeat a doc have the same text."""
     spark = texts.sparkSession
-    runtime.ship(spark)
+    runtime.prepare(spark)
     facts = runtime.staged(texts.mapInArrow(_facts(n), FACT), "facts")
     rank = sketch_classes(facts)
     rows = facts.where("block is null").select("doc", "n", "digest")
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"))
-    members = runtime.staged(rows.join(classes, "digest", "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "members")
+    # sets that only one document has need no join, and a class of many copies is one row
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep != last").drop("last")
+    members = join_dealt(rows, runtime.staged(classes, "classes"), "digest", "doc")
+    members = runtime.staged(members.select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "members")
     copies = runtime.staged(members.where("doc != rep").select("doc").distinct(), "copies")
     heads = join_sized(texts, copies, "doc", "left_anti")
 
@@ -337,40 +386,58 @@ def _components_of(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     dealt = entries.withColumn("_part", F.pmod(F.xxhash64("token", "doc"), parts)).repartition("token", "_part").sortWithinPartitions("token", "place", "doc").drop("_part")
     lists = runtime.staged(dealt.mapInArrow(_lists(2 * LIST_ROWS), LIST), "lists")
 
-    groups, tested = None, None
+    groups, tested, known = None, None, None
     for turn in range(MOST_TURNS):
         near = _nearest(lists, groups, turn, num, den)
         near = runtime.staged(near if tested is None else near.join(tested, ["x", "y"], "left_anti"), "neighbours")
         tested = near if tested is None else runtime.staged(tested.unionByName(near), "tested")
-        links = _links(heads, near, n, num, den)
+        links = _compared(heads, near, n, num, den)
         n_links = links.count()
         if n_links:
+            known = links if known is None else known.unionByName(links)
             old = [] if groups is None else [groups.select(F.col("node").alias("u"), F.col("component").alias("v"))]
-            groups = components(links.unionByName(old[0]) if old else links)
+            pairs = links.select("u", "v")
+            groups = components(pairs.unionByName(old[0]) if old else pairs)
         if groups is None or not n_links or _left_open(lists, groups) <= lists.count():
             break
     if groups is None:
-        groups = spark.createDataFrame([], "node long, component long")
+        groups, known = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], OVERLAP)
     rest = runtime.staged(_other_groups(lists, groups, num, den).join(tested, ["x", "y"], "left_anti"), "other-groups")
     if rest.limit(1).count():
-        more = _links(heads, rest, n, num, den)
+        more = _derived(heads, rest, known, n, num, den)
         if more.limit(1).count():
             groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     return members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
 
 
 def _other_groups(lists: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (x < y) that meet in a list and lie in different groups."""
-    rows = lists.select("token", "doc", "place").join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", (F.col("place") / (1 << 32)).cast("long").alias("size"), (F.col("place") % (1 << 32)).alias("pos"), F.coalesce("component", "doc").alias("own"))
-    rows = runtime.staged(rows, "grouped-lists")
-    several = rows.groupBy("token").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a != b").select("token")
-    counted = rows.join(several, "token").withColumn("n", F.count("*").over(Window.partitionBy("token", "own")))
-    main = Window.partitionBy("token")
-    counted = counted.withColumn("main", F.max(F.struct("n", "own")).over(main)["own"])
-    # blocks of sizes: similar sets lie in the same or in neighbouring ones
-    block = F.floor(F.log("size") / float(np.log(den / num))).cast("int")
-    left = counted.where("own != main").withColumn("block", F.explode(F.array(block - 1, block, block + 1))).alias("l")
-    right = counted.withColumn("block", block).alias("r")
+    """Candidate pairs (x < y, sizes nx, ny) that meet in a list and lie in different groups.
+
+    Of each list the largest group is only met by the others. Entries lie in blocks by size class and by position; two
+    blocks that cannot reach the needed overlap at their smallest positions, for any of their sizes, are never opened.
+    """
+    rows = lists.select("token", "doc", "place").join(groups.withColumnRenamed("node", "doc"), "doc", "left")
+    size, pos = (F.col("place") / (1 << 32)).cast("long"), F.col("place") % (1 << 32)
+    # sizes of similar sets lie in the same class or in neighbouring ones
+    rows = rows.select("token", "doc", size.alias("size"), pos.alias("pos"), F.coalesce("component", "doc").alias("own"))
+    rows = runtime.staged(rows.withColumn("sizes", F.floor(F.log("size") / float(np.log(den / num))).cast("int")).withColumn("at", F.floor(F.log2(F.col("pos") / POSITIONS + 1)).cast("int")), "grouped-lists")
+    shares = rows.groupBy("token", "own").agg(F.count("*").alias("n"))
+    main = shares.groupBy("token").agg(F.max(F.struct("n", "own")).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", F.col("m.own").alias("main"))
+    rows = rows.join(runtime.staged(main, "lists-of-several-groups"), "token")
+
+    block = rows.groupBy("token", "sizes", "at").agg(F.min("pos").alias("lo"), F.min("size").alias("least"), F.max("size").alias("most"), F.max((F.col("own") != F.col("main")).cast("int")).alias("others"), F.min("own").alias("a"), F.max("own").alias("b"))
+    left = block.where("others = 1").withColumn("near", F.explode(F.array(F.col("sizes") - 1, F.col("sizes"), F.col("sizes") + 1))).alias("l")
+    right = block.withColumn("near", F.col("sizes")).alias("r")
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    meet = (l("token") == r("token")) & (l("block") == r("block")) & (l("own") != r("own")) & ((r("own") == r("main")) | (l("doc") < r("doc"))) & _reaches(l("size"), l("pos"), r("size"), r("pos"), num, den)
-    return left.join(right, meet).select(F.least(l("doc"), r("doc")).alias("x"), F.greatest(l("doc"), r("doc")).alias("y")).distinct()
+    # the overlap of any two sets of the blocks is at most that of their largest at the smallest positions, and needs at least that of their smallest
+    reaches = F.least(l("most") - l("lo"), r("most") - r("lo")) * (num + den) >= (l("least") + r("least")) * num
+    several = (l("a") != l("b")) | (r("a") != r("b")) | (l("a") != r("a"))
+    opened = left.join(right, (l("token") == r("token")) & (l("near") == r("near")) & reaches & several)
+    opened = runtime.staged(opened.select(l("token").alias("token"), l("sizes").alias("l_sizes"), l("at").alias("l_at"), r("sizes").alias("r_sizes"), r("at").alias("r_at")), "opened-blocks")
+
+    named = lambda p: rows.select("token", F.col("sizes").alias(f"{p}_sizes"), F.col("at").alias(f"{p}_at"), *[F.col(c).alias(f"{p}_{c}") for c in ("doc", "size", "pos", "own")], F.col("main").alias(f"{p}_main"))
+    both = opened.join(named("l").where("l_own != l_main"), ["token", "l_sizes", "l_at"]).join(named("r"), ["token", "r_sizes", "r_at"])
+    meet = (F.col("l_own") != F.col("r_own")) & ((F.col("r_own") == F.col("r_main")) | (F.col("l_doc") < F.col("r_doc"))) & _reaches(F.col("l_size"), F.col("l_pos"), F.col("r_size"), F.col("r_pos"), num, den)
+    first = F.col("l_doc") < F.col("r_doc")
+    pair = [F.least("l_doc", "r_doc").alias("x"), F.greatest("l_doc", "r_doc").alias("y"), F.when(first, F.col("l_size")).otherwise(F.col("r_size")).alias("nx"), F.when(first, F.col("r_size")).otherwise(F.col("l_size")).alias("ny")]
+    return both.where(meet).select(*pair).distinct()

@@ -76,7 +76,7 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 def cut_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Token pieces of every document; only documents over ``capacity`` are cut, and the first piece takes the rest."""
-    runtime.ship(docs.sparkSession)
+    runtime.prepare(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from narrascope.llm.tokenize import encoder

@@ -323,7 +323,7 @@ def keyed(docs: DataFrame, key: str) -> DataFrame:
 def repeated_spans(texts: DataFrame, length: int = 100) -> DataFrame:
     """Staged (doc, spans) of texts (doc, text), a number and a text: starts and ends of the covered bytes, in turn."""
     spark = texts.sparkSession
-    runtime.ship(spark)
+    runtime.prepare(spark)
     runs = texts.mapInArrow(scan_runs(length), RUN).repartition("a").sortWithinPartitions("a", "s", "doc", "v")
     marks = runtime.staged(runs.mapInArrow(mark_runs, MARK), "marks")
     opened = marks.where("a != 0")

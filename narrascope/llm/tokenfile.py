@@ -214,7 +214,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2
     of the attempt that ended are listed. ``start`` is the number of ids in all files before.
     """
     spark = docs.sparkSession
-    runtime.ship(spark)
+    runtime.prepare(spark)
     folder = runtime.fresh_path(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +280,7 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def read_token_files(files: DataFrame) -> DataFrame:
     """One row a document, from the files: its id, where it starts among all ids, its length and their crc32."""
     spark = files.sparkSession
-    runtime.ship(spark)
+    runtime.prepare(spark)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

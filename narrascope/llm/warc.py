@@ -127,7 +127,7 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0, date: str = "2024-
     writes new files; only those of the attempt that ended are listed.
     """
     spark = pages.sparkSession
-    runtime.ship(spark)
+    runtime.prepare(spark)
     folder = runtime.fresh_path(spark, "warc")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page"), F.col("url").cast("string").alias("url"), html.alias("html"))
@@ -169,7 +169,7 @@ ROW = "page_id long, payload_bytes long, payload_digest string, record_type stri
 
 def read_archives(files: DataFrame) -> DataFrame:
     """One row a record, from the archives: length and digest of the whole payload (checked where it is there)."""
-    runtime.ship(files.sparkSession)
+    runtime.prepare(files.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from narrascope.llm import components
+from narrascope.operators import components
 
 
 @pytest.mark.parametrize("few", [0, 10**6])

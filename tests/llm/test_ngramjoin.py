@@ -74,3 +74,39 @@ def test_odd_tables(spark):
     text = " ".join(map(str, range(50)))
     got = ngramjoin.ngram_components(spark.createDataFrame([(None, text), (3, text), (3, text), (4, "x")], "doc_id long, text string")).collect()
     assert sorted((r[0] is not None, r[0] or 0, r[2]) for r in got) == [(False, 0, None), (True, 3, None), (True, 3, None), (True, 4, 4)]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_what_the_turns_leave_open_is_derived_from_leaders(spark, monkeypatch, seed):
+    monkeypatch.setattr(ngramjoin, "MOST_TURNS", 1)
+    monkeypatch.setattr(ngramjoin, "NEIGHBOURS", 1)
+    derived = []
+    real = ngramjoin._derived
+
+    def seen(texts, pairs, links, *how):
+        out = real(texts, pairs, links, *how)
+        derived.append((pairs.count(), ngramjoin.leaders_of(links, 85, 100).count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngramjoin, "_derived", seen)
+    monkeypatch.setattr(ngramjoin, "ALIKE", (85, 100))
+    rows = corpus(seed, 220)
+    assert run(spark, rows, 3, 4, 85, 100) == brute(rows, 4, 85, 100)
+    assert derived and derived[0][0] > 20 and derived[0][1] > 5 and derived[0][2] > 0
+
+
+def test_bounds_hold(spark):
+    """Leaders decide what bounds can; what they leave open is compared itself."""
+    base = [f"w{i}" for i in range(300)]
+    texts = {1: base, 2: base[:-3] + ["a", "b"], 10: base[:270] + [f"x{i}" for i in range(25)], 11: base[:270] + [f"x{i}" for i in range(22)] + ["y"], 30: [f"z{i}" for i in range(300)]}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc long, text string")
+    size = {k: len(w) - 3 for k, w in texts.items()}
+    shingle = {k: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for k, w in texts.items()}
+    pairs = [(x, y) for x in texts for y in texts if x < y and (x, y) not in ((1, 2), (10, 11))]
+    links = ngramjoin._compared(df, spark.createDataFrame([(1, 2), (10, 11)], "x long, y long"), 4, 85, 100)
+    assert {(x.doc, x.leader) for x in ngramjoin.leaders_of(links).collect()} == {(2, 1), (11, 10)}
+    p = spark.createDataFrame([(x, y, size[x], size[y]) for x, y in pairs], "x long, y long, nx long, ny long")
+    for num in (75, 80, 85, 95):
+        got = {(x.v, x.u) for x in ngramjoin._derived(df, p, links, 4, num, 100).collect()}
+        want = {(x, y) for x, y in pairs if 100 * len(shingle[x] & shingle[y]) >= num * len(shingle[x] | shingle[y])}
+        assert got == want, num
