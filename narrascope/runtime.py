@@ -92,10 +92,8 @@ def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     rows = staged(sorted_rows.withColumn("_id", F.monotonically_increasing_id()), "ranked")
     part, local = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).collect()  # a row for each partition
-    before, total = {}, 0
+    before, total = [0] * (max((r["_part"] for r in sizes), default=0) + 1), 0
     for r in sorted(sizes, key=lambda r: r["_part"]):
         before[r["_part"]], total = total, total + r["_n"]
-    if not before:
-        return rows.withColumn(name, F.lit(0).cast("long")).drop("_id")
-    offsets = spark.createDataFrame(list(before.items()), "_part long, _before long")
-    return rows.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + local).drop("_id", "_part", "_before")
+    offset = F.get(F.lit(before).cast("array<bigint>"), part.cast("int"))
+    return rows.withColumn(name, offset + local).drop("_id")
