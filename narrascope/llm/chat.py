@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope import runtime
+from narrascope.llm.joins import join_dealt
 
+NO_ID = -(1 << 63)
 #: &, < and " cannot stand for themselves inside a text or role, so no text can hold a mark of the template.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;"))
 TURN = r'<turn role="([^"<]*)">\n([^<]*)</turn>\n'
@@ -30,19 +32,27 @@ def unescape(text: Column) -> Column:
 
 
 def as_replies(turns: DataFrame) -> DataFrame:
-    """Flat turns as a tree in which each message answers the one before; equal turns are ordered by role and text."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    """Flat turns as a tree in which each message answers the one before; equal turns are ordered by role and text.
+
+    All turns are ranked in one order that is shared out by ranges, so that a very long conversation is no single task's.
+    Null turns come first, null roles and texts are empty, rows that repeat a turn are all messages, and rows without a
+    conv_id are one conversation.
+    """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("message", F.row_number().over(order).cast("long"))
+    placed = runtime.global_rank(rows, ["conv_id", "turn", "role", "text"], "place")
+    firsts = runtime.staged(placed.groupBy("conv_id").agg(F.min("place").alias("first")).select(F.coalesce("conv_id", F.lit(NO_ID)).alias("_conv"), "first"), "first-turns")
+    joined = join_dealt(placed.withColumn("_conv", F.coalesce("conv_id", F.lit(NO_ID))), firsts, "_conv", "place")
+    rows = joined.withColumn("message", F.col("place") - F.col("first") + 1)
     return rows.select("conv_id", "message", F.when(F.col("message") > 1, F.col("message") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def root_paths(messages: DataFrame) -> DataFrame:
     """Staged (conv, leaf, message, up): every message on the path of every leaf, ``up`` steps above it.
 
-    Messages whose parents lead to no root (a missing parent, a ring) are on no path.
+    Messages whose parents lead to no root (a missing parent, a ring) are on no path; a null parent is a root, null
+    messages are on no path, and rows that repeat a message share its paths. An empty table has none.
     """
-    links = runtime.staged(messages.select(F.coalesce("conv_id", F.lit(-(1 << 63))).alias("conv"), "message", "parent"), "replies")
+    links = runtime.staged(messages.select(F.coalesce("conv_id", F.lit(NO_ID)).alias("conv"), "message", "parent"), "replies")
     most = links.groupBy("conv").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     parents = links.where("parent is not null").select("conv", F.col("parent").alias("message")).distinct()
     paths = links.join(parents, ["conv", "message"], "left_anti").select("conv", F.col("message").alias("leaf"), "message", F.lit(0).cast("long").alias("up"))
@@ -63,7 +73,7 @@ def root_paths(messages: DataFrame) -> DataFrame:
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """The ``branches`` paths of each conversation with the highest scores; ties go to the smaller leaf."""
-    scores = messages.select(F.coalesce("conv_id", F.lit(-(1 << 63))).alias("conv"), "message", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
+    scores = messages.select(F.coalesce("conv_id", F.lit(NO_ID)).alias("conv"), "message", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
     rows = root_paths(messages).join(scores, ["conv", "message"])
     ranked = rows.groupBy("conv", "leaf").agg(F.sum("score").alias("s")).withColumn("branch", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("s"), "leaf"))).where(F.col("branch") <= branches).drop("s")
     return rows.join(ranked, ["conv", "leaf"]).select("conv", "branch", "up", "role", "text")
@@ -72,8 +82,11 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 def format_conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     """Staged (conv_id, branch, segments): formatted text in order, each segment under the loss mask or not.
 
-    ``messages``: conv_id, message, parent (null at a root), role, text, score. Null role and text are empty. The
-    formatted conversation is its segments end to end; the masked ones are exactly the assistant's texts.
+    ``messages``: conv_id, message, parent (null at a root), role, text, score. Null role and text are empty, a null
+    score counts nothing, messages without a conv_id are one conversation. Ties between branches go to the smaller
+    leaf. The formatted conversation is its segments end to end; the masked ones are exactly the assistant's texts. A
+    conversation is one row of the result, however long it or its texts are. Other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
     turn = best_paths(messages, branches)
     pieces = F.array(
@@ -83,7 +96,7 @@ def format_conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     )
     turns = turn.groupBy("conv", "branch").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), pieces.alias("pieces")))).alias("turns"))
     segments = F.flatten(F.transform("turns", lambda x: x["pieces"]))
-    return runtime.staged(turns.select(F.when(F.col("conv") != -(1 << 63), F.col("conv")).alias("conv_id"), "branch", segments.alias("segments")), "chats")
+    return runtime.staged(turns.select(F.when(F.col("conv") != NO_ID, F.col("conv")).alias("conv_id"), "branch", segments.alias("segments")), "chats")
 
 
 def read_back(chats: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def join_sized(wide: DataFrame, staged: DataFrame, on: str | list[str], how: str
     return wide.join(small, on, how)
 
 
-def join_dealt(wide: DataFrame, staged: DataFrame, on: str, by: str, parts: int = 64) -> DataFrame:
+def join_dealt(wide: DataFrame, staged: DataFrame, on: str | list[str], by: str, parts: int = 64) -> DataFrame:
     """``wide`` left-joined with a staged table of one row a key, where one key may hold a large part of ``wide``.
 
     A small table is sent to all executors; of a large one each row goes to ``parts`` places, over which the rows of a
@@ -26,4 +26,5 @@ def join_dealt(wide: DataFrame, staged: DataFrame, on: str, by: str, parts: int
     if runtime.stored_bytes(staged) <= BROADCAST_BYTES:
         return wide.join(F.broadcast(staged), on, "left")
     many = staged.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return wide.withColumn("_deal", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).join(many, [on, "_deal"], "left").drop("_deal")
+    keys = [on] if isinstance(on, str) else on
+    return wide.withColumn("_deal", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).join(many, [*keys, "_deal"], "left").drop("_deal")

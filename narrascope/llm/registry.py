@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +75,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(probe).alias("text"))
     return read_back(format_conversations(as_replies(turns.unionByName(extra))))
 
 

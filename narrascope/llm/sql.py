@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from narrascope.llm.quality import COMMON_WORDS
-from narrascope.llm.urlrules import FLOOR, LEAST, LOWER, MOST, RULES, UPPER, Z
+from narrascope.llm.urlrules import BELOW, FLOOR, LEAST, LOWER, MOST, RULES, UPPER, Z
 
 _LOW = "translate({}, '" + UPPER + "', '" + LOWER + "')"
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -48,7 +48,8 @@ def _kappa(level: str) -> str:
 
 
 OP7 = rf"""WITH b AS (SELECT page_id, {_LOW.format(f"coalesce(regexp_extract(url, {_R}, 1), '')")} AS host, coalesce(regexp_extract(url, {_R}, 2), '') AS path FROM pages),
- x AS (SELECT DISTINCT host, CASE WHEN regexp_extract(host, '([^.]+\.[^.]+)$', 1) = '' THEN host ELSE regexp_extract(host, '([^.]+\.[^.]+)$', 1) END AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix FROM b),
+ x AS (SELECT DISTINCT host, CASE WHEN regexp_matches(host, '[^.]+\.{BELOW}$') THEN regexp_extract(host, '([^.]+\.{BELOW})$', 1) WHEN regexp_extract(host, '([^.]+\.[^.]+)$', 1) = '' THEN host ELSE regexp_extract(host, '([^.]+\.[^.]+)$', 1) END AS domain,
+   CASE WHEN regexp_matches(host, '(^|\.){BELOW}$') THEN regexp_extract(host, '(?:^|\.)({BELOW})$', 1) ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix FROM b),
  h AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*)::DOUBLE AS n, sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END)::DOUBLE AS k FROM b JOIN labels ON doc_id = page_id JOIN x USING (host) WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY host),
  d AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain), s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
  m AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m0 FROM s),

@@ -1,6 +1,7 @@
 """URL verdicts: listed rules first, then host reputation by empirical Bayes.
 
-Labelled outcomes of pages are counted by host, registered domain (the last two labels) and suffix (the last one).
+Labelled outcomes of pages are counted by host, registered domain and suffix: the last label, or the last two where a
+country's registry gives out names below a general label (co.uk); the registered domain has one label more.
 At each level the rate of good pages is beta-binomial around the posterior mean one level up; how far members of a
 level differ, and so how strongly they shrink, is fitted by moments. A host is blocked when the upper bound of its
 posterior rate lies under a floor, so that little evidence blocks nothing.
@@ -12,13 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope import runtime
-from narrascope.llm.joins import join_sized
+from narrascope.llm.joins import join_dealt
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Z, FLOOR, LEAST, MOST = 2.0, 0.5, 1.0, 1000.0
+#: General labels below which countries' registries give out names.
+GENERAL = "ac|co|com|edu|go|gob|gov|gouv|mil|ne|net|nom|or|org|sch"
+BELOW = rf"(?:{GENERAL})\.[a-z]{{2}}"
 
 
 def host_of(url: Column) -> Column:
@@ -40,12 +44,13 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    found = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    return F.when(found == "", host).otherwise(found)
+    long, short = F.regexp_extract(host, rf"([^.]+\.{BELOW})$", 1), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    return F.when(long != "", long).when(short == "", host).otherwise(short)
 
 
 def suffix_of(host: Column) -> Column:
-    return F.regexp_extract(host, r"([^.]*)$", 1)
+    long = F.regexp_extract(host, rf"(?:^|\.)({BELOW})$", 1)
+    return F.when(long != "", long).otherwise(F.regexp_extract(host, r"([^.]*)$", 1))
 
 
 def strength(counts: DataFrame, mean: Column) -> DataFrame:
@@ -72,9 +77,9 @@ def host_verdicts(hosts: DataFrame, outcomes: DataFrame, z: float = Z, floor: fl
     zero = lambda c: F.coalesce(c, F.lit(0))
     d = domains.select("domain", F.col("n").alias("nd"), F.col("k").alias("kd"))
     h = seen.select("host", F.col("n").alias("nh"), F.col("k").alias("kh"))
-    # most hosts of a corpus share few domains and suffixes: those joins are by their size
+    # most hosts of a corpus may share one domain or suffix: rows of a key are dealt out
     all_hosts = hosts.select("host").distinct().withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    known = all_hosts.join(h, "host", "left").join(runtime.staged(d, "domains"), "domain", "left").join(runtime.staged(suffixes, "suffixes"), "suffix", "left")
+    known = join_dealt(join_dealt(all_hosts.join(h, "host", "left"), runtime.staged(d, "domains"), "domain", "host"), runtime.staged(suffixes, "suffixes"), "suffix", "host")
     md = post(zero(F.col("kd")), zero(F.col("nd")), kd, F.coalesce("ms", F.lit(m0)))
     mean = post(zero(F.col("kh")), zero(F.col("nh")), kh, md)
     upper = mean + z * F.sqrt(mean * (1 - mean) / (zero(F.col("nh")) + kh + 1))
@@ -85,10 +90,12 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page. ``labels``: page_id, good (0 or 1, null unknown).
 
     A null url, or one without ``://``, has empty host and path and is judged with the others of the empty host.
-    Rows that repeat a page_id are judged each and share its outcomes.
+    Rows that repeat a page_id are judged each and share its outcomes; a null page_id has none. A url of any length is
+    read whole. Of rules of equal length the first in order of (verdict, host, path) holds. Other columns are ignored,
+    whatever their names; without pages there are no rows, without labels all hosts are allowed.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     outcomes = base.select("page_id", "host").join(labels.select(F.col("page_id").cast("long").alias("page_id"), F.col("good").cast("long").alias("good")), "page_id")
     verdicts = host_verdicts(base, outcomes)
-    found = join_sized(base, verdicts, "host", "left").withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
+    found = join_dealt(base, verdicts, "host", "page_id").withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
     return found.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", "verdict").alias("verdict"))

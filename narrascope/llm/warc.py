@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrascope import runtime
-from narrascope.llm.joins import join_sized
+from narrascope.llm.joins import join_dealt, join_sized
 from narrascope.llm.tokenfile import load, store
 
 DICTIONARY_FRAME = 0x184D2A5D
-#: Bytes of payload after which a file is closed, bytes of its first records that the dictionary is built from, and its size.
+#: Bytes of payload after which a file is closed, bytes of records spread over it that the dictionary is built from, and its size.
 FILE_BYTES = 64 << 20
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 96 << 10
@@ -83,13 +83,8 @@ def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES):
 def encode_file(records: list[bytes], level: int = 3) -> list[bytes]:
     import zstandard
 
-    samples, held = [], 0
-    for x in records:
-        samples.append(x)
-        held += len(x)
-        if held >= SAMPLE_BYTES:
-            break
-    words = build_dictionary(samples)
+    step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
+    words = build_dictionary(records[::step])
     own = words.as_bytes()
     press = zstandard.ZstdCompressor(level=level, dict_data=words)
     return [struct.pack("<II", DICTIONARY_FRAME, len(own)), own, *(press.compress(x) for x in records)]
@@ -123,8 +118,9 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0, date: str = "2024-
 
     Of pages with equal payloads of at least ``least_bytes`` the one with the smallest page_id is a response and the
     others revisit it; smaller payloads are all responses. Null html is an empty payload, a null page_id counts as
-    the smallest, and rows that repeat a page_id and its payload are all written as that page is. A repeated task
-    writes new files; only those of the attempt that ended are listed.
+    the smallest, and rows that repeat a page_id and its payload are all written as that page is. A payload of any
+    length is one record, held whole. Other columns are ignored, whatever their names; an empty table has no files. A
+    repeated task writes new files; only those of the attempt that ended are listed.
     """
     spark = pages.sparkSession
     runtime.prepare(spark)
@@ -134,7 +130,9 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0, date: str = "2024-
     base = base.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("size", F.octet_length("html").cast("long"))
     facts = runtime.staged(base.select("page", "digest", "size"), "digests")
     heads = facts.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.min("page").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = runtime.staged(facts.join(heads, ["digest", "size"]).where("page != refers_to").select("page", "digest", "refers_to").distinct(), "revisits")
+    # one payload, such as the empty one, may be that of a large part of all pages
+    later = join_dealt(facts, runtime.staged(heads, "repeated-payloads"), ["digest", "size"], "page")
+    later = runtime.staged(later.where("page != refers_to").select("page", "digest", "refers_to").distinct(), "revisits")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records: list[bytes] = []

@@ -43,3 +43,11 @@ def test_branches_by_score(spark):
 def test_no_conversations(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_conversations(chat.as_replies(df))).count() == 0
+
+
+def test_one_long_conversation(spark):
+    n = 700
+    rows = [(1, t, ["user", "assistant"][t % 2], f"t{t} " + "x" * (50_000 if t == 5 else 3), 9) for t in range(n)] + [(2, 0, "user", "q", 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place int").repartition(5)
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(chat.as_replies(df))).collect()}
+    assert got[1].n_turns == n and got[1].turns_sha256 == digest("".join(f"{r}\n{x}\n" for c, _, r, x, _ in rows if c == 1)) and got[2].n_turns == 1

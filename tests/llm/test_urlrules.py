@@ -47,7 +47,7 @@ def test_no_pages(spark):
     assert urlrules.judge_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([(1, 1)], "page_id long, good long")).count() == 0
 
 
-@pytest.mark.parametrize("host,domain,suffix", [("a.b.c", "b.c", "c"), ("c", "c", "c"), ("", "", ""), ("b.c", "b.c", "c")])
+@pytest.mark.parametrize("host,domain,suffix", [("a.b.c", "b.c", "c"), ("c", "c", "c"), ("", "", ""), ("b.c", "b.c", "c"), ("www.shop.co.uk", "shop.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("a.com.au", "a.com.au", "com.au"), ("co.info", "co.info", "info"), ("xco.uk", "xco.uk", "uk")])
 def test_levels(spark, host, domain, suffix):
     row = spark.createDataFrame([(host,)], "h string").select(urlrules.domain_of(urlrules.F.col("h")), urlrules.suffix_of(urlrules.F.col("h"))).first()
     assert tuple(row) == (domain, suffix)
