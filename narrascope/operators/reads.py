@@ -121,3 +121,93 @@ def theme_documents(evidence: DataFrame, community: str | None = None, company:
     if community is not None:
         evidence = evidence.where(F.col("community") == community)
     return evidence.where(F.col("company_id") == company) if company is not None else evidence
+
+
+class AnchorError(LookupError):
+    """No node, or several, fit what was asked for; ``candidates`` names some."""
+
+    def __init__(self, wanted: str, candidates: list[str]):
+        super().__init__(f"{wanted}: {'several nodes' if candidates else 'no node'} {', '.join(candidates)}".strip())
+        self.candidates = candidates
+
+
+MOST_CANDIDATES = 10
+
+
+def find_anchor(nodes: DataFrame, wanted: str) -> str:
+    """A node by its id, else by its label in any case, else by a part of the label that only one has."""
+    low = wanted.lower()
+    label = F.lower(F.coalesce("label", "entity_id"))
+    for fits in (F.col("entity_id") == wanted, label == low, label.contains(low)):
+        found = [r[0] for r in nodes.where(fits).select("entity_id").distinct().orderBy("entity_id").limit(MOST_CANDIDATES + 1).collect()]
+        if len(found) == 1:
+            return found[0]
+        if found:
+            raise AnchorError(wanted, found[:MOST_CANDIDATES])
+    raise AnchorError(wanted, [])
+
+
+DIRECTIONS = ("out", "in", "both")
+
+
+def extract_slice(
+    nodes: DataFrame, edges: DataFrame, anchor: str, *, depth: int = 2, direction: str = "both", edge_types: list[str] | None = None, levels: list[str] | None = None, methods: list[str] | None = None, least_weight: float = 0.0, most_nodes: int = 200
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes with hop, edges between them) around an anchor.
+
+    Edges that only tie evidence are never taken. A node of a level that is left out neither comes in nor passes on;
+    the anchor always does. Each hop takes the nodes found by the heaviest edges first, then by id, until there are
+    ``most_nodes``. ``nodes``: entity_id, label, entity_type; ``edges``: src, dst, edge_type, method, weight.
+    """
+    from narrascope import runtime
+    from narrascope.operators.graph import CLUSTER_METHODS, STRUCTURAL
+
+    if direction not in DIRECTIONS:
+        raise ValueError(f"no such direction: {direction}")
+    if depth < 0 or most_nodes < 1:
+        raise ValueError("depth is 0 or more, most_nodes 1 or more")
+    if unknown := set(edge_types or ()) - {*STRUCTURAL, *EVIDENCE_EDGES, "located_in", "expresses_sentiment"}:
+        raise ValueError(f"unknown edge types: {sorted(unknown)}")
+    if unknown := set(levels or ()) - set(LEVEL_OF.values()):
+        raise ValueError(f"unknown levels: {sorted(unknown)}")
+    spark = nodes.sparkSession
+    start = find_anchor(nodes, anchor)
+    known = nodes.withColumn("level", level_of(F.col("entity_type")))
+    open_to = known if levels is None else known.where(F.col("level").isin(*levels) | (F.col("entity_id") == start))
+    kinds = [t for t in (edge_types if edge_types is not None else STRUCTURAL) if t not in EVIDENCE_EDGES]
+    ways = [x for x in (methods if methods is not None else CLUSTER_METHODS) if x in CLUSTER_METHODS]
+    live = edges.where(F.col("edge_type").isin(*kinds) & F.col("method").isin(*ways) & (F.coalesce("weight", F.lit(0.0)) >= least_weight))
+    live = live.join(open_to.select(F.col("entity_id").alias("src")), "src", "left_semi").join(open_to.select(F.col("entity_id").alias("dst")), "dst", "left_semi")
+    live = runtime.staged(live.select("src", "dst", "edge_type", F.coalesce("weight", F.lit(0.0)).alias("weight")), "slice-edges")
+    moves = live.where("src != dst")
+    forth, back = moves.select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight"), moves.select(F.col("dst").alias("node"), F.col("src").alias("other"), "weight")
+    steps = forth if direction == "out" else back if direction == "in" else forth.unionByName(back)
+    found = spark.createDataFrame([(start, 0)], "node string, hop int")
+    frontier, held = found, 1
+    for hop in range(1, depth + 1):
+        near = steps.join(frontier.select("node"), "node").groupBy(F.col("other").alias("node")).agg(F.max("weight").alias("via")).join(found.select("node"), "node", "left_anti")
+        frontier = runtime.staged(near.orderBy(F.desc("via"), "node").limit(most_nodes - held).select("node", F.lit(hop).alias("hop")), "slice-hop")
+        n = frontier.count()  # at most most_nodes
+        found, held = found.unionByName(frontier), held + n
+        if not n or held >= most_nodes:
+            break
+    ids = found.select(F.col("node").alias("entity_id"), "hop")
+    kept = known.join(F.broadcast(ids), "entity_id").select("entity_id", F.coalesce("label", "entity_id").alias("label"), "entity_type", "level", "hop")
+    inside = live.join(F.broadcast(ids.select(F.col("entity_id").alias("src"))), "src", "left_semi").join(F.broadcast(ids.select(F.col("entity_id").alias("dst"))), "dst", "left_semi")
+    return kept, inside.select("src", "dst", "edge_type", "weight")
+
+
+def company_profile(company: str, entities: DataFrame, exposure: DataFrame, names: DataFrame, fundamentals: DataFrame | None, facts: DataFrame | None, as_of: str) -> dict[str, DataFrame]:
+    """What is known of a company: itself, its themes by exposure, reported fundamentals known at ``as_of``, claims (undated ones too)."""
+    from narrascope.operators.pit import known_at
+
+    own = entities.where(F.col("entity_id") == company)
+    if not own.limit(1).count():
+        raise LookupError(f"entity not found: {company}")
+    themes = exposure.where(F.col("company_id") == company).join(names, "community", "left").select("community", F.coalesce("theme_name", "community").alias("theme_name"), "theme_snapshot_id", "exposure_score").orderBy(F.desc("exposure_score"), "community")
+    out = {"company": own, "themes": themes}
+    if fundamentals is not None:
+        out["fundamentals"] = fundamentals.where((F.col("company_id") == company) & known_at(F.col("available_at"), as_of))
+    if facts is not None:
+        out["financial_facts"] = facts.where((F.col("company_id") == company) & known_at(F.col("available_at"), as_of, "open"))
+    return out
