@@ -189,6 +189,23 @@ class Engine:
         universe = e.select("company_id", F.lit(None).cast("string").alias("sector")).distinct()
         return validation.validate_snapshot(e, prices, windows, universe, [], top_n)
 
+    def integrate_signals(self, run: str, as_of: str, series: DataFrame, specs: DataFrame, sources: DataFrame, sensitivities: DataFrame, universe: DataFrame) -> None:
+        """Series nodes and their edges join the point's entities and edges; those that are there stay as they are."""
+        from narrascope import runtime
+        from narrascope.operators import signals
+
+        entities, edges = (runtime.staged(self.table(run, t, as_of), t) for t in ("entities", "edges"))
+        told = runtime.staged(self.table(run, "edge_explanations", as_of), "edge_explanations")
+        found = signals.integrate(signals.pit_signals(series, specs, as_of), sources, sensitivities, entities.where("entity_type = 'Company'").select("entity_id", "name"), universe, as_of)
+        self.write(run, as_of, "entities", reads.add_new_nodes(entities, found["nodes"]))
+        self.write(run, as_of, "edges", edges.unionByName(found["edges"].join(edges.select("edge_id"), "edge_id", "left_anti"), allowMissingColumns=True))
+        self.write(run, as_of, "edge_explanations", told.unionByName(found["explanations"].join(told.select("edge_id"), "edge_id", "left_anti"), allowMissingColumns=True))
+
+    def report(self, run: str, as_of: str | None = None, validated: DataFrame | None = None, narrator=None) -> str:
+        from narrascope.operators import narration
+
+        return narration.report(self.runs.load(run), self.table(run, "theme_metrics", as_of), self.table(run, "company_theme_exposure", as_of), validated, narrator)
+
     # ---- reads
 
     def slice(self, run: str, anchor: str, as_of: str | None = None, **how) -> tuple[DataFrame, DataFrame]:

@@ -49,3 +49,20 @@ def write_validation_csv(df: DataFrame, path: str, returns: list[str]) -> None:
 def write_manifest(rows: DataFrame, columns: tuple[str, ...], path: str) -> None:
     """A manifest as CSV with the contract's columns in order; absent ones are empty."""
     rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in columns]).write.mode("overwrite").csv(path, header=True, emptyValue="")
+
+
+def write_document(parts: dict[str, DataFrame], path: str, **fields) -> None:
+    """One JSON document: plain fields, and a list of records for each table. For documents that a reader takes whole.
+
+    Records are put together by one task, in order of their text; large tables are better read as tables.
+    """
+    spark = next(iter(parts.values())).sparkSession
+    doc = spark.range(1).select(*[F.lit(v).alias(k) for k, v in fields.items()])
+    for name, df in parts.items():
+        rows = df.select(F.to_json(F.struct("*")).alias("j")).agg(F.array_sort(F.collect_list("j")).alias("j"))
+        doc = doc.join(rows.select(F.concat(F.lit("["), F.array_join("j", ","), F.lit("]")).alias(f"_{name}")))  # one row each
+    texts = [F.concat(F.lit(f'"{n}":'), f"_{n}") for n in parts]
+    plain = F.to_json(F.struct(*[F.col(k) for k in fields])) if fields else F.lit("{}")
+    head = F.expr("substring(p, 2, length(p) - 2)")
+    body = doc.withColumn("p", plain).select(F.concat(F.lit("{"), F.concat_ws(",", F.when(head != "", head), *texts), F.lit("}")).alias("value"))
+    body.coalesce(1).write.mode("overwrite").text(path)

@@ -101,4 +101,6 @@ def test_freeze_then_validate(engine, spark):
     rows = e.validate(run, "2024-02-29", [1, 3, 12]).collect()
     assert {r.forward_window for r in rows} == {"1M", "3M"} and all(r.illustrative and "12M" in r.caveats for r in rows)
     assert any(r.basket_ret and r.basket_ret > 0 for r in rows)
+    text = e.report(run, "2024-02-29", e.validate(run, "2024-02-29", [1]))
+    assert run in text and "## Validation" in text and "single snapshot" in text and "Not validated." in e.report(run, "2024-02-29")
     assert [(r.n_points, r.frozen) for r in e.runs.listing().collect()] == [(2, True)]

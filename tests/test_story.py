@@ -7,8 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from narrascope.operators import cleaning, exposure, extraction, governance, impacts, lineage, market, narration, reads, sentiment, textops, validation
-from narrascope.sources import config, readers
+from narrascope.operators import cleaning, exposure, extraction, governance, impacts, lineage, market, narration, reads, sentiment, signals, textops, validation
+from narrascope.sources import config, readers, sinks
 
 
 def day(text):
@@ -206,3 +206,38 @@ def test_reads_and_plug_ins(spark):
     assert readers.concept_index(vocabulary)["SalesRevenueNet"] == ("revenue", 1)
     facts = spark.createDataFrame([(1, "SalesRevenueNet", 5.0), (1, "Revenues", 6.0), (2, "SalesRevenueNet", 7.0)], "company_id int, concept string, value double").withColumn("period_end", F.lit("2024-03-31")).withColumn("filing_date", F.lit("2024-04-30"))
     assert {(r.company_id, r.metric, r.value) for r in readers.by_priority(facts, vocabulary).collect()} == {(1, "revenue", 6.0), (2, "revenue", 7.0)}
+
+
+def test_signals_fire_by_trend_and_regime(spark):
+    series = spark.createDataFrame([(s, day("2024-01-01") + dt.timedelta(days=30 * k), float(v)) for s, vs in {"oil": [50, 50, 50, 80], "rate": [5, 5, 5, 5], "late": [1]}.items() for k, v in enumerate(vs)], "series_id string, obs_date date, value double")
+    specs = spark.createDataFrame([("oil", 0, "zscore", None, None, 365), ("rate", 0, "threshold", [2.0, 4.0], ["low", "mid", "high"], None), ("late", 400, None, None, None, None)], "series_id string, lag_days int, mode string, thresholds array<double>, labels array<string>, window_days int")
+    s = signals.pit_signals(series, specs, "2024-06-30")
+    assert {(r.series_id, r.trend, r.regime, r.prior, round(r.pct_change, 6)) for r in s.collect()} == {("oil", "rising", "elevated", 50.0, 60.0), ("rate", "flat", "high", 5.0, 0.0)}
+    sources = spark.createDataFrame([("oil", "Oil price", "Commodity", "USD", 0.7), ("rate", "Policy rate", "Nothing", "%", None), ("late", "Late", "Commodity", "", None)], "series_id string, label string, node_type string, unit string, confidence double")
+    kinds = "series_id string, edge_type string, sector string, companies array<string>, when_trend string, when_regime string, rationale string"
+    sens = spark.createDataFrame([("oil", "hurts", "Air", [" jet  CO "], "rising", None, "fuel"), ("oil", "benefits", "Energy", [], "falling", None, "no"), ("oil", "benefits", "Energy", [], None, "elevated", "sales")], kinds)
+    companies = spark.createDataFrame([("c1", "Jet Co"), ("c2", "Wing"), ("c3", "Rig")], "entity_id string, name string")
+    universe = spark.createDataFrame([("WING", "Air"), ("Rig", "Energy"), ("Unknown", "Energy")], "name string, sector string")
+    out = signals.integrate(s, sources, sens, companies, universe, "2024-06-30")
+    assert {(r.dst, r.edge_type, r.confidence, r.method) for r in out["edges"].collect()} == {("c1", "hurts", 0.7, "metadata_inferred"), ("c2", "hurts", 0.7, "metadata_inferred"), ("c3", "benefits", 0.7, "metadata_inferred")}
+    assert [r.name for r in out["nodes"].collect()] == ["Oil price"]
+    assert "Oil price = 80USD (rising vs ~3mo prior, regime=elevated, as of 2024-03-31); sales. Source: oil (point-in-time, vintage 2024-06-30)." in {r.explanation for r in out["explanations"].collect()}
+    with pytest.raises(ValueError):
+        signals.integrate(s, sources, spark.createDataFrame([("oil", "co_occurs_with", "Air", [], None, None, "x")], kinds), companies, universe, "2024-06-30")
+
+
+def test_documents_as_json(spark, tmp_path):
+    import json
+
+    sinks.write_document({"nodes": spark.createDataFrame([("b",), ("a",)], "id string"), "edges": spark.createDataFrame([], "id string")}, str(tmp_path / "g"), run_id="r", n=2)
+    assert json.loads(next((tmp_path / "g").glob("part-*")).read_text()) == {"run_id": "r", "n": 2, "nodes": [{"id": "a"}, {"id": "b"}], "edges": []}
+
+
+def test_discovery_does_not_reach_for_views():
+    """Operators know nothing of the analysts' views, of validation zones or of the engine above them."""
+    import pathlib
+
+    import narrascope
+
+    for path in (pathlib.Path(narrascope.__file__).parent / "operators").glob("*.py"):
+        assert not re.search(r"sources\.catalog|createOrReplaceTempView|narrascope\.engine|narrascope\.llm", path.read_text()), path
