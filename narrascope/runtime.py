@@ -97,3 +97,8 @@ def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
         before[r["_part"]], total = total, total + r["_n"]
     offset = F.get(F.lit(before).cast("array<bigint>"), part.cast("int"))
     return rows.withColumn(name, offset + local).drop("_id")
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Bytes that the optimizer expects of ``df``: those of the files behind a plain scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
