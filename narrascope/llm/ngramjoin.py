@@ -236,23 +236,25 @@ def _left_open(lists: DataFrame, groups: DataFrame) -> int:
     return int(sizes.agg(F.sum(F.col("n") * (F.col("n") - F.col("main")))).first()[0] or 0)
 
 
-MEMBER = "block long, doc long, bytes binary"
+MEMBER = "block long, deal int, doc long, bytes binary"
+#: Sets that one task holds against the head of a block, about; more are dealt to other tasks, with the head.
+BLOCK_SETS = 500
 
 
 def _ship_sets(n: int):
-    """The sets (48 bits a shingle) of the documents asked for, once for each block that asks."""
+    """The sets (48 bits a shingle) of the documents asked for, once for each block and deal that asks."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_bytes(batch.column(1))
-            docs, blocks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            docs, blocks, deals = (batch.column(k).to_pylist() for k in (0, 2, 3))
             for i, j in chunks(off, 1 << 20):
-                out: tuple[list, list, list] = ([], [], [])
+                out: tuple[list, list, list, list] = ([], [], [], [])
                 for k, x in enumerate(sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], n)):
                     packed = np.ascontiguousarray((x >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                    for b in blocks[i + k]:
-                        out[0].append(b), out[1].append(docs[i + k]), out[2].append(packed)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["block", "doc", "bytes"])
+                    for b, d in zip(blocks[i + k], deals[i + k]):
+                        out[0].append(b), out[1].append(d), out[2].append(docs[i + k]), out[3].append(packed)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["block", "deal", "doc", "bytes"])
 
     return scan
 
@@ -267,13 +269,13 @@ OVERLAP = "u long, v long, common long, nu long, nv long"
 
 
 def _overlaps(num: int, den: int):
-    """Rows come sorted by block, its head first; out: members (u) similar enough to the head (v), with overlap and sizes. With ``num`` 0 all."""
+    """Rows come sorted by block and deal, the head first; out: members (u) similar enough to the head (v), with overlap and sizes. With ``num`` 0 all."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, head = None, None
         for batch in batches:
             out = []
-            for b, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for b, doc, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 if doc == b:
                     if block != b:
                         block, head = b, _unpacked(raw.as_py())
@@ -292,10 +294,15 @@ def _overlaps(num: int, den: int):
 
 def _compared(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Staged overlaps of those of the pairs (x < y) that are similar enough, on whole sets."""
-    asked = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("doc"), F.col("x").alias("block")), F.struct(F.col("y").alias("doc"), F.col("x").alias("block")))).alias("e")).select("e.*")
-    asked = runtime.staged(asked.groupBy("doc").agg(F.collect_set("block").alias("blocks")), "asked")
-    members = join_sized(texts, asked, "doc").select("doc", "text", "blocks").mapInArrow(_ship_sets(n), MEMBER)
-    members = members.repartition("block").sortWithinPartitions("block", F.col("doc") != F.col("block"))
+    # a set that very many are held against is sent to several tasks
+    many = runtime.staged(pairs.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK_SETS), "popular-sets")
+    deals = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK_SETS)
+    dealt = join_sized(pairs, many, "x", "left").select("x", "y", F.pmod(F.xxhash64("y"), deals).cast("int").alias("deal"))
+    ask = lambda c: F.struct(F.col(c).alias("doc"), F.col("x").alias("block"), "deal")
+    asked = dealt.select(F.explode(F.array(ask("x"), ask("y"))).alias("e")).select("e.*").groupBy("doc").agg(F.collect_set(F.struct("block", "deal")).alias("b"))
+    asked = runtime.staged(asked.select("doc", F.col("b.block").alias("blocks"), F.col("b.deal").alias("deals")), "asked")
+    members = join_sized(texts, asked, "doc").select("doc", "text", "blocks", "deals").mapInArrow(_ship_sets(n), MEMBER)
+    members = members.repartition("block", "deal").sortWithinPartitions("block", "deal", F.col("doc") != F.col("block"))
     return runtime.staged(members.mapInArrow(_overlaps(num, den), OVERLAP), "overlaps")
 
 

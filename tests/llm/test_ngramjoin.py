@@ -65,6 +65,7 @@ def test_matches_brute_force(spark, seed, parts, how):
 
 def test_long_lists_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin, "LIST_ROWS", 2)
+    monkeypatch.setattr(ngramjoin, "BLOCK_SETS", 2)
     rows = corpus(4)
     assert run(spark, rows, 4, 4, 85, 100) == brute(rows, 4, 85, 100)
 
