@@ -85,7 +85,8 @@ def fixed_basket_walk(exposure: DataFrame, prices: DataFrame, points: DataFrame,
     mine = returns.where("ret IS NOT NULL").join(companies, "company_id", "left_semi").groupBy("as_of", "months").agg(F.avg("ret").alias("basket_ret"))
     base = benchmark_returns(returns, universe, (baseline,), top_n, seed).select("as_of", "months", F.col("benchmark_ret").alias("baseline_ret"))
     rows = seen.join(mine, ["as_of", "months"], "left").join(base, ["as_of", "months"], "left")
-    rows = rows.withColumn("excess", F.col("basket_ret") - F.col("baseline_ret")).withColumn("skipped_reason", F.when(~F.col("covered"), F.concat(F.lit("insufficient_forward_coverage: prices must reach "), F.col("window_end").cast("string"))))
+    # what is left of equal returns by the order of sums is no excess
+    rows = rows.withColumn("excess", F.round(F.col("basket_ret") - F.col("baseline_ret"), 12)).withColumn("skipped_reason", F.when(~F.col("covered"), F.concat(F.lit("insufficient_forward_coverage: prices must reach "), F.col("window_end").cast("string"))))
     panel = Window.partitionBy()  # a row for each point
     n = F.count("excess").over(panel)
     return rows.select("as_of", "months", "basket_ret", "baseline_ret", "excess", "skipped_reason", n.alias("n_points"), F.avg("excess").over(panel).alias("mean_excess"), F.avg((F.col("excess") > 0).cast("double")).over(panel).alias("hit_rate"), (n >= least_points).alias("claim_supported"))

@@ -126,7 +126,7 @@ SELECT theme, months || 'M' AS forward_window, company_count, coalesce(n, 0) AS
     "sector_fallback": f"""WITH pts AS (SELECT DATE '{AS_OF}' AS as_of, 3 AS months), {_RETS2} SELECT as_of, 'sector_equal_weight' AS benchmark, round(avg(ret), 6) AS benchmark_ret, count(ret) AS benchmark_n, 'sector_equal_weight: no sector data available; used equal_weight_universe as fallback' AS benchmark_caveat FROM r GROUP BY as_of""",
     "fixed_basket_walk": f"""WITH pts AS (SELECT * FROM (VALUES (DATE '1998-01-01', 3), (DATE '1998-07-01', 3), (DATE '1999-01-01', 3), (DATE '2001-10-01', 3)) v(as_of, months)), {_RETS2}, {EXPO}, {TOP}, ok AS (SELECT as_of, (SELECT max(l_shipdate::DATE) FROM lineitem) >= as_of + to_months(3) AS covered FROM pts),
  x AS (SELECT as_of, covered, CASE WHEN covered THEN (SELECT avg(ret) FROM r WHERE r.as_of = ok.as_of AND company_id IN (SELECT company_id FROM top)) END AS bk, CASE WHEN covered THEN (SELECT avg(ret) FROM r WHERE r.as_of = ok.as_of) END AS bs FROM ok)
-SELECT as_of, round(bk, 6) AS basket_ret, round(bs, 6) AS baseline_ret, round(bk - bs, 6) AS excess, CASE WHEN NOT covered THEN 'insufficient_forward_coverage: prices must reach ' || (as_of + to_months(3))::DATE END AS skipped_reason, count(bk - bs) OVER () AS n_points, round(avg(bk - bs) OVER (), 6) AS mean_excess, round(avg((bk - bs > 0)::INT) OVER (), 6) AS hit_rate, count(bk - bs) OVER () >= 3 AS claim_supported FROM x""",
+SELECT as_of, round(bk, 6) AS basket_ret, round(bs, 6) AS baseline_ret, round(bk - bs, 6) AS excess, CASE WHEN NOT covered THEN 'insufficient_forward_coverage: prices must reach ' || (as_of + to_months(3))::DATE END AS skipped_reason, count(bk - bs) OVER () AS n_points, round(avg(bk - bs) OVER (), 6) AS mean_excess, round(avg((round(bk - bs, 12) > 0)::INT) OVER (), 6) AS hit_rate, count(bk - bs) OVER () >= 3 AS claim_supported FROM x""",
     "theme_lineage": f"WITH RECURSIVE {_PANEL} SELECT idx, theme, event AS lifecycle_event, confidence, n_parents FROM ev",
     "theme_families": f"WITH RECURSIVE {_PANEL} SELECT fid AS theme_family_id, first, last, 'q' || first AS first_seen, 'q' || last AS last_seen, n_points, (SELECT count(DISTINCT company) FROM r JOIN f2 USING (key) WHERE f2.root = fam.root) AS n_companies FROM fam",
     "panel_report": f"""WITH RECURSIVE {_PANEL} SELECT (SELECT count(*) FROM fam) AS family_count, count(*) FILTER (event = 'emerged') AS emerged, count(*) FILTER (event = 'persisted') AS persisted, count(*) FILTER (event = 'split') AS split, count(*) FILTER (event = 'merged') AS merged, count(*) FILTER (event = 'revived') AS revived,
