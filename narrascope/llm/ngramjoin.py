@@ -35,7 +35,7 @@ NO_ID = -(1 << 63)
 SKETCH_BITS = 20
 _BLOCK = 4096
 #: An inverted list is dealt to one more task for each so many entries that the sketch foresees.
-LIST_ROWS = 1_500
+LIST_ROWS = 1_000
 #: Comparisons of a set at each turn that makes groups grow; what the turns leave open is settled after.
 NEIGHBOURS = 12
 LAGS = 12
