@@ -238,7 +238,7 @@ def _left_open(lists: DataFrame, groups: DataFrame) -> int:
 
 MEMBER = "block long, deal int, doc long, bytes binary"
 #: Sets that one task holds against the head of a block, about; more are dealt to other tasks, with the head.
-BLOCK_SETS = 500
+BLOCK_SETS = 200
 
 
 def _ship_sets(n: int):
@@ -295,7 +295,7 @@ def _overlaps(num: int, den: int):
 def _compared(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Staged overlaps of those of the pairs (x < y) that are similar enough, on whole sets."""
     # a set that very many are held against is sent to several tasks
-    many = runtime.staged(pairs.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK_SETS), "popular-sets")
+    many = runtime.staged(pairs.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_SETS), "popular-sets")
     deals = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK_SETS)
     dealt = join_sized(pairs, many, "x", "left").select("x", "y", F.pmod(F.xxhash64("y"), deals).cast("int").alias("deal"))
     ask = lambda c: F.struct(F.col(c).alias("doc"), F.col("x").alias("block"), "deal")
