@@ -14,9 +14,9 @@ _SHIPPED: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """``ship``, and batches of 2,500 rows for Python workers of this session where it has the default of 10,000: texts are long."""
+    """``ship``, and batches of 1,500 rows for Python workers of this session where it has the default of 10,000: texts are long."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
     ship(spark)
 
 
@@ -102,3 +102,13 @@ def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
 def planned_bytes(df: DataFrame) -> int:
     """Bytes that the optimizer expects of ``df``: those of the files behind a plain scan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def settle(spark: SparkSession) -> None:
+    """Executors collect garbage once, and so give heap back to the system, before a stage whose Python workers need it.
+
+    One short task a core; a full collection an executor. A heap that has grown in one stage otherwise keeps its size
+    beside the workers of the next, in a container that both share.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
