@@ -17,7 +17,7 @@ import numpy as np
 
 from narrascope.llm.bytescan import Directory, Hasher, _splitmix
 
-CACHE = 2_000_000
+CACHE = 300_000
 
 _GRAPHIC = np.zeros(256, dtype=bool)
 _GRAPHIC[0x21:0x7F] = True
