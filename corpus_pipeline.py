@@ -33,6 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that 5-word shingles link at 0.8 or more, the one with the smallest id stays, with all its rows."""
+    runtime.settle(spark)
     groups = ngram_components(docs, n=5, num=80, den=100)
     gone = runtime.staged(groups.where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
     return join_sized(docs, gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -40,17 +41,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes or more that stand earlier in the corpus are cut out; what is left empty goes, null texts too."""
+    runtime.settle(spark)
     return remove_repeats(docs, length=100).where(F.col("n_chars") > 0).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other slots, go; without items all stay."""
+    runtime.settle(spark)
     found = runtime.staged(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return join_sized(docs, found, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2,048 tokens; a null id is packed like any other."""
+    runtime.settle(spark)
     return pack(docs, vocabulary(), capacity=2048, end_id=0)
 
 
