@@ -86,8 +86,6 @@ class PieceEncoder:
         self.extra: dict[int, tuple[int, int]] = {}
 
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
-        if len(self.keys) > CACHE:
-            self._reset()
         first, last = data[starts], data[ends - 1]
         spaced = (first == 0x20) & (ends - starts > 1) & _GRAPHIC[last]
         plain = _GRAPHIC[first] & _GRAPHIC[last]
@@ -156,6 +154,8 @@ class PieceEncoder:
         n_text = len(off) - 1
         if off[-1] == 0:
             return np.zeros(0, self.pool.dtype), np.zeros(n_text, np.int64)
+        if len(self.keys) > CACHE:  # before anything is looked up: what these texts need must be there together
+            self._reset()
         starts = _unit_starts(data, off[:-1][off[:-1] < off[-1]])
         ends = np.append(starts[1:], len(data))
         keys = Hasher(data).ranges(starts, ends)

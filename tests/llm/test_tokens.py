@@ -103,3 +103,19 @@ def test_plan_is_best_fit_over_counts():
             assert used[first + k] == offset
             used[first + k] += length
     assert max(used.values()) <= 10 and len(used) == 6
+
+
+def test_a_full_cache_starts_anew_and_loses_nothing(monkeypatch):
+    from narrascope.llm import tokenize
+
+    monkeypatch.setattr(tokenize, "CACHE", 5)
+    enc, plain = tokenize.PieceEncoder(vocabulary()), Tokenizer.from_file(vocabulary())
+    r = np.random.default_rng(1)
+    words = ["the", "of", "river", "stone", "été", "x1"] + [f"w{k}" for k in range(40)]
+    for _ in range(12):
+        texts = [" ".join(r.choice(words, r.integers(0, 30))) for _ in range(6)]
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        off = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+        ids, counts = enc.encode(raw, off)
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
