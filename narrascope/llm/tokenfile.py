@@ -27,9 +27,8 @@ from narrascope.llm.bytescan import chunks, text_bytes
 
 MAGIC = b"DACTOK1\0"
 BLOCK = 512
-#: A file is closed after so many tokens; stored bytes of the table that a range of ids holds, about, and most ranges.
+#: A file is closed after so many tokens.
 FILE_TOKENS = 1 << 24
-RANGE_BYTES, MOST_RANGES = 128 << 20, 200_000
 
 
 class Level:
@@ -258,10 +257,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2
             yield flush()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # as many ranges as the bytes of the table ask for, where that is more than the session's setting
-    parts = min(MOST_RANGES, runtime.planned_bytes(docs) // RANGE_BYTES)
-    ranged = texts.repartitionByRange(parts, "id") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else texts.repartitionByRange("id")
-    ordered = ranged.sortWithinPartitions("id", "text")
+    ordered = texts.repartitionByRange("id").sortWithinPartitions("id", "text")
     files = runtime.staged(ordered.mapInArrow(write, SHARD), "token-files")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
