@@ -65,4 +65,39 @@ OP9 = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce
   sum(length('<turn role="">') + length({_ESC.format("role")}) + 1 + length({_ESC.format("text")}) + length('</turn>') + 1)::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
 
-ORACLE = {"op1_ngram_jaccard": OP1, "op2_quality_rules": OP2, "op7_url_reputation": OP7, "op9_chat_formatting": OP9}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+_ROW = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: crc32 of a text of digits, bit by bit, as DuckDB has no function for it.
+_CRC = """(4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+ lambda c, b: xor(c >> 8, list_reduce(list_prepend(xor(c & 255, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))))"""
+_BESIDE = "coalesce(string_agg(h, '') OVER ({0} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER ({0} ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r"
+OP11 = f"""WITH RECURSIVE i AS (SELECT doc_id, coalesce('=' || source, '') AS k, sha256({_ROW} || {_FIELD.format("text")}) AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN sha256({_ROW} || {_FIELD.format(_LOW.format("text"))}) END AS changed FROM documents),
+ d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY k) AS n FROM i),
+ a AS (SELECT k, 0 AS lv, p, leaf AS h, n FROM d UNION ALL SELECT k, lv + 1, p // 16, sha256(string_agg(h, '' ORDER BY p)), (max(n) + 15) // 16 FROM a WHERE n > 1 GROUP BY k, lv, p // 16),
+ s AS (SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS p, count(*) OVER () AS n FROM a WHERE n = 1),
+ b AS (SELECT 0 AS lv, p, subroot AS h, n FROM s UNION ALL SELECT lv + 1, p // 16, sha256(string_agg(h, '' ORDER BY p)), (max(n) + 15) // 16 FROM b WHERE n > 1 GROUP BY lv, p // 16),
+ ea AS (SELECT k, lv, p, {_BESIDE.format("PARTITION BY k, lv, p // 16")} FROM a WHERE n > 1),
+ eb AS (SELECT lv, p, {_BESIDE.format("PARTITION BY lv, p // 16")} FROM b WHERE n > 1),
+ fa AS (SELECT k, p AS place, 0 AS lv, p, coalesce(changed, leaf) AS h, '' AS proof FROM d UNION ALL SELECT k, place, lv + 1, p // 16, sha256(l || h || r), proof || l || r FROM fa JOIN ea USING (k, lv, p)),
+ ga AS (SELECT k, place, arg_max(h, lv) AS h, arg_max(proof, lv) AS proof FROM fa GROUP BY ALL),
+ fb AS (SELECT k, place, 0 AS lv, s.p, h, proof FROM ga JOIN s USING (k) UNION ALL SELECT k, place, lv + 1, p // 16, sha256(l || h || r), proof || l || r FROM fb JOIN eb USING (lv, p)),
+ gb AS (SELECT k, place, arg_max(h, lv) AS folded, arg_max(proof, lv) AS proof FROM fb GROUP BY ALL),
+ t AS (SELECT h AS root FROM b WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM d JOIN s USING (k) JOIN gb ON gb.k = d.k AND place = d.p, t"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Rounds of assignment and update as one CTE each: c0, c1, ... are the centroids, x0, x1, ... what goes to them."""
+    near = "SELECT id, row, q, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT id, row, q, j, list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2])::HUGEINT * (z[1] - z[2])))::HUGEINT AS d FROM v, c{0}) GROUP BY ALL"
+    floor = "((s - (s % n + n) % n) // n)"
+    step = "SELECT c{0}.j, coalesce(m.c, c{0}.c) AS c FROM c{0} LEFT JOIN (SELECT j, list(" + floor + "::BIGINT ORDER BY i) AS c FROM (SELECT j, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT j, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM x{0}) GROUP BY ALL) GROUP BY j) m USING (j)"
+    parts = [part for r in range(rounds) for part in (f"x{r} AS ({near.format(r)})", f"c{r + 1} AS ({step.format(r)})")]
+    return ",\n ".join([*parts, f"x{rounds} AS ({near.format(rounds)})"])
+
+
+OP12 = f"""WITH v AS (SELECT vec_id AS id, row_number() OVER () AS row, embedding AS e, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+ c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(id::VARCHAR, '')), e) - 1 AS j, q AS c FROM v ORDER BY 1 LIMIT 16),
+ {_lloyd(3)}
+SELECT id AS vec_id, j::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM x3 JOIN c3 USING (j)"""
+
+ORACLE = {"op11_merkle_manifest": OP11, "op12_centroid_clusters": OP12, "op1_ngram_jaccard": OP1, "op2_quality_rules": OP2, "op7_url_reputation": OP7, "op9_chat_formatting": OP9}
