@@ -98,6 +98,12 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64, scale=64)
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narrascope.llm.pii import personal_data, report
+
+    return report(personal_data(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
