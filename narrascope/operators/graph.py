@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope import runtime
+from narrascope.operators.communities import communities
 from narrascope.operators.components import components
 from narrascope.operators.pit import known_at
 
@@ -111,98 +109,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
 
 
-def louvain(edges: list[tuple[str, str, float]], rounds: int = 20, whole: float | None = None) -> dict[str, int]:
-    """Weighted modularity communities by local moves and aggregation, nodes in sorted order; numbered by smallest member.
-
-    ``whole`` is the weight of all edges of the graph, where these are those of a part that nothing ties to the rest.
-    """
-    weights: dict[tuple[str, str], float] = {}
-    for a, b, w in edges:
-        if a != b:
-            key = (min(a, b), max(a, b))
-            weights[key] = weights.get(key, 0.0) + (w or 1.0)
-    names = sorted({x for pair in weights for x in pair})
-    group = {n: k for k, n in enumerate(names)}
-    level = {(group[a], group[b]): w for (a, b), w in weights.items()}
-    total = whole or sum(level.values())
-    if not level:
-        return group
-    for _ in range(rounds):
-        near: dict[int, dict[int, float]] = {}
-        degree: dict[int, float] = {}
-        for (a, b), w in level.items():
-            degree[a] = degree.get(a, 0.0) + w
-            degree[b] = degree.get(b, 0.0) + w
-            if a != b:
-                near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + w
-                near.setdefault(b, {})[a] = near.get(b, {}).get(a, 0.0) + w
-        at = {n: n for n in degree}
-        load = dict(degree)
-        moved = any_move = True
-        while moved:
-            moved = False
-            for n in sorted(degree):
-                pull: dict[int, float] = {}
-                for m, w in near.get(n, {}).items():
-                    pull[at[m]] = pull.get(at[m], 0.0) + w
-                load[at[n]] -= degree[n]
-                gain = lambda c: pull.get(c, 0.0) - load.get(c, 0.0) * degree[n] / (2 * total)  # noqa: B023, E731
-                best = min({*pull, at[n]}, key=lambda c: (-round(gain(c), 12), c != at[n], c))
-                if best != at[n] and gain(best) > gain(at[n]) + 1e-12:
-                    at[n], moved = best, True
-                load[at[n]] = load.get(at[n], 0.0) + degree[n]
-        any_move = any(a != c for a, c in at.items())
-        group = {name: at.get(c, c) for name, c in group.items()}
-        if not any_move:
-            break
-        merged: dict[tuple[int, int], float] = {}
-        for (a, b), w in level.items():
-            key = (min(at[a], at[b]), max(at[a], at[b]))
-            merged[key] = merged.get(key, 0.0) + w
-        level = merged
-    order = {c: k for k, c in enumerate(dict.fromkeys(group[n] for n in names))}
-    return {n: order[group[n]] for n in names}
-
-
-def communities(edges: DataFrame, keys: list[str], most_edges: int = 5_000_000) -> DataFrame:
-    """(keys, node, community): one clustering for each point, communities numbered by their smallest member.
-
-    Communities never reach over connected components, so a task takes a component of a point, with the weight of the
-    whole point. A component of more than ``most_edges`` edges is refused rather than left to one task. Edges that are
-    there several times count as one, with the sum of their weights; one without weight counts as 1.
-    """
-    spark = edges.sparkSession
-    runtime.ship(spark)
-    heavy = F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight"))
-    once = edges.where("src != dst").groupBy(*keys, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
-    once = runtime.staged(once.withColumn("weight", heavy), "cluster-edges")
-    at = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys])
-    parts = components(once.select(F.concat_ws("\x1f", at, "src").alias("u"), F.concat_ws("\x1f", at, "dst").alias("v")))
-    placed = once.withColumn("node", F.concat_ws("\x1f", at, "src")).join(parts, "node").drop("node")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most_edges)
-    if sizes.limit(1).count():
-        raise ValueError(f"a component has more than {most_edges} edges")
-    whole = once.groupBy(*keys).agg(F.sum("weight").alias("whole"))
-    placed = placed.join(F.broadcast(whole), keys)  # a row for each point
-
-    def cluster(batch: pd.DataFrame) -> pd.DataFrame:
-        found = louvain(list(zip(batch["src"], batch["dst"], batch["weight"])), whole=float(batch["whole"].iloc[0]))
-        smallest: dict[int, str] = {}
-        for node, c in sorted(found.items()):
-            smallest.setdefault(c, node)
-        out = pd.DataFrame(sorted((n, smallest[c]) for n, c in found.items()), columns=["node", "first"])
-        for k in keys:
-            out[k] = batch[k].iloc[0]
-        return out[[*keys, "node", "first"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "node string", "first string"])
-    found = runtime.staged(placed.groupBy(*keys, "component").applyInPandas(cluster, schema), "clusters")
-    # communities are few beside nodes; their numbers are places among the smallest members of a point
-    numbers = found.select(*keys, "first").distinct().withColumn("community", (F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1).cast("long"))
-    return found.join(numbers, [*keys, "first"]).select(*keys, "node", "community")
-
-
 def exposure_score(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Score from distance, confidence sum, evidence count, recency and centrality; normalised over each point alone."""
     whole = Window.partitionBy(*keys)

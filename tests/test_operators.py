@@ -67,14 +67,6 @@ def test_components_and_bfs(spark):
     assert dist["n005"] == 0 and dist["n009"] == 4 and dist["n016"] == 4 and "n010" not in dist
 
 
-def test_louvain_finds_planted_groups():
-    clique = lambda p: [(f"{p}{i}", f"{p}{j}", 1.0) for i in range(5) for j in range(i)]
-    e = clique("a") + clique("b") + clique("c") + [("a0", "b0", 0.1), ("b1", "c1", 0.1)]
-    got = graph.louvain(e)
-    assert len({got[f"a{i}"] for i in range(5)}) == 1 and len(set(got.values())) == 3
-    assert graph.louvain(list(reversed(e))) == got and graph.louvain([]) == {}
-
-
 def test_density(spark):
     m = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("z", 2)], "node string, community int")
     e = edges(spark, [("a", "b", 1, 0.5), ("b", "c", 1, 1.0), ("a", "z", 1, 9.0)])
