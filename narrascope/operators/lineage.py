@@ -105,10 +105,46 @@ def points_summary(lineage: DataFrame, exposure: DataFrame, points: DataFrame) -
     return out.select("idx", "as_of", F.col("theme_count").isNotNull().alias("discovery_present"), F.coalesce("theme_count", F.lit(0)).alias("theme_count"), F.coalesce("pair_count", F.lit(0)).alias("pair_count"))
 
 
-def months_of_themes(timed_edges: DataFrame, months: DataFrame) -> DataFrame:
-    """(month_end, src, dst) of all edges known at each month end: each edge under the first month that has it, then cumulated."""
-    first = timed_edges.join(F.broadcast(months), F.col("first_seen") <= F.col("month_end")).groupBy("src", "dst").agg(F.min("month_end").alias("since"))
-    return first.join(F.broadcast(months), F.col("since") <= F.col("month_end")).select("month_end", "src", "dst")
+def months_of_themes(timed_edges: DataFrame, months: list) -> DataFrame:
+    """(month_end, src, dst) of all edges known at each of ``months``, the days of a panel: an edge's row is repeated for the days that know it."""
+    days = F.array(*[F.lit(m).cast("date") for m in months])
+    first = timed_edges.groupBy("src", "dst").agg(F.min("first_seen").alias("first_seen"))
+    return first.select(F.explode(F.filter(days, lambda m: m >= F.col("first_seen"))).alias("month_end"), "src", "dst")
+
+
+def month_ends(first, last) -> list:
+    """Last days of all months from that of ``first`` to that of ``last``, which ends on ``last`` itself."""
+    import datetime as dt
+
+    out, day = [], first.replace(day=1)
+    while day <= last:
+        day = (day + dt.timedelta(days=32)).replace(day=1)
+        out.append(min(day - dt.timedelta(days=1), last))
+    return out
+
+
+def theme_trajectories(members: DataFrame, least_size: int = LEAST_SIZE) -> DataFrame:
+    """How each theme of the last month has grown: theme, month_end, overlap, size, emerged, momentum, size_now.
+
+    ``members``: month_end, community, node. At each month a theme is met by the community that shares most of its nodes, of
+    several such the largest, of equals the first; ``size`` is that community's, both are 0 where nothing is shared.
+    ``emerged`` is the first month with ``least_size`` nodes, the last month if there is none; ``momentum`` is what the last
+    month added. Themes under ``least_size`` nodes are left out.
+    """
+    sized = runtime.staged(members.groupBy("month_end", "community").agg(F.count("*").alias("size")), "theme-sizes")
+    months = sized.select("month_end").distinct()
+    last = sized.agg(F.max("month_end").alias("last"))
+    final = sized.join(F.broadcast(last), F.col("month_end") == F.col("last")).where(F.col("size") >= least_size).select(F.col("community").alias("theme"), F.col("size").alias("size_now"), "last")
+    now = members.withColumnRenamed("community", "theme").join(final, "theme").where("month_end = last").select("theme", "node")
+    shared = now.join(members, "node").groupBy("theme", "month_end", "community").agg(F.count("*").alias("overlap")).join(sized, ["month_end", "community"])
+    met = shared.groupBy("theme", "month_end").agg(F.max(F.struct("overlap", "size")).alias("best"))
+    grid = final.join(F.broadcast(months)).join(met, ["theme", "month_end"], "left")  # a row for each theme and point of the panel
+    grid = runtime.staged(grid.select("theme", "month_end", "size_now", "last", F.coalesce("best.overlap", F.lit(0)).alias("overlap"), F.coalesce("best.size", F.lit(0)).alias("size")), "trajectories")
+    order = F.array_sort(F.collect_list(F.struct("month_end", "size")))
+    whole = grid.groupBy("theme", "last").agg(F.min(F.when(F.col("size") >= least_size, F.col("month_end"))).alias("emerged"), order.alias("_s"))
+    before = F.coalesce(F.try_element_at("_s", F.lit(-2))["size"], F.element_at("_s", -1)["size"])
+    facts = whole.select("theme", F.coalesce("emerged", "last").alias("emerged"), (F.element_at("_s", -1)["size"] - before).alias("momentum"))
+    return grid.join(facts, "theme").select("theme", "month_end", "overlap", "size", "emerged", "momentum", "size_now")
 
 
 def snapshot_id(as_of: Column, community: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from narrascope import runtime
 from narrascope.operators import claims, cleaning, exposure, extraction, governance, graph, impacts, lineage, narration, panel, pit, reads, sentiment, validation
+from narrascope.operators.communities import modularity
 from narrascope.plans import mapping as m
 from narrascope.sources import readers
 
@@ -257,15 +258,36 @@ def panel_points(spark, d):
     return lineage.points_summary(found, rows, points)
 
 
-def monthly_communities(spark, d):
-    """Communities of the cumulated links at each month end of the last quarter; links as of their first day."""
+def _monthly_links(spark, d):
+    """Suppliers and the concepts they ship, cumulated at each month end of the table; links as of their first day."""
     p = m.table(spark, d, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_type").alias("concept"))
     t = m.table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     e = t.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.col("concept").alias("dst")).agg(F.min(F.to_date("l_shipdate")).alias("first_seen"))
-    months = spark.createDataFrame([("1995-02-28",), ("1995-03-31",)], "month_end string").select(F.to_date("month_end").alias("month_end"))
-    links = lineage.months_of_themes(e, months).withColumn("weight", F.lit(1.0))
-    found = graph.communities(links, ["month_end"])
-    return found.groupBy("month_end", "community").agg(F.count("*").alias("size"))
+    e = runtime.staged(e.where("first_seen IS NOT NULL"), "timed-links")
+    first, last = e.agg(F.min("first_seen"), F.max("first_seen")).first()
+    months = [] if first is None else lineage.month_ends(first, last)
+    return lineage.months_of_themes(e, months).withColumn("weight", F.lit(1.0))
+
+
+def monthly_communities(spark, d):
+    """Communities of the cumulated links at every month end, and how the last month's have grown."""
+    found = graph.communities(_monthly_links(spark, d), ["month_end"], passes=1)
+    return lineage.theme_trajectories(found)
+
+
+def monthly_partitions(spark, d):
+    """Of each month's communities: nodes, links, whether every node is in one of them, and whether their modularity is above that of none."""
+    links = runtime.staged(_monthly_links(spark, d), "monthly-links")
+    found = graph.communities(links, ["month_end"], passes=1)
+    once = found.groupBy("month_end", "node").agg(F.count("*").alias("times")).groupBy("month_end").agg(F.sum((F.col("times") == 1).cast("long")).alias("placed_once"))
+    sizes = found.groupBy("month_end", "community").agg(F.count("*").alias("size")).groupBy("month_end").agg(F.sum("size").alias("sum_of_sizes"), F.min("community").alias("first_community"))
+    return modularity(found, links, ["month_end"]).join(once, "month_end").join(sizes, "month_end").select("month_end", "n_nodes", F.col("weight").cast("long").alias("n_links"), "placed_once", "sum_of_sizes", "first_community", (F.col("modularity") >= 0).alias("no_worse_than_one"), (F.col("inside") <= F.col("weight")).alias("inside_is_part"))
+
+
+def trajectories_by_month(spark, d):
+    """Groups of suppliers by the least part group that they ship in a month, followed from the last month backwards."""
+    t = m.table(spark, d, "lineitem").groupBy(F.last_day(F.to_date("l_shipdate")).alias("month_end"), F.col("l_suppkey").alias("node")).agg(F.min(F.col("l_partkey") % 40).alias("community"))
+    return lineage.theme_trajectories(t)
 
 
 def theme_levels(spark, d):
@@ -353,6 +375,6 @@ NO_SQL = ("management_sentiment", "monthly_communities", "pages_to_chunks")
 NAMES = (
     "extracted_entities extracted_edges extraction_provenance reported_claims reconciled_claims exposure_from_graph graph_projection projected_impacts impact_ranking cleaned_documents integrity_suite "
     "snapshot_validation sector_fallback fixed_basket_walk theme_lineage theme_families panel_report panel_points theme_levels main_theme_relevance subgraph_of_communities theme_names evidence_snippets "
-    "chunk_sources theme_dossier news_selection filing_paths linked_steps model_calls"
+    "monthly_partitions trajectories_by_month chunk_sources theme_dossier news_selection filing_paths linked_steps model_calls"
 ).split()
 QUERIES = {name: globals()[name] for name in (*NAMES, *NO_SQL)}

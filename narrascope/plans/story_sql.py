@@ -138,6 +138,17 @@ SELECT as_of, round(bk, 6) AS basket_ret, round(bs, 6) AS baseline_ret, round(bk
  mn AS (SELECT h.mt, sum(macro)::BIGINT AS macro, sum(industry)::BIGINT AS industry, sum(company)::BIGINT AS company, sum(idiosyncratic)::BIGINT AS idiosyncratic, sum((size >= 3 AND strength > 0)::INT)::BIGINT AS k FROM l JOIN (VALUES ('odd', 'c1'), ('odd', 'c3'), ('even', 'c0'), ('even', 'c2'), ('even', 'c4'), ('even', 'nothing')) h(mt, community) USING (community) GROUP BY 1)
 SELECT community AS theme, {_LEVELS}, {_DOMINANT} AS dominant, strength::DOUBLE AS strength, size FROM l UNION ALL SELECT mt, {_LEVELS}, {_DOMINANT}, NULL, k FROM mn""",
     "main_theme_relevance": f"WITH x AS (SELECT substr(theme, 1, 7) AS main_theme, * FROM {_RELEVANCE} z), b AS (SELECT *, row_number() OVER (PARTITION BY main_theme ORDER BY relevance DESC, theme) AS rn, max(latest) OVER (PARTITION BY main_theme) AS l, count(*) OVER (PARTITION BY main_theme) AS k FROM x) SELECT main_theme, relevance AS relevance_score, state, l AS last_evidence_at, k AS sub_theme_count FROM b WHERE rn = 1",
+    "monthly_partitions": """WITH e AS (SELECT 's' || l_suppkey AS src, p_brand || '|' || p_type AS dst, min(l_shipdate::DATE) AS fs FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+ d AS (SELECT min(fs) AS first, max(fs) AS last FROM e), m AS (SELECT least(last_day(x::DATE), last) AS month_end FROM (SELECT unnest(generate_series(date_trunc('month', first), last, INTERVAL 1 MONTH)) AS x, last FROM d)),
+ l AS (SELECT month_end, src, dst FROM e JOIN m ON fs <= month_end), n AS (SELECT month_end, count(*) AS n FROM (SELECT month_end, src FROM l UNION SELECT month_end, dst FROM l) GROUP BY 1)
+SELECT month_end, n AS n_nodes, count(*) AS n_links, n AS placed_once, n AS sum_of_sizes, 0 AS first_community, true AS no_worse_than_one, true AS inside_is_part FROM l JOIN n USING (month_end) GROUP BY ALL""",
+    "trajectories_by_month": """WITH t AS (SELECT last_day(l_shipdate::DATE) AS month_end, l_suppkey AS node, min(l_partkey % 40) AS community FROM lineitem GROUP BY 1, 2),
+ z AS (SELECT month_end, community, count(*) AS size FROM t GROUP BY ALL), x AS (SELECT max(month_end) AS last FROM t), f AS (SELECT community AS theme, size AS size_now, last FROM z JOIN x ON month_end = last WHERE size >= 3),
+ s AS (SELECT theme, b.month_end, b.community, count(*) AS overlap FROM f JOIN t a ON a.month_end = last AND a.community = theme JOIN t b ON b.node = a.node GROUP BY ALL),
+ g AS (SELECT theme, month_end, max({'overlap': overlap, 'size': size}) AS best FROM s JOIN z USING (month_end, community) GROUP BY ALL),
+ r AS (SELECT f.theme, m.month_end, size_now, last, coalesce(best.overlap, 0) AS overlap, coalesce(best.size, 0) AS size FROM f CROSS JOIN (SELECT DISTINCT month_end FROM z) m LEFT JOIN g ON g.theme = f.theme AND g.month_end = m.month_end),
+ w AS (SELECT theme, coalesce(min(CASE WHEN size >= 3 THEN month_end END), any_value(last)) AS emerged, list(size ORDER BY month_end) AS l FROM r GROUP BY 1)
+SELECT theme, month_end, overlap, size, emerged, l[-1] - coalesce(l[-2], l[-1]) AS momentum, size_now FROM r JOIN w USING (theme)""",
     "subgraph_of_communities": f"WITH {_GRAPH}, w AS (SELECT * FROM gn WHERE community IN ('c1', 'c3')) SELECT CASE t WHEN 'Company' THEN 'company' ELSE 'contextual' END AS kind, count(*) AS n FROM w GROUP BY 1 UNION ALL SELECT edge_type, count(*) FROM ge WHERE edge_type <> 'co_occurs_with' AND src IN (SELECT id FROM w) AND dst IN (SELECT id FROM w) GROUP BY 1",
     "theme_names": f"WITH {_GRAPH}, k AS (SELECT community, t = 'Company' AS c, list_sort(list(DISTINCT name))[1:5] AS l FROM gn GROUP BY ALL), z AS (SELECT community, coalesce(any_value(l) FILTER (NOT c), []) AS te, coalesce(any_value(l) FILTER (c), []) AS tc FROM k GROUP BY 1) SELECT community, array_to_string((CASE WHEN len(te) > 0 THEN te ELSE tc END)[1:3], ' + ') AS theme_name, array_to_string(te, ';') AS top_entities, array_to_string(tc, ';') AS top_companies FROM z",
     "evidence_snippets": f"""WITH n AS (SELECT chunk_id, {_SUBJECTS}[chunk_id % 6 + 1] AS src, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)) AS l FROM {NEWS_SQL} x),
