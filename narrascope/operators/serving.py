@@ -64,18 +64,6 @@ def revivals(families: DataFrame, members: DataFrame, least: float = 0.5) -> Dat
     return common.join(life, "family").join(late, "revived").where((F.col("_first") > F.col("last") + 1) & (j >= least)).select("family", "revived", F.round(j, 6).alias("jaccard"))
 
 
-def resolve_anchor(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(wanted, node_id, how): by id, else by label in any case, else by a part of the label if only one fits."""
-    w = wanted.withColumn("_w", F.lower("wanted"))
-    by_id = w.join(nodes, F.col("wanted") == F.col("node_id")).select("wanted", "node_id", F.lit(1).alias("rank"))
-    by_label = w.join(nodes, F.col("_w") == F.lower("label")).select("wanted", "node_id", F.lit(2).alias("rank"))
-    # a few wanted names against all labels
-    part = w.join(nodes, F.lower("label").contains(F.col("_w"))).groupBy("wanted").agg(F.min("node_id").alias("node_id"), F.count("*").alias("n")).where("n = 1").select("wanted", "node_id", F.lit(3).alias("rank"))
-    found = by_id.unionByName(by_label).unionByName(part).groupBy("wanted").agg(F.min(F.struct("rank", "node_id")).alias("f"))
-    how = F.element_at(F.array(F.lit("id"), F.lit("label"), F.lit("part")), F.col("f.rank"))
-    return wanted.join(found, "wanted", "left").select("wanted", F.col("f.node_id").alias("node_id"), F.coalesce(F.when(F.col("f").isNotNull(), how), F.lit("none")).alias("how"))
-
-
 def readings(rows: DataFrame, key: str, n: int) -> DataFrame:
     """The first readings of each company: conflicts, then hedged ones, then the newest."""
     order = F.when(F.col("agreement") == "conflict", 0).when(F.col("agreement") == "hedged", 1).otherwise(2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from narrascope import runtime
-from narrascope.operators import market, pit
+from narrascope.operators import asof, market, pit
 from narrascope.plans import mapping as m
 
 AS_OF = "1998-01-01"
@@ -29,6 +29,23 @@ def regime_zscore(spark, d):
     return pit.zscore_regime(m.series(spark, d), "event_type", "obs_date", "value", "2024-01-25", 20)
 
 
+def _user_series(spark, d):
+    """Each user's daily sums."""
+    rows = m.table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("obs_date"))
+    return runtime.staged(rows.agg(F.round(F.sum(F.col("value").cast("decimal(18,6)")), 6).cast("double").alias("value")), "user-series")
+
+
+def asof_signals(spark, d):
+    """Of every user on every day that any user has: the last sum released by then, the one before, and the trend."""
+    s = _user_series(spark, d)
+    points = s.select("user_id").distinct().join(F.broadcast(s.select(F.col("obs_date").alias("as_of")).distinct()))  # a user for each day of the panel
+    return asof.signals_at(s, points, "user_id", "obs_date", "value", lag_days=2, back_days=5)
+
+
+def rolling_regimes(spark, d):
+    return asof.rolling_regimes(_user_series(spark, d), "user_id", "obs_date", "value", 9).select("user_id", "obs_date", "n", "z", "regime")
+
+
 def _returns(spark, d, rows):
     return market.forward_returns(m.prices(spark, d), m.points(spark, rows), m.PRICE_TIE)
 
@@ -134,6 +151,15 @@ SQL = {
  b AS (SELECT n.event_type, max_by(s.value, s.obs_date) AS prior FROM n JOIN s ON s.event_type = n.event_type AND s.obs_date <= n.obs_date - 10 GROUP BY 1)
 SELECT event_type, obs_date, value, coalesce(prior, value) AS prior, CASE WHEN value - coalesce(prior, value) > band THEN 'rising' WHEN coalesce(prior, value) - value > band THEN 'falling' ELSE 'flat' END AS trend
 FROM (SELECT *, CASE WHEN coalesce(prior, value) = 0 THEN 0.001 ELSE abs(coalesce(prior, value)) * 0.01 END AS band FROM n LEFT JOIN b USING (event_type))""",
+    "asof_signals": """WITH s AS (SELECT user_id, ts::DATE AS obs_date, sum(value::DECIMAL(18,6))::DOUBLE AS value FROM events GROUP BY ALL),
+ p AS (SELECT user_id, as_of, as_of - 2 AS cut FROM (SELECT DISTINCT user_id FROM s), (SELECT DISTINCT obs_date AS as_of FROM s)),
+ n AS (SELECT p.user_id, as_of, s.obs_date, s.value, s.obs_date - 5 AS back FROM p ASOF JOIN s ON p.user_id = s.user_id AND p.cut >= s.obs_date),
+ b AS (SELECT n.*, coalesce(s.value, n.value) AS prior FROM n ASOF LEFT JOIN s ON n.user_id = s.user_id AND n.back >= s.obs_date)
+SELECT user_id, as_of, obs_date, value, prior, CASE WHEN value - prior > band THEN 'rising' WHEN prior - value > band THEN 'falling' ELSE 'flat' END AS trend FROM (SELECT *, CASE WHEN prior = 0 THEN 0.001 ELSE abs(prior) * 0.01 END AS band FROM b)""",
+    "rolling_regimes": """WITH s AS (SELECT user_id, ts::DATE AS obs_date, sum(value::DECIMAL(18,6))::DECIMAL(18,6) AS v FROM events GROUP BY ALL),
+ w AS (SELECT user_id, obs_date, v, count(*) OVER f AS n, sum(v) OVER f AS s, sum((v * v)::DECIMAL(30,12)) OVER f AS q FROM s WINDOW f AS (PARTITION BY user_id ORDER BY obs_date RANGE BETWEEN INTERVAL 8 DAYS PRECEDING AND CURRENT ROW)),
+ z AS (SELECT user_id, obs_date, n, CASE WHEN n >= 2 AND n * q - (s * s)::DECIMAL(38,12) > 0 THEN (n * v - s)::DOUBLE / sqrt((n * q - (s * s)::DECIMAL(38,12))::DOUBLE) END AS z FROM w)
+SELECT user_id, obs_date, n, round(z, 6) AS z, CASE WHEN z > 1 THEN 'elevated' WHEN z < -1 THEN 'depressed' ELSE 'normal' END AS regime FROM z""",
     "regime_zscore": f"""SELECT event_type, n, round(z, 6) AS z, CASE WHEN z >= 1 THEN 'high' WHEN z <= -1 THEN 'low' WHEN z IS NOT NULL THEN 'normal' END AS regime FROM (
  SELECT event_type, count(*) AS n, CASE WHEN count(*) >= 2 AND stddev_pop(value) > 0 THEN (max_by(value, obs_date) - avg(value)) / stddev_pop(value) END AS z
  FROM {m.SERIES_SQL} x WHERE obs_date <= DATE '2024-01-25' AND obs_date > DATE '2024-01-25' - 20 GROUP BY 1)""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from narrascope.operators import pit, serving
+from narrascope.operators import anchors, pit, serving
 from narrascope.plans import mapping as m
 from narrascope.plans.text_queries import _FUSE, fusion_matrix
 
@@ -59,7 +59,18 @@ def gap_revival(spark, d):
 def anchor_lookup(spark, d):
     nodes = m.table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.col("n_name").alias("label"))
     wanted = m.table(spark, d, "nation").select(F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("n"), "n_nationkey")).when(F.col("n_nationkey") % 4 == 1, F.lower("n_name")).when(F.col("n_nationkey") % 4 == 2, F.substring("n_name", 2, 4)).otherwise(F.lit("zzz")).alias("wanted")).distinct()
-    return serving.resolve_anchor(nodes, wanted)
+    return anchors.resolve(nodes, wanted)
+
+
+def anchor_candidates(spark, d):
+    """Parts found by pieces of the names of all parts, and by whole ones."""
+    p = m.table(spark, d, "part")
+    nodes = p.select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("node_id"), F.concat_ws(" ", "p_name", "p_type", "p_partkey").alias("label"))
+    cut = F.substring("label", F.expr("CAST(length(label) % 3 + 1 AS INT)"), F.expr("CAST(length(label) % 7 + 4 AS INT)"))
+    key = F.expr("CAST(substring(node_id, 2) AS BIGINT)")
+    wanted = nodes.select(F.when(key % 5 == 0, F.upper("label")).when(key % 5 == 1, F.concat(cut, F.lit("#"))).otherwise(F.substring("label", -9, 9)).alias("wanted")).distinct()
+    found = anchors.candidates(wanted, anchors.label_index(nodes))
+    return found.select("wanted", "n", F.array_join("node_ids", ",").alias("node_ids"))
 
 
 def reading_order(spark, d):
@@ -93,6 +104,10 @@ SELECT c.family, revived, round(both_n / (s.n + t.n - both_n), 6) AS jaccard FRO
  f AS (SELECT wanted, 'n' || n_nationkey AS node_id, 1 AS rank FROM w JOIN nation ON wanted = 'n' || n_nationkey UNION ALL SELECT wanted, 'n' || n_nationkey, 2 FROM w JOIN nation ON lower(wanted) = lower(n_name)
   UNION ALL SELECT wanted, min('n' || n_nationkey), 3 FROM w JOIN nation ON contains(lower(n_name), lower(wanted)) GROUP BY wanted HAVING count(*) = 1)
 SELECT w.wanted, g.node_id, coalesce(['id', 'label', 'part'][g.rank], 'none') AS how FROM w LEFT JOIN (SELECT wanted, first(node_id ORDER BY rank, node_id) AS node_id, min(rank) AS rank FROM f GROUP BY wanted) g USING (wanted)""",
+    "anchor_candidates": """WITH p AS (SELECT 'p' || lpad(p_partkey::VARCHAR, 9, '0') AS node_id, p_name || ' ' || p_type || ' ' || p_partkey AS label, p_partkey AS k FROM part),
+ w AS (SELECT DISTINCT CASE WHEN k % 5 = 0 THEN upper(label) WHEN k % 5 = 1 THEN substr(label, (length(label) % 3 + 1)::INT, (length(label) % 7 + 4)::INT) || '#' ELSE right(label, 9) END AS wanted FROM p),
+ f AS (SELECT wanted, node_id, row_number() OVER (PARTITION BY wanted ORDER BY node_id) AS r FROM w JOIN p ON contains(lower(label), lower(wanted)))
+SELECT wanted, count(*) AS n, string_agg(node_id, ',' ORDER BY node_id) FILTER (r <= 10) AS node_ids FROM f GROUP BY wanted""",
     "reading_order": f"SELECT source, position::INT AS position, doc_id, agreement FROM (SELECT source, doc_id, agreement, row_number() OVER (PARTITION BY source ORDER BY CASE agreement WHEN 'conflict' THEN 0 WHEN 'hedged' THEN 1 ELSE 2 END, available_at DESC, doc_id) AS position FROM {_FUSE} f JOIN {m.DOCS_SQL} d USING (doc_id)) WHERE position <= 5",
     "company_profile": f"""WITH t AS (SELECT * FROM {m.TRADES_SQL} x WHERE day <= DATE '{AS_OF}'), e AS (SELECT l_suppkey AS company_id, p_brand AS theme, round(sum(l_discount), 4) AS exposure FROM t GROUP BY ALL),
  k AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY exposure DESC, theme) AS k FROM e)

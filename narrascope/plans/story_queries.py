@@ -271,14 +271,14 @@ def _monthly_links(spark, d):
 
 def monthly_communities(spark, d):
     """Communities of the cumulated links at every month end, and how the last month's have grown."""
-    found = graph.communities(_monthly_links(spark, d), ["month_end"], passes=1)
+    found = graph.communities(_monthly_links(spark, d), ["month_end"], passes=1, rounds=8)
     return lineage.theme_trajectories(found)
 
 
 def monthly_partitions(spark, d):
     """Of each month's communities: nodes, links, whether every node is in one of them, and whether their modularity is above that of none."""
     links = runtime.staged(_monthly_links(spark, d), "monthly-links")
-    found = graph.communities(links, ["month_end"], passes=1)
+    found = graph.communities(links, ["month_end"], passes=1, rounds=8)
     once = found.groupBy("month_end", "node").agg(F.count("*").alias("times")).groupBy("month_end").agg(F.sum((F.col("times") == 1).cast("long")).alias("placed_once"))
     sizes = found.groupBy("month_end", "community").agg(F.count("*").alias("size")).groupBy("month_end").agg(F.sum("size").alias("sum_of_sizes"), F.min("community").alias("first_community"))
     return modularity(found, links, ["month_end"]).join(once, "month_end").join(sizes, "month_end").select("month_end", "n_nodes", F.col("weight").cast("long").alias("n_links"), "placed_once", "sum_of_sizes", "first_community", (F.col("modularity") >= 0).alias("no_worse_than_one"), (F.col("inside") <= F.col("weight")).alias("inside_is_part"))
