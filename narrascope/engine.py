@@ -9,19 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.operators import claims, cleaning, exposure, extraction, governance, graph, impacts, lineage, panel, reads, sentiment, serving, validation
+from narrascope.operators import claims, cleaning, exposure, extraction, governance, graph, impacts, lineage, panel, reads, sentiment, serving, textops, validation
 from narrascope.operators.pit import to_day
 from narrascope.sources import catalog, contracts, readers, sinks
 
 #: Lowest weight for an edge to tie nodes in clustering is any; parallel edges add up.
-STAGES = ("import_documents", "clean", "chunk", "extract", "aliases", "build_graph", "discover", "expose", "project", "read_sentiment", "read_claims", "evidence")
+STAGES = ("import_documents", "clean", "chunk", "extract", "aliases", "build_graph", "discover", "expose", "project", "read_sentiment", "read_tone", "read_claims", "evidence")
 
 
 class Engine:
     """Everything that one installation keeps: ``root`` is a folder of any file system that Spark reads."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, lexicon: DataFrame | None = None, facts: DataFrame | None = None, attribution=sentiment.ATTRIBUTION):
+        """``lexicon``: words with flags, for the tone of chunks; ``facts``: company, period_end, metric that claims are reconciled with."""
         self.spark, self.root, self.runs = spark, root.rstrip("/"), governance.Runs(spark, root)
+        self.lexicon, self.facts, self.attribution = lexicon, facts, attribution
 
     # ---- tables
 
@@ -114,13 +116,29 @@ class Engine:
     def project(self, run: str, as_of: str, shock: float = impacts.SHOCK) -> None:
         self.write(run, as_of, "projected_impacts", impacts.projected_impacts(self.table(run, "graph_nodes", as_of), self.table(run, "graph_edges", as_of), as_of, shock))
 
+    def said_chunks(self, run: str, as_of: str) -> DataFrame:
+        """Chunks with the role of who speaks in them, by the type of their document and the title of their section."""
+        kinds = self.table(run, "documents", as_of).select("document_id", "document_type")
+        chunks = self.table(run, "chunks", as_of).join(kinds, "document_id", "left")
+        return chunks.select("chunk_id", "available_at", "text", sentiment.speaker_role(F.col("document_type"), F.col("section_title"), self.attribution).alias("speaker_role"))
+
     def read_sentiment(self, run: str, as_of: str, extractor: sentiment.RuleSentimentExtractor | None = None) -> None:
-        chunks = self.table(run, "chunks", as_of).select("chunk_id", "available_at", "text", F.lit(None).cast("string").alias("speaker_role"))
-        self.write(run, as_of, "management_sentiment", sentiment.run_sentiment(chunks, as_of, extractor))
+        """What management says of companies: chunks of others are not read."""
+        self.write(run, as_of, "management_sentiment", sentiment.run_sentiment(self.said_chunks(run, as_of), as_of, extractor))
+
+    def read_tone(self, run: str, as_of: str) -> None:
+        """Tone of all chunks by the lexicon, and management's readings fused with it; nothing without a lexicon."""
+        if self.lexicon is None:
+            return
+        chunks = self.said_chunks(run, as_of)
+        shares = textops.tone(chunks.select(F.col("chunk_id").alias("doc_id"), "text"), self.lexicon, list(readers.LEXICON_FLAGS)).withColumnRenamed("doc_id", "chunk_id")
+        self.write(run, as_of, "chunk_tone", chunks.select("chunk_id", "available_at", "speaker_role").distinct().join(shares, "chunk_id"))
+        self.write(run, as_of, "fused_sentiment", sentiment.fuse_with_tone(self.table(run, "management_sentiment", as_of), self.table(run, "chunk_tone", as_of), as_of))
 
     def read_claims(self, run: str, as_of: str, extractor: claims.RuleFactExtractor | None = None, facts: DataFrame | None = None) -> None:
         owner = self.table(run, "documents", as_of).select("document_id", F.col("company_id").alias("company"))
         chunks = self.table(run, "chunks", as_of).join(owner, "document_id", "left").select("chunk_id", "company", "available_at", "text")
+        facts = facts if facts is not None else self.facts
         facts = facts if facts is not None else self.spark.createDataFrame([], "company string, period_end date, metric string")
         self.write(run, as_of, "financial_metrics", claims.run_facts(chunks, facts, as_of, extractor))
 
@@ -143,13 +161,39 @@ class Engine:
             getattr(self, stage)(run, as_of)
 
     def build_panel(self, run: str, points: dict[str, tuple[str, str]]) -> list[str]:
-        """Discovery of each point from its manifest and folder; returns the points that were worked on. Frozen ones are skipped."""
-        done = []
+        """Discovery of each point from its manifest and folder; returns the points that were worked on. Frozen ones are skipped.
+
+        A point that fails is left where it failed, with the reason in ``panel_status``, and the others go on.
+        """
+        rows = []
         for as_of, (manifest, folder) in sorted(points.items()):
-            if as_of not in self.runs.load(run)["as_of_points"] or not self.runs.is_frozen(run, as_of):
+            if as_of in self.runs.load(run)["as_of_points"] and self.runs.is_frozen(run, as_of):
+                rows.append((as_of, "skipped", "frozen"))
+                continue
+            try:
                 self.discover_point(run, as_of, manifest, folder)
-                done.append(as_of)
-        return done
+                rows.append((as_of, "done", None))
+            except Exception as fault:  # noqa: BLE001 - whatever it is belongs to this point alone
+                rows.append((as_of, "failed", f"{type(fault).__name__}: {str(fault).strip().splitlines()[0][:300]}" if str(fault).strip() else type(fault).__name__))
+        self.spark.createDataFrame(rows, "as_of string, status string, reason string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{run}/panel_status.parquet")
+        return [as_of for as_of, status, _ in rows if status == "done"]
+
+    def panel_status(self, run: str) -> DataFrame:
+        """as_of, status (done, skipped, failed) and reason of the points of the last ``build_panel``."""
+        return self.spark.read.parquet(f"{self.root}/{run}/panel_status.parquet")
+
+    def damage(self, run: str, as_of: str) -> str | None:
+        """Why a point cannot take part in a panel; None if it can."""
+        for name in ("communities", "theme_metrics", "graph_nodes", "company_theme_exposure"):
+            if not self.has(run, as_of, name):
+                return f"{name} is not there"
+            try:
+                lost = set(contracts.schema_of(name).names) - set(self.table(run, name, as_of).columns)
+            except Exception as fault:  # noqa: BLE001 - files that Spark can't read
+                return f"{name}: {str(fault).strip().splitlines()[0][:200]}"
+            if lost:
+                return f"{name} lacks {', '.join(sorted(lost))}"
+        return None
 
     def freeze(self, run: str, as_of: str) -> dict:
         """Digests of a point's tables go into the manifest; all required ones must be there."""
@@ -160,7 +204,7 @@ class Engine:
     # ---- panel and validation
 
     def _points(self, run: str) -> list[str]:
-        return [p for p in self.runs.load(run)["as_of_points"] if self.has(run, p, "communities")]
+        return [p for p in self.runs.load(run)["as_of_points"] if self.damage(run, p) is None]
 
     def panel_tables(self, run: str) -> dict[str, DataFrame]:
         """lineage, families, states, trajectories and the summary over the points that have themes."""

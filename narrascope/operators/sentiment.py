@@ -88,10 +88,42 @@ class RuleSentimentExtractor:
         return score_sentiment(chunks.withColumn("company", company_in(F.col("text"))).where("company IS NOT NULL")).drop("text")
 
 
+#: Whose words a document or a section holds; the first rule that fits counts. Types and section words are parts of the name, in any case.
+ATTRIBUTION = (
+    ("management", ("10-k", "10-q", "40-f", "20-f", "annual report", "annual_report", "earnings_transcript", "earnings transcript", "mda"),
+     ("management", "md&a", "management's discussion", "managements discussion", "discussion and analysis", "ceo", "chief executive", "outlook", "forward-looking")),
+    ("media", ("news", "news_article", "press_release", "press release", "newswire"), ()),
+    ("analyst", ("analyst_report", "analyst report", "research", "research_report", "sell-side", "sellside"), ()),
+)
+
+
+def speaker_role(document_type: Column, section_title: Column, rules=ATTRIBUTION) -> Column:
+    """Whose words a chunk holds, by the type of its document or the title of its section; ``unknown`` where no rule fits.
+
+    ``rules``: (role, parts of types, parts of titles), as a configuration gives them; a rule without parts never fits.
+    """
+    kind, section = F.lower(F.coalesce(document_type, F.lit(""))), F.lower(F.coalesce(section_title, F.lit("")))
+    out = F.lit("unknown")
+    for role, types, titles in reversed(rules):
+        fits = F.lit(False)
+        for c, words in ((kind, types), (section, titles)):
+            for w in filter(None, words):
+                fits = fits | c.contains(w.lower())
+        out = F.when(fits, role or "unknown").otherwise(out)
+    return out
+
+
+def attribution_rules(found: dict) -> tuple:
+    """Rules of a parsed configuration: its ``attribution`` list, or the fixed ones without such a list."""
+    listed = found.get("attribution")
+    return tuple((r.get("role") or "unknown", tuple(r.get("document_types") or ()), tuple(r.get("section_keywords") or ())) for r in listed) if listed is not None else ATTRIBUTION
+
+
 def run_sentiment(chunks: DataFrame, as_of: str, extractor: RuleSentimentExtractor | None = None) -> DataFrame:
     """One reading for each (company, chunk) of what management said until ``as_of``; undated chunks are left out.
 
-    ``chunks``: chunk_id, available_at, text, speaker_role (null: taken as management).
+    ``chunks``: chunk_id, available_at, text, speaker_role (see ``speaker_role``; null, for chunks that nothing is known of: taken
+    as management).
     """
     live = chunks.where(known_at(F.col("available_at"), as_of) & (F.coalesce("speaker_role", F.lit("management")) == "management") & (F.coalesce("text", F.lit("")) != ""))
     made = (extractor or RuleSentimentExtractor()).extract_sentiment(live.select("chunk_id", "available_at", "text"))

@@ -49,6 +49,10 @@ def token_counts(spark, d):
     return m.documents(spark, d).select("doc_id", F.size(textops.tokens(F.col("text"))).alias("n_tokens"))
 
 
+KINDS_OF_DOCUMENTS = ("Form 10-K", "NEWS_article", "sell-side note", "Research", "transcript of a call", "", "Annual Report 2023")
+SECTIONS = ("Item 7. MD&A", "Questions", "Outlook for 2024", "Risk factors", "The CEO's letter", "")
+
+
 def tone_vector(spark, d):
     lexicon = spark.createDataFrame(LEXICON, "word string, positive int, negative int, uncertainty int")
     return textops.tone(m.documents(spark, d), lexicon, CATEGORIES)
@@ -60,6 +64,14 @@ def speaker_role(spark, d):
     return t.select("conv_id", "turn", role.alias("speaker_role")).groupBy("conv_id", "speaker_role").agg(F.count("*").alias("n"))
 
 
+def attributed_orders(spark, d):
+    """Orders as chunks: types by priority, section titles by status."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in KINDS_OF_DOCUMENTS]), (F.col("o_orderkey") % len(KINDS_OF_DOCUMENTS) + 1).cast("int"))
+    section = F.element_at(F.array(*[F.lit(x) for x in SECTIONS]), (F.col("o_custkey") % len(SECTIONS) + 1).cast("int"))
+    o = m.table(spark, d, "orders").select("o_orderkey", sentiment.speaker_role(kind, section).alias("speaker_role"), "o_orderpriority")
+    return o.groupBy("speaker_role", "o_orderpriority").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 def negation_sentiment(spark, d):
     rows = m.documents(spark, d).select("doc_id", "text")
     return sentiment.score_sentiment(rows).drop("text")
@@ -186,6 +198,9 @@ SQL = {
     "sentence_split": f"SELECT doc_id, len({_SENT})::INT AS n_sentences, sha256(array_to_string({_SENT}, '|')) AS sentences_sha256 FROM documents",
     "token_counts": f"SELECT doc_id, len({_TOK})::INT AS n_tokens FROM documents",
     "tone_vector": f"SELECT * FROM {_TONE} t",
+    "attributed_orders": f"""WITH t AS (SELECT o_orderkey, o_orderpriority, lower({list(KINDS_OF_DOCUMENTS)}[(o_orderkey % {len(KINDS_OF_DOCUMENTS)} + 1)::INT]) AS k, lower(['Item 7. MD&A', 'Questions', 'Outlook for 2024', 'Risk factors', 'The CEO''s letter', ''][(o_custkey % {len(SECTIONS)} + 1)::INT]) AS s FROM orders)
+SELECT CASE WHEN regexp_matches(k, '10-k|10-q|40-f|20-f|annual report|annual_report|earnings_transcript|earnings transcript|mda') OR regexp_matches(s, 'management|md&a|discussion and analysis|ceo|chief executive|outlook|forward-looking') THEN 'management'
+ WHEN regexp_matches(k, 'news|press_release|press release') THEN 'media' WHEN regexp_matches(k, 'analyst_report|analyst report|research|sell-side|sellside') THEN 'analyst' ELSE 'unknown' END AS speaker_role, o_orderpriority, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM t GROUP BY ALL""",
     "speaker_role": "SELECT conv_id, CASE WHEN role = 'assistant' THEN 'management' WHEN contains(lower(text), 'question') OR role = 'user' THEN 'analyst' ELSE 'operator' END AS speaker_role, count(*) AS n FROM conversations GROUP BY ALL",
     "fusion_matrix": f"SELECT * FROM {_FUSE} f",
     "rule_entities": f"SELECT chunk_id, entity_type, name FROM {_ENT} e",

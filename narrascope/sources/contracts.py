@@ -21,6 +21,8 @@ TABLES = {
     "company_theme_exposure": "as_of_date date, company_id string, theme_snapshot_id string, community string, exposure_score double, graph_distance double, edge_confidence_sum double, evidence_count bigint, top_evidence_chunk_ids array<string>, calculation_method string",
     "projected_impacts": "as_of_date date, trigger_id string, trigger_kind string, company_id string, direction int, strength double, path array<string>, n_paths bigint, contributing_edge_ids array<string>, evidence_chunk_ids array<string>, confidence double, method string",
     "management_sentiment": "chunk_id string, available_at date, company string, direction string, confidence_tone string, hedging boolean, forward_stance string, confidence double",
+    "chunk_tone": "chunk_id string, available_at date, speaker_role string, token_count bigint, positive double, negative double, uncertainty double, litigious double, strong_modal double, weak_modal double",
+    "fused_sentiment": "chunk_id string, company string, direction string, confidence_tone string, hedging boolean, forward_stance string, confidence double, tone_day date, positive double, negative double, uncertainty double, lm_direction string, agreement string, fused_tone string, fused_confidence double",
     "financial_metrics": "company string, metric string, period string, is_guidance boolean, value double, unit string, direction string, confidence double, chunks array<string>, period_end date",
     "theme_document_evidence": "community string, document_ids array<string>",
 }

@@ -15,12 +15,13 @@ TEXTS = {
     "b.txt": ("2024-01-20", "Beta Industries has exposure to electricity demand and the data center. Electricity demand causes a capex increase. Beta Industries benefits from a capex increase."),
     "c.htm": ("2024-02-10", "<html><h2>Outlook</h2><p>Cameco is sensitive to inflation, and a rate cut may help support it. Cameco is exposed to electricity demand.</p></html>"),
     "d.txt": ("2024-03-10", "Cameco and copper."),
+    "e.txt": ("2024-01-25", "Analysts ask whether Cameco sees strong growth and strong demand, or a decline."),
 }
 
 
 def manifest(folder, names):
     path = folder / f"manifest-{len(names)}.csv"
-    path.write_text(HEAD + "".join(f"news,{k},T{k},10-k,co{k},{n},{TEXTS[n][0]},{TEXTS[n][0]},v1,en,u/{k},l,public,n\n" for k, n in enumerate(names)))
+    path.write_text(HEAD + "".join(f"news,{k},T{k},{'sell-side note' if n == 'e.txt' else '10-k'},co{k},{n},{TEXTS[n][0]},{TEXTS[n][0]},v1,en,u/{k},l,public,n\n" for k, n in enumerate(names)))
     return str(path)
 
 
@@ -30,7 +31,9 @@ def engine(spark, tmp_path_factory):
     docs = tmp_path_factory.mktemp("docs")
     for name, (_, text) in TEXTS.items():
         (docs / name).write_text(text)
-    e = Engine(spark, f"file://{root}")
+    flags = ("positive", "negative", "uncertainty", "litigious", "strong_modal", "weak_modal")
+    lexicon = spark.createDataFrame([("strong", 1, 0, 0, 0, 0, 0), ("decline", 0, 1, 0, 0, 0, 0), ("may", 0, 0, 1, 0, 0, 1)], "word string, " + ", ".join(f"{c} int" for c in flags))
+    e = Engine(spark, f"file://{root}", lexicon=lexicon)
     e.universe = spark.createDataFrame([("Beta Industries",)], "name string")
     run = e.runs.create("2024-01-31", list(TEXTS), "v1", dt.datetime(2024, 2, 1))
     real = e.extract
@@ -43,7 +46,7 @@ def engine(spark, tmp_path_factory):
 def test_a_point_holds_only_what_was_known(engine):
     e, run, _, _ = engine
     early = {r.title for r in e.table(run, "documents", "2024-01-31").where("included_in_discovery").collect()}
-    assert early == {"T0", "T1"} and e.table(run, "documents").where("included_in_discovery").count() == 3
+    assert early == {"T0", "T1", "T4"} and e.table(run, "documents").where("included_in_discovery").count() == 4
     for p in ("2024-01-31", "2024-02-29"):
         assert e.integrity(run, p).count() == 0
         assert e.table(run, "entities", p).where(F.col("first_seen") > F.lit(p).cast("date")).count() == 0
@@ -85,6 +88,38 @@ def test_reads(engine, spark):
         assert s.sql("SELECT count(*) FROM v_disc_company_theme_exposure").first()[0] >= 2
 
 
+def test_only_management_is_read(engine):
+    e, run, _, _ = engine
+    said = {r.text[:8]: r.speaker_role for r in e.said_chunks(run, "2024-01-31").collect()}
+    assert said["Analysts"] == "analyst" and {r for t, r in said.items() if t != "Analysts"} == {"management"}
+    asked = e.said_chunks(run, "2024-01-31").where("speaker_role = 'analyst'").first().chunk_id
+    assert asked not in {r.chunk_id for r in e.table(run, "management_sentiment", "2024-01-31").collect()}
+    tone = {r.chunk_id: r for r in e.table(run, "chunk_tone", "2024-01-31").collect()}
+    assert tone[asked].positive > 0 and tone[asked].negative > 0 and tone[asked].litigious == 0
+    fused = e.table(run, "fused_sentiment", "2024-01-31").collect()
+    assert {r.chunk_id for r in fused} == {r.chunk_id for r in e.table(run, "management_sentiment", "2024-01-31").collect()} and all(r.tone_day for r in fused)
+
+
+def test_damaged_points_are_told(engine, spark, tmp_path):
+    e, _, _, source = engine
+    run = e.runs.create("2024-01-31", list(TEXTS), "v1", dt.datetime(2024, 2, 2))
+    assert e.build_panel(run, {"2024-01-31": ("nowhere.csv", "nothing/"), "2024-02-29": source}) == ["2024-02-29"]
+    status = {r.as_of: (r.status, bool(r.reason)) for r in e.panel_status(run).collect()}
+    assert status == {"2024-01-31": ("failed", True), "2024-02-29": ("done", False)}
+    assert e.damage(run, "2024-01-31") == "communities is not there" and e.damage(run, "2024-02-29") is None
+    assert {r.as_of: r.discovery_present for r in e.panel_tables(run)["points"].collect()} == {"2024-02-29": True}
+    broken = e.path(run, "2024-02-29", "theme_metrics").removeprefix("file://")
+    import os
+
+    for name in os.listdir(broken):
+        if name.endswith(".parquet"):
+            with open(f"{broken}/{name}", "w") as f:
+                f.write("not a table")
+    assert "theme_metrics" in e.damage(run, "2024-02-29")
+    with pytest.raises(LookupError):
+        e.panel_tables(run)
+
+
 def test_freeze_then_validate(engine, spark):
     e, run, root, source = engine
     with pytest.raises(catalog.LeakageError):
@@ -103,4 +138,4 @@ def test_freeze_then_validate(engine, spark):
     assert any(r.basket_ret and r.basket_ret > 0 for r in rows)
     text = e.report(run, "2024-02-29", e.validate(run, "2024-02-29", [1]))
     assert run in text and "## Validation" in text and "single snapshot" in text and "Not validated." in e.report(run, "2024-02-29")
-    assert [(r.n_points, r.frozen) for r in e.runs.listing().collect()] == [(2, True)]
+    assert [(r.n_points, r.frozen) for r in e.runs.listing().collect() if r.run_id == run] == [(2, True)]
