@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.operators import claims, cleaning, exposure, extraction, governance, graph, impacts, lineage, panel, reads, sentiment, serving, textops, validation
+from narrascope.operators import claims, cleaning, exposure, extraction, governance, graph, impacts, lineage, panel, panel_run, reads, sentiment, serving, textops, validation
 from narrascope.operators.pit import to_day
 from narrascope.sources import catalog, contracts, readers, sinks
 
@@ -56,21 +56,40 @@ class Engine:
 
     def import_documents(self, run: str, as_of: str, manifest: str, folder: str) -> DataFrame:
         """Raw documents of a manifest, staged; returns the rows put aside, with reasons."""
-        files = readers.read_raw_files(self.spark, folder)
-        contents = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("raw_path"), "text", "content_hash")
-        kept, aside = readers.import_manifest(readers.read_manifest(self.spark, manifest), as_of, contents)
+        kept, aside = self._imported(as_of, manifest, folder)
         if self.runs.is_frozen(run, as_of):
             raise catalog.LeakageError("discovery is frozen")
         kept.write.mode("overwrite").parquet(self.path(run, as_of, "raw_documents"))
         return aside
 
+    def _imported(self, as_of: str, manifest: str, folder: str) -> tuple[DataFrame, DataFrame]:
+        files = readers.read_raw_files(self.spark, folder)
+        contents = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("raw_path"), "text", "content_hash")
+        return readers.import_manifest(readers.read_manifest(self.spark, manifest), as_of, contents)
+
+    @staticmethod
+    def _to_clean(raw: DataFrame) -> DataFrame:
+        return raw.withColumnRenamed("text", "raw_text").withColumn("published_at", to_day(F.col("published_at"))).withColumn("available_at", to_day(F.col("available_at"))).withColumn("row_number", F.struct("source_id", "document_id")).drop("content_hash")
+
     def clean(self, run: str, as_of: str) -> None:
-        raw = self.table(run, "raw_documents", as_of)
-        rows = raw.withColumnRenamed("text", "raw_text").withColumn("published_at", to_day(F.col("published_at"))).withColumn("available_at", to_day(F.col("available_at"))).withColumn("row_number", F.struct("source_id", "document_id")).drop("content_hash")
+        rows = self._to_clean(self.table(run, "raw_documents", as_of))
         done = cleaning.clean_documents(rows, as_of).withColumn("included_in_discovery", F.col("outcome") == "included")
         self.write(run, as_of, "document_cleaning_log", cleaning.cleaning_log(done))
         self.write(run, as_of, "documents", done.drop("steps"))
 
+    def discover_panel(self, run: str, points: list[str], manifest: str, folder: str, extractor: extraction.RuleExtractor | None = None) -> None:
+        """Discovery of many points from one manifest in one plan; tables of all points lie under ``root/run/panel/``, in a folder for each day."""
+        kept, _ = self._imported(max(points), manifest, folder)
+        made = panel_run.discover_panel(run, self._to_clean(kept), points, extractor)
+        for name, df in made.items():
+            columns = [c for c in contracts.schema_of(name).names if c in df.columns]
+            df.select("as_of", *columns).write.partitionBy("as_of").mode("overwrite").parquet(f"{self.root}/{run}/panel/{name}.parquet")
+
+    def panel_table(self, run: str, table: str, as_of: str | None = None) -> DataFrame:
+        """A table of ``discover_panel``: of all points with as_of, or of one."""
+        df = self.spark.read.parquet(f"{self.root}/{run}/panel/{table}.parquet")
+        return df if as_of is None else df.where(F.col("as_of") == F.lit(as_of).cast("date")).drop("as_of")
+
     def chunk(self, run: str, as_of: str) -> None:
         self.write(run, as_of, "chunks", cleaning.chunk_rows(self.table(run, "documents", as_of)))
 

@@ -151,25 +151,25 @@ def edge_candidates(found: DataFrame, rules=TRIGGER_RULES) -> DataFrame:
     return found.select("chunk_id", "available_at", F.explode(F.concat(*parts)).alias("x")).select("chunk_id", "available_at", "x.*")
 
 
-def roll_up_entities(mentions: DataFrame) -> DataFrame:
-    """One row an entity: entity_id, entity_type, name, first_seen, source_chunk_ids.
+def roll_up_entities(mentions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row an entity (of each point of ``keys``): entity_id, entity_type, name, first_seen, source_chunk_ids.
 
     Name and day are those of the first chunk, in order of chunk_id, as the chunks are scanned; chunk ids are ordered.
     """
     first = F.min_by(F.struct("name", "available_at"), "chunk_id").alias("f")
-    by = mentions.groupBy("entity_type", F.lower("name").alias("_low")).agg(first, F.array_sort(F.collect_set("chunk_id")).alias("source_chunk_ids"))
-    return by.select(entity_id(F.col("entity_type"), F.col("_low")).alias("entity_id"), "entity_type", F.col("f.name").alias("name"), F.col("f.available_at").alias("first_seen"), "source_chunk_ids")
+    by = mentions.groupBy(*keys, "entity_type", F.lower("name").alias("_low")).agg(first, F.array_sort(F.collect_set("chunk_id")).alias("source_chunk_ids"))
+    return by.select(*keys, entity_id(F.col("entity_type"), F.col("_low")).alias("entity_id"), "entity_type", F.col("f.name").alias("name"), F.col("f.available_at").alias("first_seen"), "source_chunk_ids")
 
 
-def roll_up_edges(candidates: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row for each pair of names and type, under entity ids; edges with an end that is no entity go."""
+def roll_up_edges(candidates: DataFrame, entities: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each pair of names and type (of each point of ``keys``), under entity ids; edges with an end that is no entity go."""
     first = F.min_by(F.struct("available_at", "confidence", "direction"), F.struct("chunk_id", "confidence", "direction")).alias("f")
-    by = candidates.groupBy(F.lower("source").alias("_s"), F.lower("target").alias("_t"), "edge_type").agg(first, F.array_sort(F.collect_set("chunk_id")).alias("evidence"))
+    by = candidates.groupBy(*keys, F.lower("source").alias("_s"), F.lower("target").alias("_t"), "edge_type").agg(first, F.array_sort(F.collect_set("chunk_id")).alias("evidence"))
     # names of several types: the last entity in order of its id stands, so that a name is one end
-    ids = entities.groupBy(F.lower("name").alias("_n")).agg(F.max("entity_id").alias("id"))
-    s, t = ids.select(F.col("_n").alias("_s"), F.col("id").alias("src")), ids.select(F.col("_n").alias("_t"), F.col("id").alias("dst"))
-    both = by.join(s, "_s").join(t, "_t")
-    return both.select(edge_id(F.col("src"), F.col("dst"), F.col("edge_type")).alias("edge_id"), "src", "dst", "edge_type", F.col("f.confidence").alias("confidence"), F.lit("document_stated").alias("method"), F.col("f.direction").alias("direction"), F.col("f.available_at").alias("first_seen"), "evidence")
+    ids = entities.groupBy(*keys, F.lower("name").alias("_n")).agg(F.max("entity_id").alias("id"))
+    s, t = ids.select(*keys, F.col("_n").alias("_s"), F.col("id").alias("src")), ids.select(*keys, F.col("_n").alias("_t"), F.col("id").alias("dst"))
+    both = by.join(s, [*keys, "_s"]).join(t, [*keys, "_t"])
+    return both.select(*keys, edge_id(F.col("src"), F.col("dst"), F.col("edge_type")).alias("edge_id"), "src", "dst", "edge_type", F.col("f.confidence").alias("confidence"), F.lit("document_stated").alias("method"), F.col("f.direction").alias("direction"), F.col("f.available_at").alias("first_seen"), "evidence")
 
 
 def canonical_ends(candidates: DataFrame, found: DataFrame, universe: DataFrame | None = None) -> DataFrame:

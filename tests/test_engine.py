@@ -100,6 +100,23 @@ def test_only_management_is_read(engine):
     assert {r.chunk_id for r in fused} == {r.chunk_id for r in e.table(run, "management_sentiment", "2024-01-31").collect()} and all(r.tone_day for r in fused)
 
 
+def test_a_panel_in_one_plan_is_that_of_its_points(engine):
+    e, run, _, (manifest_file, folder) = engine
+    points = ["2024-02-29", "2024-01-31"]
+    e.discover_panel(run, points, manifest_file, folder, extraction.RuleExtractor(universe=e.universe))
+    plain = lambda rows: sorted((tuple(sorted(map(str, v)) if isinstance(v, list) else round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=str)
+    for p in points:
+        for name, columns in {
+            "documents": "document_id content_hash clean_text", "chunks": "chunk_id document_id available_at text", "entities": "entity_id entity_type name first_seen source_chunk_ids",
+            "edges": "edge_id src dst edge_type confidence direction first_seen evidence", "graph_nodes": "entity_id entity_type label first_seen", "graph_edges": "edge_id src dst polarity weight first_seen",
+            "communities": "community entity_id", "theme_metrics": "community theme_snapshot_id theme_name size n_edges density strength saturation top_entities top_companies",
+            "company_theme_exposure": "company_id theme_snapshot_id community exposure_score graph_distance edge_confidence_sum evidence_count top_evidence_chunk_ids",
+        }.items():
+            alone = e.table(run, name, p)
+            alone = alone.where("included_in_discovery") if name == "documents" else alone
+            assert plain(e.panel_table(run, name, p).select(*columns.split()).collect()) == plain(alone.select(*columns.split()).collect()), (p, name)
+
+
 def test_damaged_points_are_told(engine, spark, tmp_path):
     e, _, _, source = engine
     run = e.runs.create("2024-01-31", list(TEXTS), "v1", dt.datetime(2024, 2, 2))
