@@ -71,12 +71,8 @@ def _clustered(run: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return runtime.staged(found.unionByName(rest).select("as_of", lineage.community_id(run, F.col("community")).alias("community"), "entity_id"), "panel-members")
 
 
-def discover_panel(run: str, raw: DataFrame, points: list[str], extractor: extraction.RuleExtractor | None = None, weak: bool = False) -> dict[str, DataFrame]:
-    """Tables of all points, each with as_of: documents, chunks, entities, edges, graph_nodes, graph_edges, communities, theme_metrics and company_theme_exposure.
-
-    ``raw``: the rows that ``cleaning.clean_documents`` takes; ``points``: days, in any order. A point that knows nothing
-    has no rows. Without points there is nothing to do, and that is an error.
-    """
+def extract_panel(raw: DataFrame, points: list[str], extractor: extraction.RuleExtractor | None = None) -> dict[str, DataFrame]:
+    """documents, chunks, entities and edges of all points, each with as_of; see ``discover_panel``."""
     if not points:
         raise ValueError("a panel needs points")
     key = ("as_of",)
@@ -90,8 +86,22 @@ def discover_panel(run: str, raw: DataFrame, points: list[str], extractor: extra
     mentions = runtime.staged(made["mentions"].drop("available_at"), "panel-mentions").join(known, "chunk_id")
     candidates = runtime.staged(made["candidates"].drop("available_at"), "panel-candidates").join(known, "chunk_id")
     entities = runtime.staged(extraction.roll_up_entities(mentions, key), "panel-entities")
-    edges = runtime.staged(extraction.roll_up_edges(candidates, entities, key), "panel-edges")
+    return {
+        "documents": _at_points(kept, points),
+        "chunks": where.join(cut.drop("available_at"), ["chunk_id", "document_id"]),
+        "entities": entities,
+        "edges": runtime.staged(extraction.roll_up_edges(candidates, entities, key), "panel-edges"),
+    }
 
+
+def discover_panel(run: str, raw: DataFrame, points: list[str], extractor: extraction.RuleExtractor | None = None, weak: bool = False) -> dict[str, DataFrame]:
+    """Tables of all points, each with as_of: documents, chunks, entities, edges, graph_nodes, graph_edges, communities, theme_metrics and company_theme_exposure.
+
+    ``raw``: the rows that ``cleaning.clean_documents`` takes; ``points``: days, in any order. A point that knows nothing
+    has no rows. Without points there is nothing to do, and that is an error.
+    """
+    made = extract_panel(raw, points, extractor)
+    entities, edges = made["entities"], made["edges"]
     own_entities = entities.withColumn("entity_id", _own(F.col("entity_id")))
     own_edges = edges.withColumn("src", _own(F.col("src"))).withColumn("dst", _own(F.col("dst")))
     nodes, links = (runtime.staged(t, "panel-graph") for t in exposure.build_graph(own_entities, own_edges, F.col("as_of")))
@@ -112,10 +122,7 @@ def discover_panel(run: str, raw: DataFrame, points: list[str], extractor: extra
 
     ends = lambda t: t.withColumn("src", _bare(F.col("src"))).withColumn("dst", _bare(F.col("dst")))
     return {
-        "documents": _at_points(kept.drop("since", "until").join(spans, "document_id"), points),
-        "chunks": where.join(cut.drop("available_at"), ["chunk_id", "document_id"]),
-        "entities": entities,
-        "edges": edges,
+        **made,
         "graph_nodes": nodes.withColumn("entity_id", _bare(F.col("entity_id"))),
         "graph_edges": ends(links),
         "communities": members.withColumn("entity_id", _bare(F.col("entity_id"))),

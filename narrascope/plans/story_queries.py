@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from narrascope import runtime
-from narrascope.operators import claims, cleaning, exposure, extraction, governance, graph, impacts, lineage, narration, panel, pit, reads, sentiment, validation
+from narrascope.operators import claims, cleaning, exposure, extraction, governance, graph, impacts, lineage, narration, panel, panel_run, pit, reads, sentiment, validation
 from narrascope.operators.communities import modularity
 from narrascope.plans import mapping as m
 from narrascope.sources import readers
@@ -56,6 +56,18 @@ def extracted_entities(spark, d):
     return e.select("entity_id", "entity_type", "name", "first_seen", F.size("source_chunk_ids").alias("n_chunks"), _ids(F.col("source_chunk_ids")).alias("chunks_sha256"))
 
 
+PANEL = ("1995-06-30", "1996-06-30", "1998-01-01", "1999-12-31", "2002-01-01")
+
+
+def panel_entities(spark, d):
+    """Entities of the news known at five points, in one plan: each text is cleaned and searched once."""
+    n, key = news(spark, d), F.col("chunk_id").cast("string")
+    raw = n.select(key.alias("document_id"), F.col("chunk_id").alias("row_number"), F.lit("news").alias("source"), key.alias("source_id"), "available_at", F.concat(key, F.lit(".txt")).alias("raw_path"), F.col("text").alias("raw_text"))
+    universe = spark.createDataFrame([(x,) for x in UNIVERSE], "name string")
+    made = panel_run.extract_panel(raw, list(PANEL), extraction.RuleExtractor(universe=universe))
+    return made["entities"].select("as_of", "entity_id", "entity_type", F.size("source_chunk_ids").alias("n_chunks"))
+
+
 def extracted_edges(spark, d):
     e = _extracted(spark, d)["edges"]
     return e.select("edge_id", "src", "dst", "edge_type", "confidence", "direction", "first_seen", F.size("evidence").alias("n_chunks"), _ids(F.col("evidence")).alias("chunks_sha256"))
@@ -375,6 +387,6 @@ NO_SQL = ("management_sentiment", "monthly_communities", "pages_to_chunks")
 NAMES = (
     "extracted_entities extracted_edges extraction_provenance reported_claims reconciled_claims exposure_from_graph graph_projection projected_impacts impact_ranking cleaned_documents integrity_suite "
     "snapshot_validation sector_fallback fixed_basket_walk theme_lineage theme_families panel_report panel_points theme_levels main_theme_relevance subgraph_of_communities theme_names evidence_snippets "
-    "monthly_partitions trajectories_by_month chunk_sources theme_dossier news_selection filing_paths linked_steps model_calls"
+    "panel_entities monthly_partitions trajectories_by_month chunk_sources theme_dossier news_selection filing_paths linked_steps model_calls"
 ).split()
 QUERIES = {name: globals()[name] for name in (*NAMES, *NO_SQL)}

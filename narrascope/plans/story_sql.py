@@ -5,7 +5,7 @@ from __future__ import annotations
 from narrascope.operators import claims, extraction
 from narrascope.plans import mapping as m
 from narrascope.plans.market_queries import EXPO, TOP
-from narrascope.plans.story_queries import AS_OF, NEWS_SQL, SUBJECTS
+from narrascope.plans.story_queries import AS_OF, NEWS_SQL, PANEL, SUBJECTS
 from narrascope.plans.text_queries import _WS
 
 _USUAL = {"Acme Corp": "Acme", "RBC": "Royal Bank of Canada"}
@@ -138,6 +138,8 @@ SELECT as_of, round(bk, 6) AS basket_ret, round(bs, 6) AS baseline_ret, round(bk
  mn AS (SELECT h.mt, sum(macro)::BIGINT AS macro, sum(industry)::BIGINT AS industry, sum(company)::BIGINT AS company, sum(idiosyncratic)::BIGINT AS idiosyncratic, sum((size >= 3 AND strength > 0)::INT)::BIGINT AS k FROM l JOIN (VALUES ('odd', 'c1'), ('odd', 'c3'), ('even', 'c0'), ('even', 'c2'), ('even', 'c4'), ('even', 'nothing')) h(mt, community) USING (community) GROUP BY 1)
 SELECT community AS theme, {_LEVELS}, {_DOMINANT} AS dominant, strength::DOUBLE AS strength, size FROM l UNION ALL SELECT mt, {_LEVELS}, {_DOMINANT}, NULL, k FROM mn""",
     "main_theme_relevance": f"WITH x AS (SELECT substr(theme, 1, 7) AS main_theme, * FROM {_RELEVANCE} z), b AS (SELECT *, row_number() OVER (PARTITION BY main_theme ORDER BY relevance DESC, theme) AS rn, max(latest) OVER (PARTITION BY main_theme) AS l, count(*) OVER (PARTITION BY main_theme) AS k FROM x) SELECT main_theme, relevance AS relevance_score, state, l AS last_evidence_at, k AS sub_theme_count FROM b WHERE rn = 1",
+    "panel_entities": f"""WITH {_H}, p AS (SELECT unnest([{", ".join(f"DATE '{x}'" for x in PANEL)}]) AS as_of)
+SELECT as_of, 'ent_' || substr(sha256('entity:' || t || ':' || lower(name)), 1, 16) AS entity_id, t AS entity_type, count(DISTINCT text)::INT AS n_chunks FROM h JOIN p ON available_at <= as_of GROUP BY as_of, t, lower(name)""",
     "monthly_partitions": """WITH e AS (SELECT 's' || l_suppkey AS src, p_brand || '|' || p_type AS dst, min(l_shipdate::DATE) AS fs FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
  d AS (SELECT min(fs) AS first, max(fs) AS last FROM e), m AS (SELECT least(last_day(x::DATE), last) AS month_end FROM (SELECT unnest(generate_series(date_trunc('month', first), last, INTERVAL 1 MONTH)) AS x, last FROM d)),
  l AS (SELECT month_end, src, dst FROM e JOIN m ON fs <= month_end), n AS (SELECT month_end, count(*) AS n FROM (SELECT month_end, src FROM l UNION SELECT month_end, dst FROM l) GROUP BY 1)
