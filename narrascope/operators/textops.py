@@ -39,10 +39,6 @@ def is_page_line(line: Column) -> Column:
     return out
 
 
-def without_page_numbers(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~is_page_line(line)), "\n")
-
-
 def repeated_line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Short lines that stand several times in one document: doc_id, line, n."""
     lines = docs.select("doc_id", F.explode(F.split(F.col(text), "\n")).alias("line")).withColumn("line", F.trim("line"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from narrascope.functions.ids import edge_id, entity_id
-from narrascope.operators import evidence, sentiment, textops
+from narrascope.operators import cleaning, evidence, linking, sentiment, textops
 from narrascope.plans import mapping as m
 
 #: An invented lexicon of the contract's shape.
@@ -25,7 +25,7 @@ def whitespace_normalise(spark, d):
 
 def page_number_strip(spark, d):
     docs = m.documents(spark, d).withColumn("text", F.concat("text", F.lit("\n"), F.col("doc_id").cast("string"), F.lit("\n- "), F.col("doc_id") % 7, F.lit(" -\n3 / 10\n123456\nPage 2 of 3\npage 7\nend")))
-    return docs.select("doc_id", F.sha2(textops.without_page_numbers(F.col("text")), 256).alias("text_sha256"))
+    return docs.select("doc_id", F.sha2(cleaning.without_page_lines(F.col("text")), 256).alias("text_sha256"))
 
 
 def repeated_lines(spark, d):
@@ -100,6 +100,16 @@ def entity_rollup(spark, d):
     return evidence.rollup_entities(evidence.match_rules(_chunks(spark, d), RULES))
 
 
+def linked_names(spark, d):
+    """Names of two to four words out of the benchmark's texts, and those of parts, in all documents."""
+    b = m.table(spark, d, "benchmark").select("item_id", textops.tokens(F.col("text")).alias("w"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4), F.lit(4))
+    cut = F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i, 2 + F.pmod(i, F.lit(3))), " "))
+    names = b.where("size(w) >= 5").select(F.explode(cut).alias("alias"), F.concat(F.lit("b"), F.lpad(F.col("item_id").cast("string"), 9, "0")).alias("entity_id"))
+    parts = m.table(spark, d, "part").select(F.col("p_name").alias("alias"), F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("entity_id"))
+    return linking.link_aliases(m.table(spark, d, "documents"), names.unionByName(parts)).select("doc_id", "place", "n_words", "alias", "entity_id")
+
+
 def stable_ids(spark, d):
     s = m.table(spark, d, "supplier")
     a, b = entity_id(F.lit("Company"), F.col("s_name")), entity_id(F.lit("EconomicConcept"), F.concat(F.lit("nation "), F.col("s_nationkey")))
@@ -114,7 +124,9 @@ def alias_groups(spark, d):
 
 def _edges(spark, d):
     lines = m.table(spark, d, "lineitem")
-    return lines.groupBy((F.col("l_suppkey")).alias("edge_id")).agg(F.collect_set((F.col("l_partkey") % 1000).alias("c")).alias("evidence"))
+    # chunks are the documents of the table, whatever their number
+    n = F.broadcast(m.table(spark, d, "documents").agg(F.greatest(F.lit(1), F.count("*")).alias("_n")))
+    return lines.join(n).groupBy(F.col("l_suppkey").alias("edge_id")).agg(F.collect_set((F.col("l_partkey") % F.col("_n")).alias("c")).alias("evidence"))
 
 
 def evidence_join(spark, d):
@@ -188,7 +200,7 @@ _Q = """(SELECT doc_id, coalesce(gate, CASE WHEN n > 1 THEN 'duplicate' END, 'in
  SELECT doc_id, text, CASE WHEN source IS NULL OR doc_id % 97 = 0 THEN 'missing_metadata' WHEN available_at > DATE '2024-10-31' THEN 'future_document' END AS gate FROM """ + m.DOCS_SQL + " d)))"
 _WS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
 _SENT = "list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(31), 'g'), '\\n{2,}', chr(31), 'g'), chr(31)), lambda s: length(trim(s)) > 0)"
-_EV = "(SELECT DISTINCT l_suppkey AS edge_id, l_partkey % 1000 AS chunk_id FROM lineitem)"
+_EV = "(SELECT DISTINCT l_suppkey AS edge_id, l_partkey % (SELECT greatest(1, count(*)) FROM documents) AS chunk_id FROM lineitem)"
 
 SQL = {
     "content_dedup_quarantine": f"SELECT doc_id, outcome FROM {_Q} q",
@@ -206,6 +218,15 @@ SELECT CASE WHEN regexp_matches(k, '10-k|10-q|40-f|20-f|annual report|annual_rep
     "rule_entities": f"SELECT chunk_id, entity_type, name FROM {_ENT} e",
     "cooccurrence_edges": f"SELECT a.name AS name_a, b.name AS name_b, count(*) AS n_chunks FROM {_ENT} a JOIN {_ENT} b ON a.chunk_id = b.chunk_id AND a.name < b.name AND a.entity_type <> b.entity_type GROUP BY ALL",
     "entity_rollup": f"SELECT 'ent_' || substr(sha256('entity:' || entity_type || ':' || lower(name)), 1, 16) AS entity_id, entity_type, lower(name) AS name, min(available_at) AS first_seen, count(DISTINCT chunk_id) AS n_chunks FROM {_ENT} e GROUP BY entity_type, lower(name)",
+    "linked_names": r"""WITH RECURSIVE b AS (SELECT item_id, list_filter(string_split(lower(regexp_replace(text, '[^\p{L}\p{N}_\-]', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark),
+ a AS (SELECT alias, min(entity_id) AS entity_id, len(string_split(alias, ' ')) AS n FROM (SELECT array_to_string(w[i:i + 1 + i % 3], ' ') AS alias, 'b' || lpad(item_id::VARCHAR, 9, '0') AS entity_id FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1, 4)) AS i FROM b WHERE len(w) >= 5)
+  UNION ALL SELECT lower(p_name), 'p' || lpad(p_partkey::VARCHAR, 9, '0') FROM part) GROUP BY alias),
+ t AS (SELECT doc_id, list_filter(string_split(lower(regexp_replace(text, '[^\p{L}\p{N}_\-]', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
+ l AS (SELECT DISTINCT n FROM a), x AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM t, l WHERE len(w) >= n),
+ g AS (SELECT doc_id, i - 1 AS place, n, array_to_string(w[i:i + n - 1], ' ') AS alias FROM x),
+ f AS (SELECT doc_id, place, max(g.n) AS n, arg_max(alias, g.n) AS alias, arg_max(entity_id, g.n) AS entity_id FROM g JOIN a USING (alias) GROUP BY doc_id, place),
+ r AS (SELECT doc_id, min(place) AS place, arg_min(n, place) AS n FROM f GROUP BY doc_id UNION ALL SELECT r.doc_id, min(f.place), arg_min(f.n, f.place) FROM r JOIN f ON f.doc_id = r.doc_id AND f.place >= r.place + r.n GROUP BY r.doc_id)
+SELECT doc_id, place::INT AS place, n::INT AS n_words, alias, entity_id FROM r JOIN f USING (doc_id, place, n)""",
     "stable_ids": "SELECT s_suppkey, a AS entity_id, 'edge_' || substr(sha256('edge:' || a || ':' || b || ':exposed_to'), 1, 16) AS edge_id FROM (SELECT s_suppkey, 'ent_' || substr(sha256('entity:Company:' || lower(s_name)), 1, 16) AS a, 'ent_' || substr(sha256('entity:EconomicConcept:nation ' || s_nationkey), 1, 16) AS b FROM supplier)",
     "alias_groups": "SELECT DISTINCT 'n' || a.n_nationkey AS entity_id, b.n_name AS alias FROM nation a JOIN nation b USING (n_regionkey) WHERE lower(a.n_name) <> lower(b.n_name)",
     "evidence_join": f"SELECT edge_id, count(*) AS n_chunks, count(DISTINCT source) AS n_sources, min(available_at) AS first_seen FROM {_EV} e JOIN {m.DOCS_SQL} d ON doc_id = chunk_id GROUP BY edge_id",
