@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from narrascope import runtime
-from narrascope.operators import claims
+from narrascope.operators import claims, digests
 from narrascope.plans import mapping as m
-from narrascope.sources import readers, sinks
+from narrascope.sources import ingest, readers, sinks
 from narrascope.streaming import intake
 
 
@@ -23,6 +23,29 @@ def manifest_gates(spark, d):
     return readers.classify_manifest(rows, "2024-09-30", files).groupBy(F.coalesce("reason", F.lit("import")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def ingested_facts(spark, d):
+    """Two batches into a table with a folder a nation, the second for every third nation and twice over; read back."""
+    supplier = m.table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("company_id"))
+    lines = m.table(spark, d, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = lines.groupBy("company_id", "l_suppkey").agg(F.count("*").alias("n_lines"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
+    rows, root = runtime.staged(rows, "facts"), runtime.fresh_path(spark, "ingested")
+    ingest.ingest(rows, root, "all")
+    again = rows.where("company_id % 3 = 0").withColumn("quantity", F.col("quantity") * 2)
+    ingest.ingest(again, root, "thirds")
+    ingest.ingest(again, root, "thirds")
+    many = ingest.committed(spark, root).agg(F.count("*").alias("n_batches"), F.sum("n_rows").alias("rows_written"))
+    return ingest.read_table(spark, root).groupBy("company_id").agg(F.count("*").alias("n"), F.sum("n_lines").alias("n_lines"), F.sum("quantity").alias("quantity")).join(F.broadcast(many))
+
+
+def changed_orders(spark, d):
+    """Orders of which some are removed, changed and added, found by the digests that were kept of them."""
+    old, key = m.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("o_orderkey")
+    new = old.where(key % 1009 != 0).withColumn("o_orderstatus", F.when(key % 499 == 0, "X").otherwise(F.col("o_orderstatus")))
+    new = new.unionByName(old.where(key % 701 == 0).withColumn("o_orderkey", -key - 1))
+    kept = runtime.staged(digests.bucket_digests(old, ["o_orderkey"]), "frozen-digests")
+    return digests.changed_keys(old, new, ["o_orderkey"], kept)
+
+
 def period_normalise(spark, d):
     o = m.table(spark, d, "orders").select("o_orderkey", F.concat(F.get(F.array(*[F.lit(x) for x in ("Q1 ", "Q2 ", "Q3 of ", "q4", "H1 ", "H2 ", "FY", "in ")]), (F.col("o_orderkey") % 8).cast("int")), F.year("o_orderdate")).alias("period"))
     return o.select("o_orderkey", claims.period_end(F.col("period")).alias("period_end"))
@@ -65,6 +88,11 @@ SQL = {
     "manifest_gates": f"SELECT CASE WHEN doc_id % 11 = 0 OR (doc_id % 13 <> 0 AND doc_id % 17 = 0) THEN 'no_determinable_publish_time' WHEN source IS NULL OR source = '' OR doc_id % 19 = 0 THEN 'missing required field: source' WHEN doc_id % 23 = 0 THEN 'raw_path missing' WHEN doc_id % 13 = 0 THEN 'invalid date format in available_at' WHEN available_at > DATE '2024-09-30' THEN 'available_at is after run as_of_date' ELSE 'import' END AS outcome, count(*) AS n FROM {m.DOCS_SQL} d GROUP BY 1",
     "period_normalise": "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN make_date(y, 3, 31) WHEN 1 THEN make_date(y, 6, 30) WHEN 2 THEN make_date(y, 9, 30) WHEN 3 THEN make_date(y, 12, 31) WHEN 4 THEN make_date(y, 6, 30) WHEN 5 THEN make_date(y, 12, 31) WHEN 6 THEN make_date(y, 12, 31) END AS period_end FROM (SELECT o_orderkey, year(o_orderdate) AS y FROM orders)",
     "facts_flatten": "SELECT o_custkey AS company_id, last_day(o_orderdate) AS period_end, o_orderdate::DATE AS filing_date, round(o_totalprice, 2) AS value, 'USD' AS currency FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, last_day(o_orderdate) ORDER BY o_orderdate::DATE, o_orderkey) AS n FROM orders WHERE o_orderdate::DATE <= DATE '1998-01-01') WHERE n = 1",
+    "ingested_facts": """WITH r AS (SELECT s_nationkey AS company_id, l_suppkey, count(*) AS n_lines, sum(l_quantity::BIGINT)::BIGINT AS quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+ w AS (SELECT 2 AS n_batches, (count(*) + count(*) FILTER (company_id % 3 = 0))::BIGINT AS rows_written FROM r)
+SELECT company_id, count(*) AS n, sum(n_lines)::BIGINT AS n_lines, sum(CASE WHEN company_id % 3 = 0 THEN quantity * 2 ELSE quantity END)::BIGINT AS quantity, n_batches, rows_written FROM r, w GROUP BY ALL""",
+    "changed_orders": """SELECT o_orderkey, 'removed' AS change FROM orders WHERE o_orderkey % 1009 = 0
+ UNION ALL SELECT o_orderkey, 'changed' FROM orders WHERE o_orderkey % 1009 <> 0 AND o_orderkey % 499 = 0 AND o_orderstatus <> 'X' UNION ALL SELECT -o_orderkey - 1, 'added' FROM orders WHERE o_orderkey % 701 = 0""",
     "merge_runs": "SELECT CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS run, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment, count(*) AS n FROM customer GROUP BY ALL",
     "stream_event_windows": "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_first_documents": "SELECT lang, count(*) AS n_texts FROM (SELECT text, min(lang) AS lang FROM documents GROUP BY text) GROUP BY lang",
