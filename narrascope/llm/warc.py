@@ -1,8 +1,10 @@
 """WARC archives of pages, compressed record by record against a dictionary that each file carries.
 
 A file begins with a skippable Zstandard frame that holds a dictionary built from records of that file; every record
-follows as a frame of its own, so one can be read at its offset with nothing but the head of the file. A page whose
-payload an earlier page has is written as a revisit of that page.
+follows as a frame of its own, and a last skippable frame holds the offsets of all of them. So a record is read by its
+number with the ends of the file and its own bytes (``StoredArchive``), and a reader that knows of none of this skips
+both frames. A page whose payload an earlier page has is written as a revisit of that page. Records have ids of their
+own; only rows alike in page, url and payload are copies of one record.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from narrascope import runtime
 from narrascope.llm.joins import join_dealt, join_sized
 from narrascope.llm.tokenfile import load, store
 
-DICTIONARY_FRAME = 0x184D2A5D
+DICTIONARY_FRAME, INDEX_FRAME = 0x184D2A5D, 0x184D2A5E
+#: Bytes that a reader hands on at a time where a file has no index.
+STEP = 1 << 14
 #: Bytes of payload after which a file is closed, bytes of records spread over it that the dictionary is built from, and its size.
 FILE_BYTES = 64 << 20
 SAMPLE_BYTES = 4 << 20
@@ -30,8 +34,8 @@ NO_ID = -(1 << 63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
+def record_id(page: int | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page} {digest} {url!r}')}>"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -43,15 +47,16 @@ def _line(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def make_record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, has_reference: bool, date: str) -> bytes:
+def make_record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, has_reference: bool, date: str, refers_url: str | None = None) -> bytes:
+    """A record; ``refers_to`` and ``refers_url`` are those of the response with the same payload, if it is a revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if has_reference else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if has_reference else 'response'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if has_reference else 'response'}", f"WARC-Record-ID: {record_id(page, url, digest)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_line(url)}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"X-Page-Id: {'' if page is None else page}"]
     if has_reference:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {'' if refers_to is None else refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}", f"X-Refers-To-Page-Id: {'' if refers_to is None else refers_to}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -87,27 +92,73 @@ def encode_file(records: list[bytes], level: int = 3) -> list[bytes]:
     words = build_dictionary(records[::step])
     own = words.as_bytes()
     press = zstandard.ZstdCompressor(level=level, dict_data=words)
-    return [struct.pack("<II", DICTIONARY_FRAME, len(own)), own, *(press.compress(x) for x in records)]
+    frames = [press.compress(x) for x in records]
+    offsets = [8 + len(own)]
+    for x in frames:
+        offsets.append(offsets[-1] + len(x))
+    index = struct.pack(f"<{len(offsets)}QQ", *offsets, len(offsets))
+    return [struct.pack("<II", DICTIONARY_FRAME, len(own)), own, *frames, struct.pack("<II", INDEX_FRAME, len(index)), index]
+
+
+def _dictionary(head: bytes) -> int:
+    """Bytes of the dictionary that a file begins with."""
+    magic, size = struct.unpack_from("<II", head)
+    if magic != DICTIONARY_FRAME:
+        raise ValueError("the file has no dictionary frame")
+    return size
 
 
 def read_file(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of a file, in order."""
+    """The records of a file, in order: one frame after another, skippable ones passed over. Time grows with the file."""
     import zstandard
 
-    magic, size = struct.unpack_from("<II", raw)
-    if magic != DICTIONARY_FRAME:
-        raise ValueError("the file has no dictionary frame")
-    words = zstandard.ZstdCompressionDict(raw[8 : 8 + size])
-    at = 8 + size
-    view = memoryview(raw)
-    plain = zstandard.ZstdDecompressor(dict_data=words)
+    size = _dictionary(raw)
+    plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + size]))
+    at, view = 8 + size, memoryview(raw)
     while at < len(raw):
-        one = plain.decompressobj()
-        out = one.decompress(view[at:])
-        if not one.eof:
-            raise ValueError("the last frame is cut short")
-        at = len(raw) - len(one.unused_data)
-        yield parse_record(out)
+        magic = struct.unpack_from("<I", raw, at)[0]
+        if magic & 0xFFFFFFF0 == 0x184D2A50:
+            at += 8 + struct.unpack_from("<I", raw, at + 4)[0]
+            continue
+        one, parts = plain.decompressobj(), []
+        while not one.eof:  # what is left over is at most one step, and is handed on again
+            if at >= len(raw):
+                raise ValueError("the last frame is cut short")
+            parts.append(one.decompress(view[at : at + STEP]))
+            at = min(at + STEP, len(raw))
+        at -= len(one.unused_data)
+        yield parse_record(b"".join(parts))
+
+
+class StoredArchive:
+    """Any record of a stored file by its number: the ends of the file are read once, then the record's bytes alone."""
+
+    def __init__(self, uri: str):
+        import zstandard
+        from pyarrow import fs
+
+        files, path = fs.FileSystem.from_uri(uri)
+        self.file = files.open_input_file(path)
+        size = _dictionary(self._bytes(0, 8))
+        self.plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(self._bytes(8, size)))
+        end = self.file.size()
+        n = struct.unpack("<Q", self._bytes(end - 8, 8))[0]
+        if struct.unpack("<II", self._bytes(end - 16 - 8 * n, 8)) != (INDEX_FRAME, 8 * n + 8):
+            raise ValueError("the file has no index frame")
+        self.offsets = struct.unpack(f"<{n}Q", self._bytes(end - 8 - 8 * n, 8 * n))
+
+    def _bytes(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def __getitem__(self, k: int) -> tuple[dict[str, str], bytes]:
+        if not 0 <= k < len(self):
+            raise IndexError(k)
+        frame = self._bytes(self.offsets[k], self.offsets[k + 1] - self.offsets[k])
+        return parse_record(self.plain.decompressobj().decompress(frame))
 
 
 FILES = "path string, n_records long"
@@ -128,11 +179,12 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0, date: str = "2024-
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page"), F.col("url").cast("string").alias("url"), html.alias("html"))
     base = base.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("size", F.octet_length("html").cast("long"))
-    facts = runtime.staged(base.select("page", "digest", "size"), "digests")
-    heads = facts.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.min("page").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    facts = runtime.staged(base.select("page", "url", "digest", "size"), "digests")
+    first = facts.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.min(F.struct("page", "url")).alias("_first"), F.count("*").alias("n")).where("n > 1")
+    heads = first.select("digest", "size", F.col("_first.page").alias("refers_to"), F.col("_first.url").alias("refers_url"))
     # one payload, such as the empty one, may be that of a large part of all pages
     later = join_dealt(facts, runtime.staged(heads, "repeated-payloads"), ["digest", "size"], "page")
-    later = runtime.staged(later.where("page != refers_to").select("page", "digest", "refers_to").distinct(), "revisits")
+    later = runtime.staged(later.where("page != refers_to").select("page", "digest", "refers_to", "refers_url").distinct(), "revisits")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records: list[bytes] = []
@@ -146,11 +198,11 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0, date: str = "2024-
             return row
 
         for batch in batches:
-            for page, url, text, refers in zip(*(batch.column(k) for k in range(4))):
+            for page, url, text, refers, at in zip(*(batch.column(k) for k in range(5))):
                 page, refers = page.as_py(), refers.as_py()
                 payload = text.as_buffer().to_pybytes()
                 known = lambda x: None if x == NO_ID else x
-                records.append(make_record(known(page), url.as_py(), payload, base32_sha1(payload), known(refers), refers is not None, date))
+                records.append(make_record(known(page), url.as_py(), payload, base32_sha1(payload), known(refers), refers is not None, date, at.as_py()))
                 held += len(payload)
                 if held >= FILE_BYTES:
                     yield flush()
@@ -159,7 +211,7 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0, date: str = "2024-
             yield flush()
 
     joined = join_sized(base, later, ["page", "digest"], "left")
-    return runtime.staged(joined.select("page", "url", "html", "refers_to").mapInArrow(write, FILES), "archives")
+    return runtime.staged(joined.select("page", "url", "html", "refers_to", "refers_url").mapInArrow(write, FILES), "archives")
 
 
 ROW = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"

@@ -44,6 +44,60 @@ def test_files_carry_their_dictionary():
     assert magic == 0x184D2A5D and size > 0
     assert [b for _, b in warc.read_file(raw)] == [warc.parse_record(r)[1] for r in records]
     words = zstandard.ZstdCompressionDict(raw[8 : 8 + size])
-    at = raw.rindex(b"\x28\xb5\x2f\xfd")  # the last frame alone, by its offset
+    at = raw.rindex(b"\x28\xb5\x2f\xfd")  # the last record's frame alone, by its offset
     assert zstandard.ZstdDecompressor(dict_data=words).decompressobj().decompress(raw[at:]) == records[-1]
     assert len(raw) < sum(map(len, records)) // 5
+
+
+def test_any_record_by_its_number(tmp_path):
+    records = [warc.make_record(i, None, bytes([65 + i % 26]) * (i * 37 % 5000), "D", None, False, "2024-01-01T00:00:00Z") for i in range(200)]
+    (tmp_path / "a.warc.zst").write_bytes(b"".join(warc.encode_file(records)))
+    held = warc.StoredArchive(f"file://{tmp_path}/a.warc.zst")
+    assert len(held) == 200 and all(held[k] == warc.parse_record(records[k]) for k in (199, 0, 73))
+
+
+def test_a_plain_reader_skips_both_frames(tmp_path):
+    """A reader that knows frames, a dictionary and WARC headers, and nothing of the writer."""
+    records = [warc.make_record(i, f"http://h/{i}", b"x" * 50 * i, "D", None, False, "2024-01-01T00:00:00Z") for i in range(30)]
+    raw = b"".join(warc.encode_file(records))
+    size = struct.unpack_from("<I", raw, 4)[0]
+    words = zstandard.ZstdCompressionDict(raw[8 : 8 + size])
+    stream = zstandard.ZstdDecompressor(dict_data=words).stream_reader(raw, read_across_frames=True)
+    plain, at, seen = stream.read(), 0, []
+    while at < len(plain):
+        assert plain.startswith(b"WARC/1.1\r\n", at)
+        end = plain.index(b"\r\n\r\n", at)
+        fields = dict(x.split(b": ", 1) for x in plain[at:end].split(b"\r\n")[1:])
+        at = end + 4 + int(fields[b"Content-Length"]) + 4
+        seen.append(fields[b"X-Page-Id"])
+    assert seen == [str(i).encode() for i in range(30)]
+
+
+def test_reading_takes_linear_time():
+    import random
+    import time
+
+    draw, took = random.Random(1), {}
+    for n in (2_000, 16_000):
+        raw = b"".join(warc.encode_file([warc.make_record(i, None, draw.randbytes(1000), "D", None, False, "2024-01-01T00:00:00Z") for i in range(n)]))
+        began = time.process_time()
+        assert sum(1 for _ in warc.read_file(raw)) == n
+        took[n] = time.process_time() - began
+    assert took[16_000] < 16 * took[2_000] + 0.5
+
+
+def test_ids_are_of_one_record(spark):
+    pages = [(1, "a", "one"), (1, "a", "two"), (1, "b", "one"), (None, "c", "x"), (None, "d", "x"), (None, "c", "y"), (4, "e", "one"), (5, "f", "y")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    found = [fields for r in warc.write_archives(df).collect() for fields, _ in warc.read_file(warc.load(r.path))]
+    ids = {f["WARC-Record-ID"]: f for f in found}
+    assert len(ids) == len(found) == 8
+    for f in found:
+        if f["WARC-Type"] == "revisit":
+            response = ids[f["WARC-Refers-To"]]
+            assert response["WARC-Type"] == "response" and response["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] and response["X-Page-Id"] == f["X-Refers-To-Page-Id"]
+
+
+def test_a_very_long_page(spark):
+    pages = [(1, "a", "é" * 3_000_000), (2, "b", "é" * 3_000_000), (3, "c", "short")]
+    assert run(spark, pages) == want(pages, 0)
