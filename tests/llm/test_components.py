@@ -1,13 +1,9 @@
 import random
 
-import pytest
-
 from narrascope.operators import components
 
 
-@pytest.mark.parametrize("few", [0, 10**6])
-def test_smallest_reachable(spark, monkeypatch, few):
-    monkeypatch.setattr(components, "FEW_EDGES", few)
+def test_smallest_reachable(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 7), (-5, 100)] + [(1000, 1000 + r.randint(1, 300)) for _ in range(80)] + [(2000 + r.randint(0, 60), 2000 + r.randint(0, 60)) for _ in range(50)]
     r.shuffle(edges)
