@@ -21,8 +21,15 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str) -> DataFrame:
 
 
 def drain(spark: SparkSession, df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and give its result as a table in memory."""
+    """Run a stream over all that is there and give its result as a table.
+
+    Rows that are appended go from the executors to files beside the checkpoint, since they grow with the stream; a complete
+    result, the groups of an aggregation, is a table in memory.
+    """
+    sink = df.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        sink.format("parquet").start(f"{checkpoint}-rows").awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{checkpoint}-rows")
     spark.catalog.dropTempView(name)
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    sink.format("memory").start().awaitTermination()
     return spark.table(name)
