@@ -6,7 +6,7 @@ with spans put in that are written in ways the rules don't know (``name (at) hos
 numbers without a plus, cards with dots), beside numbers that are none of these (dates, versions, prices, digests).
 
 Every whole text is cut into windows of ``WIDTH`` characters, each half over the next. A window without a digit, an at
-sign or a spelt-out at or dot holds nothing that could be a span, so it is outside all through; the others are decoded.
+sign or the word at holds nothing that could pass for a span (``holds``), so it is outside all through; the others are decoded.
 Spans that a window's edge may have cut are left to the neighbour, which sees them whole up to ``WIDTH / 2`` characters;
 of what all windows of a text propose, the set of spans without overlap that is surest in sum is kept. Spans of the rules
 stay as they are, and proposals over them go.
@@ -216,7 +216,9 @@ def sample_windows(docs: DataFrame, rows: int = SAMPLE_ROWS, windows: int = SAMP
 
 # ---- windows, and what they say together
 
-_MARKS = ("(at)", "(AT)", "[at]", "[AT]", "(dot)", "(DOT)", "[dot]", "[DOT]", " dot ", " DOT ", "@")
+#: What every span that ``holds`` lets pass has inside: a digit, an at sign or the word at.
+_MARK = re.compile(r"@|\bat\b", re.I)
+_ANY_DIGIT = re.compile(r"\d")
 _EMAIL_LIKE = re.compile(r"[\w.%+-]+ {0,2}(?:@|[(\[] ?at ?[)\]]|\bat\b) {0,2}[\w-]+(?: {0,2}(?:\.|[(\[] ?dot ?[)\]]|\bdot\b) {0,2}[\w-]+)+", re.I)
 _IP_LIKE = re.compile(r"\d{1,3}(?:[\[( ]{0,2}\.[\]) ]{0,2}\d{1,3}){3}")
 _CARD_LIKE = re.compile(r"\d(?:[ ./-]{0,3}\d)+")
@@ -236,17 +238,14 @@ def holds(kind: int, text: str) -> bool:
 
 
 def _starts(text: str) -> list[int]:
-    """Windows that may hold a span, by their start."""
+    """Windows by their start, without those that have nothing inside that a span of any kind must have."""
     half, hit = WIDTH // 2, set()
     at = 0
-    while m := _DIGIT.search(text, at):  # one digit of each half window is enough
+    while m := _ANY_DIGIT.search(text, at):  # one digit of each half window is enough
         hit.add(m.start() // half)
         at = (m.start() // half + 1) * half
-    for mark in _MARKS:
-        at = text.find(mark)
-        while at >= 0:
-            hit.update((at // half, (at + len(mark) - 1) // half))
-            at = text.find(mark, at + 1)
+    for m in _MARK.finditer(text):
+        hit.update((m.start() // half, (m.end() - 1) // half))
     return sorted({s * half for h in hit for s in (h - 1, h) if s >= 0})
 
 

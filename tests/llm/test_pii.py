@@ -136,3 +136,12 @@ def test_sample_is_bounded(spark):
     got = pii.sample_windows(df, rows=100, windows=40)
     assert len(got) == 40 and all(s for _, s in got)
     assert pii.sample_windows(df.limit(0)) == [] and pii.trained_on(df.limit(0)) is None
+
+
+def test_no_window_is_passed_over_that_may_hold_a_span():
+    for text, kind in (("john at example.org", 0), ("john [ at ] example.org", 0), ("John At example.org", 0), ("john at example dot org", 0), ("john@example . org", 0), ("\u0661.\u0662.\u0663.\u0664", 1)):
+        for before in (0, 40, 60, 63, 64, 100, 200):
+            whole = "x " * before + text + " y" * 100
+            assert pii.holds(kind, text)
+            inside = [s for s in range(0, len(whole), pii.WIDTH // 2) if s <= 2 * before and 2 * before + len(text) <= s + pii.WIDTH]
+            assert inside and set(inside) <= set(pii._starts(whole))
