@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrascope import runtime
 from narrascope.functions.ids import edge_id, entity_id
 
 #: Entity rules of the contract as (type, canonical name, pattern in any case).
@@ -141,13 +142,13 @@ def edge_candidates(found: DataFrame, rules=TRIGGER_RULES) -> DataFrame:
     none = F.lit(0)
     pairs = F.flatten(F.transform(e, lambda a, i: F.transform(F.filter(F.slice(e, i + 2, F.greatest(F.size(e), F.lit(1))), lambda b: b["entity_type"] != a["entity_type"]), lambda b: edge(a["name"], b["name"], CO_OCCURS, CO_OCCURS_CONFIDENCE, none))))
     parts = [pairs]
-    low, sign = F.lower("text"), direction_of(F.col("text"))
+    low, sign = F.lower("text"), F.col("_direction") if "_direction" in found.columns else direction_of(F.col("text"))
     for kind, words, targets, source, confidence, signed in rules:
         fires = F.lit(False)
         for w in words:
             fires = fires | low.contains(w)
         made = _product(names([source]), names(targets), partial(edge, kind=kind, confidence=confidence, direction=sign if signed else none))
-        parts.append(F.when(fires, made).otherwise(F.slice(pairs, 1, 0)))
+        parts.append(F.when(fires, made).otherwise(F.array().cast("array<struct<source:string,target:string,edge_type:string,confidence:double,direction:int>>")))
     return found.select("chunk_id", "available_at", F.explode(F.concat(*parts)).alias("x")).select("chunk_id", "available_at", "x.*")
 
 
@@ -201,7 +202,7 @@ class RuleExtractor:
 
     def extract(self, chunks: DataFrame) -> dict[str, DataFrame]:
         """mentions and candidates, under canonical names."""
-        found = find_entities(chunks.where("chunk_id IS NOT NULL AND text != ''"), self.entity_rules)
+        found = runtime.staged(find_entities(chunks.where("chunk_id IS NOT NULL AND text != ''"), self.entity_rules).withColumn("_direction", direction_of(F.col("text"))), "found-entities")  # texts are searched once
         return {"mentions": mentions_of(found, self.universe), "candidates": canonical_ends(edge_candidates(found, self.trigger_rules), found, self.universe)}
 
 
