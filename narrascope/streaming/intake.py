@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def first_documents(stream: DataFrame, day: str = "available_at", delay: str = "30 days") -> DataFrame:
-    """Documents as they come, without repeats of a text inside the watermark."""
-    return stream.withColumn("content_hash", F.sha2("text", 256)).withWatermark(day, delay).dropDuplicatesWithinWatermark(["content_hash"])
+def first_documents(stream: DataFrame, day: str = "available_at", delay: str = "30 days", by: tuple[str, ...] = ()) -> DataFrame:
+    """Documents as they come, without repeats of a text inside the watermark; one for each value of ``by`` that comes with it.
+
+    Which of equal texts comes first is chance within a batch: what is to be told of a text must not differ between its rows, or be in ``by``.
+    """
+    return stream.withColumn("content_hash", F.sha2("text", 256)).withWatermark(day, delay).dropDuplicatesWithinWatermark(["content_hash", *by])
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, width: str = "1 day", delay: str = "1 day") -> DataFrame:
